@@ -41,7 +41,7 @@ def deal(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Layout]:
     """(unit, doc_id, text) and the layout; their numbers follow the bytes of text."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     dealt = shuffle_partitions(docs.sparkSession)
-    layout = Layout(max(3 * dealt, -(-total // UNIT_BYTES)), max(4, int(max(dealt, total // PART_BYTES) - 1).bit_length()))
+    layout = Layout(max(2 * dealt, -(-total // UNIT_BYTES)), max(4, int(max(dealt // 2, total // PART_BYTES) - 1).bit_length()))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(layout.units)).cast("int").alias("unit")
     return docs.select(unit, "doc_id", F.col(text).alias("text")), layout
 
