@@ -220,7 +220,8 @@ def _large(rows: DataFrame, t: Fraction, size: int, total: int) -> DataFrame:
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block)
     others = F.when(F.col("block") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("block"))
-    pivots = rows.select(F.struct("component", F.explode(others).alias("block")).alias("task"), "node", F.col("node").alias("label"), "shingles")
+    pivots = rows.select("component", F.explode(others).alias("with"), "node", "shingles")
+    pivots = pivots.select(F.struct("component", "with").alias("task"), "node", F.col("node").alias("label"), "shingles")
     links = cut(_join_tasks(pivots, t, size))
     label = components(links).withColumnRenamed("component", "l")
     rows = rows.join(label, "node", "left").withColumn("label", F.coalesce("l", "node"))
