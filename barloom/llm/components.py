@@ -1,40 +1,97 @@
-"""Connected components of a large graph by alternating stars, with hot vertices broadcast."""
+"""Connected components of a large graph: union-find in partitions, then pointer jumping.
+
+Every edge lies with its larger end. A pass joins what meets in a partition and hangs each vertex on
+the smallest that it met, so afterwards a vertex has at most one smaller neighbour per partition and
+hubs are no hot keys. Passes repeat until every vertex has one parent and every parent is a root;
+where parents have parents, edges that skip one level are added (hot parents are broadcast).
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import attach, cut
 
 
+class Forest:
+    """Union-find over any hashable vertices; the root is the smallest vertex of its tree."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def find(self, x):
+        parent = self.parent
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    def union(self, x, y) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+
+
+def _pass(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        forest = Forest()
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                forest.union(u, v)
+        pairs = [(x, r) for x in forest.parent if (r := forest.find(x)) != x]
+        u, v = np.array(pairs, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
+
+    return edges.repartition("u").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of bigint vertices, undirected -> ``(node, component)``, component being the smallest vertex reached.
 
     Loops and repeated edges are ignored, as are edges with a null end. Vertices without an edge to
-    another vertex do not appear. Each round hangs every vertex on the smallest of its neighbourhood
-    (first on larger ones, then on smaller ones) until nothing changes; the rounds grow with the
-    logarithm of the longest path.
+    another vertex do not appear; an empty table gives an empty result.
     """
-    u, v = F.greatest("a", "b"), F.least("a", "b")
-    now = cut(edges.filter(F.col("a") != F.col("b")).select(u.alias("u"), v.alias("v")).distinct())
-    mark = _mark(now)
+    start = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now = cut(_pass(start))
     while True:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = attach(both, least, ["u"], "n", 2 * mark[0]).filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = attach(large, least, ["u"], "n", mark[0]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        then = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-        seen, now = mark, then
-        mark = _mark(now)
-        if mark == seen:
+        size, own = now.agg(F.count("*"), F.countDistinct("u")).first()
+        parents = now.groupBy("v").agg(F.count("*").alias("n"))
+        deeper = cut(parents.join(now.groupBy("u").agg(F.min("v").alias("w")), F.col("v") == F.col("u")).select("v", "w", "n"))
+        deep = deeper.count()
+        if size == own and not deep:
             break
+        jumps = attach(now, deeper, ["v"], "n", size).select("u", F.col("w").alias("v")) if deep else None
+        now = cut(_pass(now if jumps is None else now.unionAll(jumps)))
     star = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return star.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return star.unionAll(parents.select(F.col("v").alias("node"), F.col("v").alias("component")))
+
+
+def meetings(rows: DataFrame, kind: str = "long") -> DataFrame:
+    """Edges (a, b) that connect all nodes of ``rows(node, keys)`` which share a key; node bigint, keys an array of long or binary.
+
+    Each partition first connects its own nodes, and sends one node for each key and group, so a key
+    that very many nodes share costs each partition one row, and no pairs of nodes are made.
+    """
 
+    def run(batches):
+        forest, first = Forest(), {}
+        for batch in batches:
+            for node, keys in zip(batch.column("node").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                forest.find(node)
+                for key in keys or ():
+                    forest.union(node, first.setdefault(key, node))
+        inner = [(None, x, r) for x in forest.parent if (r := forest.find(x)) != x]
+        outer = [(k, forest.find(x), None) for k, x in first.items()]
+        both = inner + outer
+        types = (pa.int64() if kind == "long" else pa.binary(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in both], t) for i, (n, t) in enumerate(zip(("key", "a", "b"), types, strict=True))})
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    """The number of edges and a sum over them, which together tell when a round changed nothing."""
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], int(row[1] or 0)
+    met = cut(rows.mapInArrow(run, f"key {kind}, a long, b long"))
+    across = met.filter("key IS NOT NULL").groupBy("key").agg(F.collect_set("a").alias("a")).filter(F.size("a") > 1)
+    across = across.select(F.explode("a").alias("a"), F.array_min("a").alias("b")).filter("a != b")
+    return met.filter("key IS NULL").select("a", "b").unionAll(across)

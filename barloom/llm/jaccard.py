@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import attach, cut, shuffle_partitions
-from barloom.llm.components import components
+from barloom.llm.components import components, meetings
 from barloom.llm.exchange import MANY, SENT, Layout, answered, answers, deal, distinct, pack
 from barloom.llm.words import Words, shingle_sets, split_words, utf8
 
@@ -172,13 +172,6 @@ def _profiles(ids, n, marks, rare, packed) -> pa.Table:
     return pa.table({"doc_id": ids if isinstance(ids, pa.ChunkedArray) else pa.array(ids, pa.int64()), "n_shingles": pa.array(n, pa.int64()), "mark": pa.array(marks, pa.binary()), "rare": pa.array(rare, pa.list_(pa.int64())), "shingles": pa.array(packed, pa.binary())})
 
 
-def _families(reps: DataFrame, total: int) -> DataFrame:
-    """(node, component): representatives that share a rare shingle, and so on."""
-    rare = reps.select("node", F.explode("rare").alias("shingle"))
-    first = rare.groupBy("shingle").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    return components(attach(rare, first, ["shingle"], "n", total).select(F.col("node").alias("a"), "b"))
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: one row for each row of ``docs(doc_id, text)``.
 
@@ -191,12 +184,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     t = Fraction(threshold)
     every = cut(profile(docs, k, t))
     alive = every.filter("mark is not null and doc_id is not null").select("doc_id", "mark", "rare", "shingles")
-    classes = alive.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     total = every.count()
-    member = cut(attach(alive.select("doc_id", "mark"), classes, ["mark"], "n", total))
-    first = classes.select(F.col("node").alias("doc_id"), "mark")
+    same = cut(meetings(alive.select(F.col("doc_id").alias("node"), F.array("mark").alias("keys")), "binary"))
+    first = alive.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
     reps = cut(alive.join(first, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]).select(F.col("doc_id").alias("node"), "rare", "shingles"))
-    family = cut(_families(reps, 100 * total))
+    family = cut(components(meetings(reps.select("node", F.col("rare").alias("keys")))))
     sized = family.groupBy("component").agg(F.count("*").alias("n"), F.count("*").alias("members"))
     held = cut(attach(family, sized, ["component"], "n", total))  # node, component, members
     placed = held.join(reps.select("node", "shingles"), "node")
@@ -208,7 +200,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
         links = cut(small.unionAll(_large(large, t, 2 * size, total)))
     else:
         links = cut(small)
-    same = member.filter("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     joined = components(links.unionAll(same))
     found = joined.groupBy("node").agg(F.min("component").alias("component_id"))
     out = every.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
