@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import attach, cut
 
+#: Rows that a task of a graph step takes, and the fewest tasks.
+TASK_ROWS, LEAST_TASKS = 25_000, 12
+
 
 class Forest:
     """Union-find over any hashable vertices; the root is the smallest vertex of its tree."""
@@ -37,7 +40,12 @@ class Forest:
             self.parent[max(x, y)] = min(x, y)
 
 
-def _pass(edges: DataFrame) -> DataFrame:
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in partitions worth a Python worker, if ``rows`` is about what it has; never more than it has now."""
+    return df.coalesce(max(LEAST_TASKS, rows // TASK_ROWS))
+
+
+def _pass(edges: DataFrame, rows: int) -> DataFrame:
     def run(batches):
         forest = Forest()
         for batch in batches:
@@ -47,35 +55,40 @@ def _pass(edges: DataFrame) -> DataFrame:
         u, v = np.array(pairs, np.int64).reshape(-1, 2).T
         yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
 
-    return edges.repartition("u").mapInArrow(run, "u long, v long")
+    return few(edges.repartition("u"), rows).mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int) -> DataFrame:
     """``edges(a, b)`` of bigint vertices, undirected -> ``(node, component)``, component being the smallest vertex reached.
 
     Loops and repeated edges are ignored, as are edges with a null end. Vertices without an edge to
-    another vertex do not appear; an empty table gives an empty result.
+    another vertex do not appear; an empty table gives an empty result. ``rows``, about how many edges
+    there are, only sets how many tasks work on them.
     """
     start = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = cut(_pass(start))
+    now = cut(_pass(start, rows))
     while True:
-        size, own = now.agg(F.count("*"), F.countDistinct("u")).first()
-        parents = now.groupBy("v").agg(F.count("*").alias("n"))
-        deeper = cut(parents.join(now.groupBy("u").agg(F.min("v").alias("w")), F.col("v") == F.col("u")).select("v", "w", "n"))
-        deep = deeper.count()
-        if size == own and not deep:
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        split, deep, size = ends.agg(F.count_if(F.col("up") > 1), F.count_if((F.col("up") > 0) & (F.col("down") > 0)), F.sum("up")).first()
+        if not split and not deep:
             break
-        jumps = attach(now, deeper, ["v"], "n", size).select("u", F.col("w").alias("v")) if deep else None
-        now = cut(_pass(now if jumps is None else now.unionAll(jumps)))
-    star = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return star.unionAll(parents.select(F.col("v").alias("node"), F.col("v").alias("component")))
+        if deep:
+            parents = now.groupBy("v").agg(F.count("*").alias("n"))
+            up = now.groupBy("u").agg(F.min("v").alias("w"))
+            deeper = cut(parents.join(up, F.col("v") == F.col("u")).select("v", "w", "n"))
+            jumps = attach(now, deeper, ["v"], "n", size).select("u", F.col("w").alias("v"))
+            now = now.unionAll(jumps)
+        now = cut(_pass(now, rows))
+    return ends.filter("up = 0").select(F.col("x").alias("node"), F.col("x").alias("component")).unionAll(now.select(F.col("u").alias("node"), F.col("v").alias("component")))
 
 
-def meetings(rows: DataFrame, kind: str = "long") -> DataFrame:
+def meetings(rows: DataFrame, size: int, kind: str = "long") -> DataFrame:
     """Edges (a, b) that connect all nodes of ``rows(node, keys)`` which share a key; node bigint, keys an array of long or binary.
 
     Each partition first connects its own nodes, and sends one node for each key and group, so a key
-    that very many nodes share costs each partition one row, and no pairs of nodes are made.
+    that very many nodes share costs each partition one row, and no pairs of nodes are made. ``size``,
+    about how many rows there are, only sets how many tasks work on them.
     """
 
     def run(batches):
@@ -91,7 +104,7 @@ def meetings(rows: DataFrame, kind: str = "long") -> DataFrame:
         types = (pa.int64() if kind == "long" else pa.binary(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in both], t) for i, (n, t) in enumerate(zip(("key", "a", "b"), types, strict=True))})
 
-    met = cut(rows.mapInArrow(run, f"key {kind}, a long, b long"))
+    met = cut(few(rows, size).mapInArrow(run, f"key {kind}, a long, b long"))
     across = met.filter("key IS NOT NULL").groupBy("key").agg(F.collect_set("a").alias("a")).filter(F.size("a") > 1)
     across = across.select(F.explode("a").alias("a"), F.array_min("a").alias("b")).filter("a != b")
     return met.filter("key IS NULL").select("a", "b").unionAll(across)

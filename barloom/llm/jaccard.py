@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import attach, cut, shuffle_partitions
-from barloom.llm.components import components, meetings
+from barloom.llm.common import attach, cut
+from barloom.llm.components import components, few, meetings
 from barloom.llm.exchange import MANY, SENT, Layout, answered, answers, deal, distinct, pack
 from barloom.llm.words import Words, shingle_sets, split_words, utf8
 
@@ -119,7 +119,7 @@ def _joined(t: Fraction):
 
 def _join_tasks(rows: DataFrame, t: Fraction, size: int) -> DataFrame:
     """rows (task, node, label, shingles), dealt to buckets of tasks."""
-    buckets = max(2 * shuffle_partitions(rows.sparkSession), -(-size // TASK_BYTES))
+    buckets = max(64, -(-size // TASK_BYTES))
     dealt = rows.select(F.pmod(F.xxhash64("task"), F.lit(buckets)).alias("bucket"), F.xxhash64("task").alias("task"), "node", "label", "shingles")
     return dealt.groupBy("bucket").applyInArrow(_joined(t), "a long, b long")
 
@@ -185,25 +185,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     every = cut(profile(docs, k, t))
     alive = every.filter("mark is not null and doc_id is not null").select("doc_id", "mark", "rare", "shingles")
     total = every.count()
-    same = cut(meetings(alive.select(F.col("doc_id").alias("node"), F.array("mark").alias("keys")), "binary"))
-    first = alive.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
-    reps = cut(alive.join(first, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]).select(F.col("doc_id").alias("node"), "rare", "shingles"))
-    family = cut(components(meetings(reps.select("node", F.col("rare").alias("keys")))))
+    classes = alive.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.count("*").alias("copies"))
+    member = cut(attach(alive, classes, ["mark"], "n", total))
+    reps = member.filter("doc_id = node").select("node", "mark", "rare", "shingles", "copies").dropDuplicates(["node", "mark"])
+    reps = cut(few(reps, total))
+    family = components(meetings(reps.select("node", F.col("rare").alias("keys")), total), total)
     sized = family.groupBy("component").agg(F.count("*").alias("n"), F.count("*").alias("members"))
-    held = cut(attach(family, sized, ["component"], "n", total))  # node, component, members
-    placed = held.join(reps.select("node", "shingles"), "node")
+    placed = cut(few(attach(family, sized, ["component"], "n", total).join(reps.select("node", "shingles", "copies"), "node"), total))
     size = placed.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
     fits = F.col("members") <= 2 * BLOCK
     small = _join_tasks(placed.filter(fits).select(F.struct("component").alias("task"), "node", F.col("node").alias("label"), "shingles"), t, size)
     large = placed.filter(~fits).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    labels = small.select(F.col("a").alias("node"), F.col("b").alias("component"))
     if large.limit(1).count():
-        links = cut(small.unionAll(_large(large, t, 2 * size, total)))
-    else:
-        links = cut(small)
-    joined = components(links.unionAll(same))
-    found = joined.groupBy("node").agg(F.min("component").alias("component_id"))
-    out = every.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        labels = labels.unionAll(components(_large(large, t, 2 * size, total), total))
+    # Rows that share a doc_id are one document, so a node can be the representative of several sets.
+    labels = cut(few(labels.groupBy("node").agg(F.min("component").alias("label")), total))
+    shared = placed.groupBy("node").agg(F.sum("copies").alias("n")).join(labels, "node")
+    moved = attach(member.select("doc_id", "node"), shared, ["node"], "n", total).select("doc_id", "label")
+    copies = member.filter("doc_id != node").select("doc_id", F.col("node").alias("label"))
+    found = moved.unionAll(copies).groupBy("doc_id").agg(F.min("label").alias("label"))
+    out = every.select("doc_id", "n_shingles").join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def _large(rows: DataFrame, t: Fraction, size: int, total: int) -> DataFrame:
@@ -213,12 +216,14 @@ def _large(rows: DataFrame, t: Fraction, size: int, total: int) -> DataFrame:
     others = F.when(F.col("block") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("block"))
     pivots = rows.select("component", F.explode(others).alias("with"), "node", "shingles")
     pivots = pivots.select(F.struct("component", "with").alias("task"), "node", F.col("node").alias("label"), "shingles")
-    links = cut(_join_tasks(pivots, t, size))
-    label = components(links).withColumnRenamed("component", "l")
+    links = cut(few(_join_tasks(pivots, t, size), total))
+    label = components(links, total).withColumnRenamed("component", "l")
     rows = rows.join(label, "node", "left").withColumn("label", F.coalesce("l", "node"))
     sizes = rows.groupBy("component", "label").agg(F.count("*").alias("k"))
     most = sizes.groupBy("component").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("n"), F.sum("k").alias("all"), F.max("k").alias("k"))
-    rows = cut(attach(rows.select("node", "component", "block", "blocks", "label", "shingles"), most.filter("k < n"), ["component"], "n", total))
+    rows = cut(attach(rows.drop("copies").select("node", "component", "block", "blocks", "label", "shingles"), most.filter("k < n"), ["component"], "n", total))
+    if not rows.filter("label != main").limit(1).count():
+        return links
     rest = rows.filter("label != main").withColumn("rows", F.col("all") - F.col("k"))
     deal_to = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("int")
     spread = F.pmod(F.xxhash64("node", F.lit(1)), deal_to).cast("int")
