@@ -14,13 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.words import CHUNK, split_words, utf8, windows
+from barloom.llm.words import split_words, utf8, windows
 
 #: Labelled rows of each class that the model is fitted on, at most. Fitting needs one machine.
 FIT_ROWS = 1_500
 ROWS_BITS, WIDTH = 17, 8
 EPOCHS, STEPS, BATCH, RATE = 6, 1_200, 16, 60.0
 GRAMS = (3, 4)
+#: Bytes of text that are scored at a time; a longer text is scored alone.
+CHUNK = 500_000
+#: Rows that are scored before they are handed on.
+SCORED = 1_000
 #: Equal words up to this many words apart, and n-grams of kinds of bytes (upper, lower, digit, space, other, beyond ASCII).
 GAPS, KINDS_WIDTH = 4, 5
 _KIND = np.array([3 if chr(b) in " \t\n\x0b\f\r" else 2 if chr(b) in "0123456789" else 0 if "A" <= chr(b) <= "Z" else 1 if "a" <= chr(b) <= "z" else 4 if b < 128 else 5 for b in range(256)], np.uint8)
@@ -140,7 +144,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(*utf8(batch.column("text"))))], [*rest, "score"])
+            for at in range(0, batch.num_rows, SCORED):  # small batches go back, as both sides hold them in memory
+                part = batch.slice(at, SCORED)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(*utf8(part.column("text"))))], [*rest, "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema), "score double"])
     return docs.select(*rest).mapInArrow(run, schema)

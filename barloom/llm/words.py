@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at a time; a text is never split, so one longer text is hashed alone.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
