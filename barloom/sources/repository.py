@@ -67,7 +67,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def new_rows(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` whose hash is not stored yet, the earliest of each hash."""
-    first = rows.groupBy("hash").agg(F.min_by(F.struct(*rows.columns), "stored_at").alias("r")).select("r.*")
+    first = rows.groupBy("hash").agg(F.min_by(F.struct(*rows.columns), F.coalesce("stored_at", F.lit(""))).alias("r")).select("r.*")
     return first.join(stored.select("hash"), "hash", "left_anti").select(*rows.columns)
 
 
