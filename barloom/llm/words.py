@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """1, base, base**2, ... modulo 2**64."""
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         with np.errstate(over="ignore"):
             _powers[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n + 1023, base, np.uint64)]))
     return _powers[base][:n]
