@@ -76,15 +76,37 @@ def with_sma(bars: DataFrame, period: int, value: str = "close", name: str | Non
     return bars.withColumn(name or f"sma_{period}", F.when(F.col("bar_idx") >= period - 1, mean))
 
 
-def with_rsi(bars: DataFrame, period: int = 14) -> DataFrame:
-    """Wilder's relative strength; 100 where there was no loss."""
+def rsi_of(period: int) -> list[Recurrence]:
+    """Averages of gains and losses; these are columns of ``with_changes``."""
+    q = (period - 1) / period
+    return [Recurrence("_up", F.col("_gain"), q, 1, period), Recurrence("_down", F.col("_loss"), q, 1, period)]
+
+
+def atr_of(period: int) -> Recurrence:
+    return Recurrence("_range", F.col("_tr"), (period - 1) / period, 0, period - 1)
+
+
+def with_changes(bars: DataFrame) -> DataFrame:
+    """Adds gain, loss and true range of each bar and the number of bars of its series."""
     w = in_order(bars)
     change = F.col("close") - F.lag("close").over(w)
-    rows = bars.withColumns({"_gain": F.greatest(change, F.lit(0.0)), "_loss": F.greatest(-change, F.lit(0.0))})
-    q = (period - 1) / period
-    rows = smooth(rows, [Recurrence("_up", F.col("_gain"), q, 1, period), Recurrence("_down", F.col("_loss"), q, 1, period)])
-    value = F.when(F.col("_up").isNotNull(), F.when(F.col("_down") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.col("_up") / F.col("_down"))))
-    return rows.withColumn(f"rsi_{period}", value).select(*bars.columns, f"rsi_{period}")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return bars.withColumns({"_gain": F.greatest(change, F.lit(0.0)), "_loss": F.greatest(-change, F.lit(0.0)), "_tr": true_range(bars), "_n": F.count("*").over(whole)})
+
+
+def rsi_value() -> Column:
+    strength = 100 - 100 / (1 + F.col("_up") / F.nullif(F.col("_down"), F.lit(0.0)))
+    return F.when(F.col("_up").isNotNull(), F.when(F.col("_down") == 0, F.lit(100.0)).otherwise(strength))
+
+
+def atr_value(period: int) -> Column:
+    return F.when(F.col("_n") > period, F.col("_range"))
+
+
+def with_rsi(bars: DataFrame, period: int = 14) -> DataFrame:
+    """Wilder's relative strength; 100 where there was no loss."""
+    rows = smooth(with_changes(bars), rsi_of(period))
+    return rows.withColumn(f"rsi_{period}", rsi_value()).select(*bars.columns, f"rsi_{period}")
 
 
 def true_range(bars: DataFrame) -> Column:
@@ -95,10 +117,8 @@ def true_range(bars: DataFrame) -> Column:
 
 def with_atr(bars: DataFrame, period: int = 14) -> DataFrame:
     """Wilder's average true range; null in a series of at most ``period`` bars."""
-    whole = in_order(bars).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = bars.withColumns({"_tr": true_range(bars), "_n": F.count("*").over(whole)})
-    rows = smooth(rows, [Recurrence(f"_atr_{period}", F.col("_tr"), (period - 1) / period, 0, period - 1)])
-    return rows.withColumn(f"atr_{period}", F.when(F.col("_n") > period, F.col(f"_atr_{period}"))).select(*bars.columns, f"atr_{period}")
+    rows = smooth(with_changes(bars), [atr_of(period)])
+    return rows.withColumn(f"atr_{period}", atr_value(period)).select(*bars.columns, f"atr_{period}")
 
 
 def with_vwap(bars: DataFrame, session_zone: str | None = None) -> DataFrame:
@@ -123,10 +143,10 @@ def with_vwap_bands(bars: DataFrame, width: float = 2.0) -> DataFrame:
 def with_indicators(bars: DataFrame, emas: tuple[int, ...] = (9, 13, 21, 34), rsi: int | None = 14, atr: int | None = 14, vwap: bool = True) -> DataFrame:
     """The bundle that strategies use. Columns that nothing reads later are pruned by the optimizer."""
     rows = bars if "bar_idx" in bars.columns else with_bar_idx(bars)
-    if emas:
-        rows = with_ema(rows, *emas)
-    if rsi:
-        rows = with_rsi(rows, rsi)
-    if atr:
-        rows = with_atr(rows, atr)
+    kept = rows.columns
+    recurrences = [*map(ema_of, emas), *(rsi_of(rsi) if rsi else []), *([atr_of(atr)] if atr else [])]
+    if recurrences:  # one scan for all
+        rows = smooth(with_changes(rows), recurrences)
+    found = {**({f"rsi_{rsi}": rsi_value()} if rsi else {}), **({f"atr_{atr}": atr_value(atr)} if atr else {})}
+    rows = rows.select(*kept, *(f"ema_{p}" for p in emas), *(c.alias(n) for n, c in found.items()))
     return with_vwap_bands(with_vwap(rows)) if vwap else rows
