@@ -39,7 +39,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[tup
     for label in (0, 1):
         part = labels.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()
+    # The limit bounds what repeated rows of one id can send to the driver.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").limit(4 * per_class).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or "", r["label"]))
     return [(r["text"] or "", r["label"]) for r in rows], sizes
 
