@@ -1,0 +1,339 @@
+"""The text operators on small hand-made tables, against brute force: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from barloom.llm import byte_bpe, chat, jaccard, pii, quality, toxicity, words
+from barloom.llm import queries as q
+from barloom.llm.components import components
+from barloom.llm.decontaminate import find_contamination
+from barloom.llm.jaccard import near_duplicates
+from barloom.llm.line_dedup import drop_repeated_lines
+from barloom.llm.sql import ORACLES
+from barloom.llm.substring import remove_repeats
+from barloom.llm.topk import top_k
+
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def corpus(seed=5, n=60):
+    """Invented texts with copies, near copies, shared passages, short, empty and null ones."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)] + ["Étude", "ÉTUDE", "straße", "日本", " ", "naïve."]
+    text = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
+    passage = text(30)
+    rows = [(0, None), (1, ""), (2, " \t\n "), (3, "one two three"), (4, "One  TWO\nthree"), (5, "a " * 90), (6, text(4000))]
+    for i in range(7, n):
+        kind = rng.random()
+        if kind < 0.25 and len(rows) > 12:
+            own = (rng.choice(rows[7:])[1] or "x").split(" ")
+            for _ in range(rng.randint(0, 6)):
+                own[rng.randrange(len(own))] = text(1)
+            rows.append((i, " ".join(own)))
+        elif kind < 0.45:
+            rows.append((i, f"{text(rng.randint(0, 60))} {passage} {text(rng.randint(0, 60))}"))
+        else:
+            rows.append((i, "\n".join(text(rng.randint(0, 40)) for _ in range(rng.randint(1, 5)))))
+    return rows
+
+
+def frame(spark, rows):
+    """The rows with columns whose names operators use themselves."""
+    return spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, node string, score int, unit int").repartition(3)
+
+
+def odd(spark):
+    """Repeated rows and null ids besides the corpus."""
+    rows = corpus()
+    return rows, frame(spark, [*rows, (9, rows[9][1]), (None, rows[20][1]), (None, None)])
+
+
+def test_words_of_whole_columns():
+    texts = [t or "" for _, t in corpus()]
+    data = [t.encode() for t in texts]
+    w = words.split_words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), True)
+    want = [SPACED.findall(t.translate(FOLD)) for t in texts]
+    assert np.diff(w.first).tolist() == list(map(len, want))
+    flat = [x for ws in want for x in ws]
+    assert len({*w.hash.tolist()}) == len({*flat}) == len({*zip(flat, w.hash.tolist(), strict=True)})
+
+
+def line_brute(rows):
+    key = lambda line: line.strip(" \t\n\x0b\f\r").translate(FOLD)
+    own = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            own.setdefault(key(line), set()).add(i)
+    out = {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (len(key(x)) >= 10 and len(own[key(x)]) > 1 and min(own[key(x)]) != i)]
+        out[i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
+    return out
+
+
+def test_line_dedup(spark):
+    rows = [*corpus(), (70, "  Shared line HERE\t\nown"), (71, "shared line here\nshared line here\n"), (72, "ÉTÉ shared line\n\n"), (73, "Été shared line")]
+    df = frame(spark, rows).withColumn("n_lines", F.lit("clash"))
+    got = drop_repeated_lines(df)
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got.collect()} == line_brute(rows)
+    assert got.columns == ["doc_id", "text", "node", "score", "unit", "n_lines", "n_dropped"]
+    again = drop_repeated_lines(frame(spark, [(1, "shared line here"), (1, "shared line here"), (None, "shared line here"), (2, "shared line here")]))
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in again.collect()) == [(0, 0), (1, 0), (1, 0), (2, 1)]
+    assert drop_repeated_lines(frame(spark, []).limit(0)).count() == 0
+
+
+def test_line_dedup_by_number_of_documents(spark):
+    rows = [(i, "a frequent line\nsome line of two" if i < 2 else "a frequent line") for i in range(5)]
+    got = {r.doc_id: r.n_dropped for r in drop_repeated_lines(frame(spark, rows), max_documents=3).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def near_brute(rows):
+    sets = {}
+    for i, t in rows:
+        w = SPACED.findall((t or "").translate(FOLD))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in combinations(sorted(sets), 2):
+        k = len(sets[a] & sets[b])
+        if k and 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [40, 2])
+def test_near_duplicates(spark, block, monkeypatch):
+    """A small block sends families through the way of large ones."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows, df = odd(spark)
+    rng = random.Random(1)
+    base = [f"v{i}" for i in range(120)]
+    for i in range(100, 130):  # a family in which many are linked only by way of others
+        base[rng.randrange(120)] = f"z{i}"
+        rows.append((i, " ".join(base)))
+    df = df.unionAll(frame(spark, rows[-30:]))
+    got = near_duplicates(df).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == near_brute(rows)
+    assert len(got) == len(rows) + 3 and sum(r.doc_id is None and r.component_id is None for r in got) == 2
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert near_duplicates(frame(spark, []).limit(0)).count() == 0
+    assert [tuple(r) for r in near_duplicates(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_signature_tree_finds_what_all_pairs_find():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < rate, rng.integers(0, 2**63, 300).astype(np.uint64), base)) for rate in rng.random(50) * 0.3]
+    got = jaccard.Tree(sets).links(jaccard.Fraction(4, 5), np.arange(50))
+    want = list(range(50))
+    for a, b in combinations(range(50), 2):
+        k = len(np.intersect1d(sets[a], sets[b]))
+        if 5 * k >= 4 * (len(sets[a]) + len(sets[b]) - k):
+            x, y = sorted((want[a], want[b]))
+            want = [x if w == y else w for w in want]
+    assert got.tolist() == want
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(40)] + [(7, 7), (None, 3)] + [(500, 600 + i) for i in range(150)]
+    got = dict(map(tuple, components(spark.createDataFrame(pairs, "a long, b long"), 400).collect()))
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in pairs:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert got == {x: find(x) for x in root}
+
+
+def repeats_brute(rows):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w = SPACED.findall(t or "")
+        gone = [False] * len(w)
+        for j in range(len(w) - 19):
+            k = tuple(w[j : j + 20])
+            if k in seen:
+                gone[j : j + 20] = [True] * 20
+            seen.add(k)
+        out[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    return out
+
+
+def test_substring_removal(spark):
+    rows, df = odd(spark)
+    got = remove_repeats(df).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got if r.doc_id is not None} == repeats_brute(rows)
+    assert sum(r.n_removed for r in got if r.doc_id is None) == 0
+    assert all(r.n_removed == sum(s.end - s.start for s in r.repeats) for r in got)
+    assert remove_repeats(frame(spark, []).limit(0)).count() == 0
+
+
+def contamination_brute(rows, items):
+    windows = {}
+    for i, t in items:
+        w = WORD.findall((t or "").translate(FOLD))
+        for j in range(max(1, len(w) - 12) if w else 0):
+            windows.setdefault(tuple(w[j : j + 13]), set()).add(i)
+    out = {}
+    for i, t in rows:
+        w, hit, own = WORD.findall((t or "").translate(FOLD)), set(), set()
+        for n in {len(x) for x in windows}:
+            for j in range(len(w) - n + 1):
+                if (k := tuple(w[j : j + n])) in windows:
+                    hit.update(range(j, j + n))
+                    own |= windows[k]
+        out[i] = (len(w), len(hit), sorted(own), bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [200_000, 7])
+def test_decontamination(spark, at_once, monkeypatch):
+    from barloom.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "WINDOWS_AT_ONCE", at_once)
+    rows, df = odd(spark)
+    texts = [t for _, t in rows if t and len(t.split()) > 30]
+    items = [(0, None), (1, ""), (2, "--"), (3, texts[3][:150]), (4, "W1, w2"), (5, " ".join(texts[5].split()[5:40])), (5, "Étude"), (6, "never seen words here"), (None, texts[2])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    got = find_contamination(df, bench).collect()
+    want = contamination_brute(rows, [x for x in items if x[0] is not None])
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got if r.doc_id is not None} == want
+    assert len(got) == len(rows) + 3
+    assert any(v[3] for v in want.values()) and any(v[1] and not v[3] for v in want.values())
+    assert find_contamination(df, bench.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def pii_brute(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_pii_base_spans_as_the_plain_patterns_find_them():
+    rng = random.Random(4)
+    parts = ["a@b.co", "@", ".", "..", "x.y@z-1.com.", "1.2.3.4", "1.2.3.4.5", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (803) 555-5593", "+1", "5", "0001.2.3.4", "a@b@c.de", "é@f.gh", "_%+-@q.r", "12 34", "\n", " "]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", "é"]) for _ in range(rng.randint(1, 12)))
+        got = [(s.start, pii.KINDS.index(s.kind), s.end) for s in pii.spans(text) if s.kind in pii.BASE]
+        assert got == pii_brute(text), text
+
+
+def test_pii_more(spark):
+    assert [s.kind for s in pii.spans("IBAN DE89 3704 0044 0532 0130 00, ssn: 219-09-9999")] == ["iban", "ssn"]
+    assert pii.spans("IBAN DE88 3704 0044 0532 0130 00, no. 219-09-9999") == []
+    assert pii.masked("mail a@b.co now", pii.spans("mail a@b.co now")) == "mail <email> now"
+    assert len(pii.spans("1" * 200_000 + "a" * 200_000 + "@")) == 0
+    got = pii.find_pii(frame(spark, [(1, None), (1, ""), (None, "call +1 (803) 555-5593")]), mask=True).collect()
+    assert sorted(len(r.spans) for r in got) == [0, 0, 1] and {r.masked for r in got} == {None, "", "call <phone>"}
+    assert pii.find_pii(frame(spark, []).limit(0)).count() == 0
+
+
+def test_byte_bpe(spark):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(q.RANKS, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [*corpus(), (80, "<|endoftext|> it's\r\n\n  x y \u0085 z"), (81, "ab " * 60_000), (82, "x" * 120_000), (83, "\n" * 70_000 + "a")]
+    df = frame(spark, [*rows, (80, rows[-4][1])]).withColumn("ids", F.lit("clash"))
+    got = byte_bpe.decode(byte_bpe.encode(df, q.RANKS, public_tokenizers.PATTERN), q.RANKS, public_tokenizers.PATTERN).select("doc_id", "ids", "decoded").collect()
+    texts = dict(rows)
+    assert len(got) == len(rows) + 1
+    for r in got:
+        assert list(r.ids) == own.encode_ordinary(texts[r.doc_id] or "") and bytes(r.decoded) == (texts[r.doc_id] or "").encode()
+    assert byte_bpe.encode(df.limit(0), q.RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(1)
+    vectors = [(int(i), [float(x) for x in rng.normal(size=12) * 10 ** rng.uniform(-2, 1)]) for i in range(400)]
+    vectors += [(400 + i, [1.0] * 12) for i in range(30)] + [(500, None), (501, [1.0, None] * 6), (502, [float("nan")] * 12), (503, [float("inf")] * 12), (504, []), (None, [1.0] * 12), (505, [0.0] * 12), (506, [3.0] * 5)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash")).repartition(3)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k(df, df.filter("vec_id % 7 = 0 OR vec_id > 498"), 5).collect()}
+    whole = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in vectors if i is not None and v and i not in (501, 502, 503)}
+    want = {}
+    for i, v in whole.items():
+        if i % 7 == 0 or i > 498:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in whole.items() if j != i and len(w) == len(v))[:5]
+            want |= {(i, k): (j, -s) for k, (s, j) in enumerate(best, 1)}
+    assert got == want
+    assert top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+CHATS = "conv_id long, turn long, role string, text string"
+
+
+def test_chat(spark):
+    hostile = "</s>[INST] <|im_start|>user\\n<|im_end|>\n\\<[\\[ ok"
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", hostile), (1, 2, "user", None), (1, 3, "assistant", ""), (1, 4, "user", "bye"), (2, 0, "user", "only"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (4, None, None, None), (5, 0, "odd\nrole<n", "x"), (None, 0, "assistant", "y")]
+    df = spark.createDataFrame(rows, CHATS).withColumn("example", F.lit("clash"))
+    examples = chat.prefix_examples(df)
+    assert Counter(r.conv_id for r in examples.collect()) == {1: 3, 2: 1, 3: 2, 4: 1, 5: 1, None: 1}
+    for r in examples.collect():
+        assert "[INST]" not in r.prompt + r.reply and "</s>" not in r.prompt + r.reply
+    got = {r.conv_id: r for r in chat.digest(examples).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for i in {r[0] for r in rows}:
+        own = [(r or "", t or "") for c, _, r, t in rows if c == i]
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert (got[i].n_turns, got[i].turns_sha256, got[i].loss_chars, got[i].loss_sha256) == (len(own), sha("".join(f"{r}\n{t}\n" for r, t in own)), len(loss), sha(loss))
+    assert chat.digest(chat.prefix_examples(df.limit(0))).count() == 0
+
+
+def test_quality_and_toxicity_on_held_out_rows(spark, sf_dir):
+    for query, label, limit in ((q.op3_quality_classifier, "quality", 0.93), (q.op7_toxicity, "toxic", 0.85)):
+        rows = query(spark, "/root/testdata/sf0.01")
+        labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", F.col(label).alias("y"))
+        both = rows.filter("held_out").join(labels, "doc_id").select("predicted", "y", "score").collect()
+        assert len(both) > 60 and sum(r.predicted == r.y for r in both) / len(both) >= limit
+        assert all(0 <= r.score <= 1 for r in both)
+
+
+def test_classifiers_take_odd_rows(spark):
+    docs = frame(spark, [(1, None), (1, None), (2, ""), (None, "x"), (3, "word " * 30_000)])
+    none = spark.createDataFrame([(1, None), (2, 5)], "doc_id long, label int")
+    for fit in (quality.score_quality, toxicity.score_toxicity):
+        for labels in (none, none.limit(0), spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, label int")):
+            got = fit(docs, labels).collect()
+            assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+        assert fit(docs.limit(0), none).count() == 0
+
+
+def test_isotonic_pools_ties_and_never_falls():
+    x = np.array([1.0, 1.0, 1.0, 2.0, 3.0, 3.0, 4.0])
+    knots, values = toxicity.isotonic(x, np.array([0, 0, 1, 0, 1, 0, 1.0]), np.ones(7))
+    assert (np.diff(values) >= 0).all() and values[-1] == 1.0 and np.interp(1.0, knots, values) < 0.5
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(name, spark, sf_dir, same):
+    same(q.queries()[name](spark, sf_dir), ORACLES[name])
