@@ -92,11 +92,29 @@ def _tokens() -> dict[str, tuple]:
 
 #: Rules that the dispatch of ``compat`` tests; every other token then counts as met.
 COMPAT_TOKENS = ("ema_fast_above_slow", "ema_fast_below_slow", "price_above_both_emas", "price_below_both_emas", "price_above_vwap", "price_below_vwap", "is_in_kill_zone", "rsi_oversold_bounce")
-# Detectors that ``compat`` takes as met whatever the bars (unlike parameters), and those that never fire.
+# Detectors that ``compat`` takes as met whatever the bars (unlike parameters), those that it takes
+# as met after a bar of the sought color too, and those that it evaluates with high and low exchanged.
 COMPAT_MET = tuple(f"{n}_{d}" for n in ("mitigation_block", "rejection_block", "standard_deviation_projection", "stops_hunt", "equilibrium_reclaimed", "fractal_expansion", "failed_auction", "amd_setup", "decoupled_ob", "propulsion_candle", "engineered_liquidity", "inverse_fvg") for d in ("bullish", "bearish"))
+COMPAT_RAISED = ("bullish_breaker", "bearish_breaker", "unicorn_model_bullish", "unicorn_model_bearish")
 COMPAT_SWAPPED = ("wyckoff_sos_bullish", "wyckoff_sow_bearish", "effort_vs_result_bullish", "effort_vs_result_bearish", "stopping_volume_bullish", "stopping_volume_bearish")
 
 
+class SwappedBars(Bars):
+    """Bars whose high and low have changed places."""
+
+    @property
+    def h(self) -> Column:
+        return super().l
+
+    @property
+    def l(self) -> Column:  # noqa: E743
+        return super().h
+
+    @property
+    def rng(self) -> Column:
+        return -super().rng
+
+
 def rule_column(rule: str, frame: DataFrame, fast: str, slow: str, zone: str = "Asia/Kolkata", compat: bool = False) -> Column:
     """Whether one entry rule holds at a bar. Unknown rules are an error, or count as met with ``compat``.
 
@@ -104,6 +122,13 @@ def rule_column(rule: str, frame: DataFrame, fast: str, slow: str, zone: str = "
     """
     name = rule.strip().lower()
     detector = name.removeprefix("detect_")
+    if compat and detector in COMPAT_SWAPPED:
+        d = DETECTORS[detector]
+        b = SwappedBars(frame, d.mirrored)
+        return F.coalesce(F.when(b.i >= d.min_i, d.rule(b)), F.lit(False))
+    if compat and detector in COMPAT_RAISED:
+        b = Bars(frame, DETECTORS[detector].mirrored)
+        return F.col(f"detect_{detector}") | ((b.i >= 10) & b.back(b.down, 1))
     if name == "is_in_kill_zone":
         return in_kill_zone("UTC" if compat else zone)
     if name.startswith("detect_") and detector in DETECTORS and not (compat and detector in (*COMPAT_MET, "bullish_pin_bar")):

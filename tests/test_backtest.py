@@ -146,3 +146,18 @@ def test_as_of_is_a_parameter(spark, sf_dir):
 
     bars = q.hourly(spark, sf_dir)
     assert prepared(bars, (7,), datetime(1990, 1, 1)).count() == prepared(bars, (7,), datetime(1990, 1, 1)).select("ts").count()
+
+
+def test_compat_keeps_the_accidents_of_dispatch(spark):
+    from barloom.operators.detectors import with_detectors
+
+    n = 40
+    c = [100.0 + (i % 5) for i in range(n)]
+    bars = series(spark, c, highs=[x + 3 for x in c], lows=[x - 3 for x in c], opens=[x + (1 if i % 2 else -1) for i, x in enumerate(c)])
+    rows = with_detectors(bars, ["bullish_breaker", "effort_vs_result_bullish", "stops_hunt_bullish"])
+    count = lambda rule: rows.select(rule_column(rule, rows, "a", "b", compat=True).alias("x")).filter("x").count()
+    down = [i for i in range(10, n) if i % 2 == 0]  # bars 10.. that follow a down bar
+    rows.cache()
+    assert count("detect_effort_vs_result_bullish") == 0
+    assert count("detect_stops_hunt_bullish") == n
+    assert count("detect_bullish_breaker") >= len(down)
