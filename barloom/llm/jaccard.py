@@ -186,9 +186,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     alive = every.filter("mark is not null and doc_id is not null").select("doc_id", "mark", "rare", "shingles")
     total = every.count()
     classes = alive.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.count("*").alias("copies"))
-    member = cut(attach(alive, classes, ["mark"], "n", total))
-    reps = member.filter("doc_id = node").select("node", "mark", "rare", "shingles", "copies").dropDuplicates(["node", "mark"])
-    reps = cut(few(reps, total))
+    member = cut(attach(alive.select("doc_id", "mark"), classes, ["mark"], "n", total))
+    first = member.filter("doc_id = node").select("doc_id", "mark", "node", "copies").dropDuplicates(["doc_id", "mark"])
+    reps = cut(few(alive.join(first, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("node", "rare", "shingles", "copies"), total))
     family = components(meetings(reps.select("node", F.col("rare").alias("keys")), total), total)
     sized = family.groupBy("component").agg(F.count("*").alias("n"), F.count("*").alias("members"))
     placed = cut(few(attach(family, sized, ["component"], "n", total).join(reps.select("node", "shingles", "copies"), "node"), total))
