@@ -9,10 +9,13 @@
 5. Each family is joined by signature trees: nodes hold the OR of their members' token bitmaps and the
    range of sizes; two nodes are opened together only while the largest overlap that their bitmaps and
    sizes allow can reach the threshold. Pairs that a tree cannot rule out are verified on the sets.
-   Members already connected are not compared again, since only classes are returned.
-6. A family too large for a task is dealt in blocks: first every block against one pivot block, then
-   only what is not in the family's largest component against everything. So no link is lost, and a
-   large group of copies costs about twice its size.
+   For classes alone, members already connected are not compared again.
+6. For classes alone, a family too large for a task is dealt in blocks: first every block against one
+   pivot block, then only what is not in the family's largest component against everything. So a large
+   group of copies costs about twice its size.
+7. With links, every pair of a family that sizes and bitmaps cannot rule out is verified and counted;
+   a family too large for a task meets as pairs of blocks. That is of order n squared for n different
+   sets that are near each other, but no row is made for a pair.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from barloom.llm.words import Words, shingle_sets, split_words, utf8
 #: Sets in a block of a family, and set bytes that a task joins.
 BLOCK, TASK_BYTES = 40, 4_000_000
 FANOUT = 4
+#: With links: sets in a block of a family, set bytes in it, and sets below a node.
+PAIR_BLOCK, PAIR_BYTES, NODE = 1_500, 4_000_000, 16
 
 
 def needed(t: Fraction, a, b):
@@ -94,34 +99,157 @@ class Tree:
         return int((y[at] == x).sum()) >= needed(t, len(x), len(y))
 
 
+class Pairs:
+    """All links between sets: what sizes and OR bitmaps of nodes leave is verified by its whole overlap.
+
+    Sets are compared by what sets them apart from ``base``, the shingles that most of them have: with a
+    set's shingles outside and its gaps inside the base as d, the overlap of x and y is
+    |base| - gaps(x) - gaps(y) + |d(x) & d(y)|. Near copies have a small d.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        own = np.repeat(np.arange(len(sets)), self.sizes)
+        every = np.concatenate(sets)
+        values, ids = np.unique(every, return_inverse=True)
+        times = np.bincount(ids)
+        base = np.flatnonzero(2 * times > len(sets))
+        self.n_base, self.n_values = len(base), len(values)
+        place = np.full(len(values), -1)
+        place[base] = np.arange(len(base))
+        inside = place[ids] >= 0
+        gap = np.ones((len(sets), len(base)), bool)
+        gap[own[inside], place[ids[inside]]] = False
+        self.gaps = gap.sum(1)
+        at, which = np.nonzero(gap)
+        outside = ~inside & (times[ids] > 1)
+        owner, d = np.concatenate([own[outside], at]), np.concatenate([ids[outside], base[which]])
+        order = np.argsort(owner, kind="stable")
+        self.d = d[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))])
+        bits = min(65_536, max(256, 1 << int(4 * self.sizes.max() - 1).bit_length()))
+        bit = (every % np.uint64(bits)).astype(np.int64)
+        at = np.arange(0, len(sets), NODE)
+        maps = np.zeros((len(at), bits), bool)
+        maps[own // NODE, bit] = True
+        distinct_bits = np.bincount(np.unique(own * bits + bit) // bits, minlength=len(sets))
+        self.nodes = np.packbits(maps, axis=1).view(np.uint64), np.minimum.reduceat(self.sizes, at), np.maximum.reduceat(self.sizes, at), np.maximum.reduceat(self.sizes - distinct_bits, at)
+
+    def open(self, t: Fraction, node: int) -> np.ndarray:
+        """Which nodes may hold a partner of a set of ``node``."""
+        maps, low, high, more = self.nodes
+        most = np.bitwise_count(maps[node] & maps).sum(1, dtype=np.int64) + np.minimum(more[node], more)
+        most = np.minimum(most, np.minimum(high[node], high))
+        n, m = t.numerator, t.denominator
+        ok = (most >= needed(t, low[node], low)) & (n * low[node] <= m * high) & (n * low <= m * high[node])
+        ok[node] = True
+        return ok
+
+    def links(self, t: Fraction, split: int | None = None):
+        """(a, partners) for each set a that has partners after it, or from ``split`` on for those before ``split``."""
+        flag = np.zeros(self.n_values, np.int32)
+        for a in range(len(self.sizes) if split is None else split):
+            if a % NODE == 0:
+                ok = np.repeat(self.open(t, a // NODE), NODE)[: len(self.sizes)]
+            first = a + 1 if split is None else split
+            turns = np.flatnonzero(np.diff(np.concatenate([[False], ok[first:], [False]]).astype(np.int8))) + first
+            mine = self.d[self.starts[a] : self.starts[a + 1]]
+            flag[mine] = 1
+            found = []
+            for u, v in zip(turns[::2], turns[1::2], strict=True):
+                sums = np.concatenate([[0], np.cumsum(flag[self.d[self.starts[u] : self.starts[v]]])])
+                ends = self.starts[u : v + 1] - self.starts[u]
+                overlap = self.n_base - self.gaps[a] - self.gaps[u:v] + sums[ends[1:]] - sums[ends[:-1]]
+                found.append(u + np.flatnonzero(overlap >= needed(t, self.sizes[a], self.sizes[u:v])))
+            flag[mine] = 0
+            partners = np.concatenate([np.zeros(0, np.int64), *found])
+            if len(partners):
+                yield a, partners
+
+
+#: Links found: a and b are connected, or n documents are linked with a.
+FOUND = "a long, b long, n long"
+
+
+def _found(a, b, n) -> pa.Table:
+    return pa.table({k: pa.array([y for x in v for y in x], pa.int64()) for k, v in (("a", a), ("b", b), ("n", n))})
+
+
+def _by_task(task: np.ndarray, *order: np.ndarray):
+    """The rows of each task, ordered."""
+    order = np.lexsort((*order, task))
+    edges = np.flatnonzero(np.concatenate([[True], task[order][1:] != task[order][:-1], [True]]))
+    return [order[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def _joined(t: Fraction):
     def join(table: pa.Table) -> pa.Table:
         """Rows (task, node, label, shingles) -> links (a, b) that connect what each task found connected."""
         task, node, label = (table.column(c).to_numpy() for c in ("task", "node", "label"))
         packed = table.column("shingles").to_pylist()
         sizes = np.array([len(s) for s in packed])
-        order = np.lexsort((node, sizes, task))
-        a, b = [], []
-        edges = np.flatnonzero(np.concatenate([[True], task[order][1:] != task[order][:-1], [True]]))
-        for i, j in zip(edges[:-1], edges[1:], strict=True):
-            rows = order[i:j]
+        a, b, n = [], [], []
+        for rows in _by_task(task, node, sizes):
             rows = rows[np.unique(node[rows], return_index=True)[1]]
             rows = rows[np.argsort(sizes[rows], kind="stable")]
             known = label[rows].copy()
             found = Tree([np.frombuffer(packed[r], np.uint64) for r in rows]).links(t, known.copy())
             new = found != known
-            a.append(known[new])
-            b.append(found[new])
-        return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+            a.append(known[new].tolist())
+            b.append(found[new].tolist())
+            n.append([None] * int(new.sum()))
+        return _found(a, b, n)
+
+    return join
+
+
+def _counted(t: Fraction):
+    def join(table: pa.Table) -> pa.Table:
+        """Rows (task, side, node, copies, shingles) -> what is connected, and each node's number of linked documents.
+
+        Side -1: every pair of the task; sides 0 and 1: every pair across.
+        """
+        task, side, node, copies = (table.column(c).to_numpy() for c in ("task", "side", "node", "copies"))
+        packed = table.column("shingles").to_pylist()
+        sizes = np.array([len(s) for s in packed])
+        a, b, n = [], [], []
+        for rows in _by_task(task, sizes, side):
+            split = None if side[rows[0]] < 0 else int((side[rows] == 0).sum())
+            if len(rows) < 2 or split in (0, len(rows)):
+                continue
+            comp, weight, linked = np.arange(len(rows)), copies[rows], np.zeros(len(rows), np.int64)
+            for x, partners in Pairs([np.frombuffer(packed[r], np.uint64) for r in rows]).links(t, split):
+                linked[x] += weight[partners].sum()
+                linked[partners] += weight[x]
+                met = np.unique(np.append(comp[partners], comp[x]))
+                if len(met) > 1:
+                    comp[np.isin(comp, met)] = met[0]
+            some, joined = np.flatnonzero(linked), np.flatnonzero(comp != np.arange(len(rows)))
+            a += [node[rows[joined]].tolist(), node[rows[some]].tolist()]
+            b += [node[rows[comp[joined]]].tolist(), [None] * len(some)]
+            n += [[None] * len(joined), linked[some].tolist()]
+        return _found(a, b, n)
 
     return join
 
 
-def _join_tasks(rows: DataFrame, t: Fraction, size: int) -> DataFrame:
-    """rows (task, node, label, shingles), dealt to buckets of tasks."""
+def _join_tasks(rows: DataFrame, t: Fraction, size: int, join=_joined) -> DataFrame:
+    """rows (task, node, ..., shingles), dealt to buckets of tasks."""
     buckets = max(64, -(-size // TASK_BYTES))
-    dealt = rows.select(F.pmod(F.xxhash64("task"), F.lit(buckets)).alias("bucket"), F.xxhash64("task").alias("task"), "node", "label", "shingles")
-    return dealt.groupBy("bucket").applyInArrow(_joined(t), "a long, b long")
+    dealt = rows.select(F.pmod(F.xxhash64("task"), F.lit(buckets)).alias("bucket"), F.xxhash64("task").alias("task"), *(c for c in rows.columns if c != "task"))
+    return dealt.groupBy("bucket").applyInArrow(join(t), FOUND)
+
+
+def _every_pair(rows: DataFrame, t: Fraction) -> DataFrame:
+    """FOUND of families (node, component, members, bytes, copies, shingles), each pair of sets in one task."""
+    blocks = F.greatest(F.ceil(F.col("members") / PAIR_BLOCK), F.ceil(F.col("bytes") / PAIR_BYTES)).cast("int")
+    rows = rows.withColumn("blocks", blocks)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    size = rows.agg(F.sum(F.octet_length("shingles") * F.col("blocks"))).first()[0] or 0
+    met = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.struct("component", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"))
+    side = F.when(F.col("block") == F.col("with"), -1).when(F.col("block") < F.col("with"), 0).otherwise(1)
+    return _join_tasks(met.select(task.alias("task"), side.alias("side"), "node", "copies", "shingles"), t, size, _counted)
 
 
 def _sets(table: pa.Table, k: int) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -172,7 +300,7 @@ def _profiles(ids, n, marks, rare, packed) -> pa.Table:
     return pa.table({"doc_id": ids if isinstance(ids, pa.ChunkedArray) else pa.array(ids, pa.int64()), "n_shingles": pa.array(n, pa.int64()), "mark": pa.array(marks, pa.binary()), "rare": pa.array(rare, pa.list_(pa.int64())), "shingles": pa.array(packed, pa.binary())})
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), links: bool = False) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: one row for each row of ``docs(doc_id, text)``.
 
     Two documents are linked if the Jaccard similarity of their shingle sets is at least ``threshold``;
@@ -180,33 +308,54 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     compared with A-Z as a-z. Null and empty texts have no shingles and no links. Rows that share a
     doc_id are one document in the graph. A null doc_id has its size and no component. Other columns
     of ``docs`` are not read; an empty table gives an empty result.
+
+    With ``links`` every pair is verified, and ``n_links`` is how many other documents a row's text is
+    linked with; a document with several different shingle sets counts once for each. Null where the
+    doc_id is null.
     """
     t = Fraction(threshold)
     every = cut(profile(docs, k, t))
-    alive = every.filter("mark is not null and doc_id is not null").select("doc_id", "mark", "rare", "shingles")
+    known = "mark is not null and doc_id is not null"
+    alive = every.filter(known).select("doc_id", "mark", "rare", "shingles")
     total = every.count()
-    classes = alive.groupBy("mark").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.count("*").alias("copies"))
-    member = cut(attach(alive.select("doc_id", "mark"), classes, ["mark"], "n", total))
-    first = member.filter("doc_id = node").select("doc_id", "mark", "node", "copies").dropDuplicates(["doc_id", "mark"])
+    # Ids of classes are fixed by the checkpoint; a doc_id would not do, as it can have several sets.
+    classes = alive.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("copies"))
+    classes = cut(few(classes, total).withColumn("node", F.monotonically_increasing_id()))
+    member = attach(alive.select("doc_id", "mark"), classes, ["mark"], "n", total)
+    first = member.filter("doc_id = first").select("doc_id", "mark", "node", "copies").dropDuplicates(["doc_id", "mark"])
     reps = cut(few(alive.join(first, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("node", "rare", "shingles", "copies"), total))
     family = components(meetings(reps.select("node", F.col("rare").alias("keys")), total), total)
-    sized = family.groupBy("component").agg(F.count("*").alias("n"), F.count("*").alias("members"))
-    placed = cut(few(attach(family, sized, ["component"], "n", total).join(reps.select("node", "shingles", "copies"), "node"), total))
+    held = family.join(reps.select("node", "shingles", "copies"), "node")
+    sized = held.groupBy("component").agg(F.count("*").alias("n"), F.count("*").alias("members"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    placed = cut(few(attach(held, sized, ["component"], "n", total), total))
+    if links:
+        found = cut(few(_every_pair(placed, t), total))
+        labels = components(found.filter("n is null"), total)
+        linked = found.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
+    else:
+        labels = _labels(placed, t, total)
+    labels = cut(few(labels, total))
+    named = labels.join(classes.select("node", "first"), "node")
+    least = named.groupBy("component").agg(F.min("first").alias("label"), F.count("*").alias("n"))
+    label = attach(named.select("node", "component"), least, ["component"], "n", total).select("node", "label")
+    classes = classes.join(label, "node", "left").withColumn("component_id", F.coalesce("label", "first"))
+    if links:
+        classes = classes.join(linked, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
+    new = ["component_id", *(["n_links"] if links else [])]
+    rest = every.filter(f"NOT ({known})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.lit(0).cast("long")).alias("n_links"))
+    rows = attach(every.filter(known).select("doc_id", "n_shingles", "mark"), classes.select("mark", "n", *new), ["mark"], "n", total)
+    return rows.select("doc_id", "n_shingles", *new).unionAll(rest.select("doc_id", "n_shingles", *new))
+
+
+def _labels(placed: DataFrame, t: Fraction, total: int) -> DataFrame:
+    """(node, component) of families (node, component, members, shingles), without comparing what is already connected."""
     size = placed.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
     fits = F.col("members") <= 2 * BLOCK
-    small = _join_tasks(placed.filter(fits).select(F.struct("component").alias("task"), "node", F.col("node").alias("label"), "shingles"), t, size)
+    links = _join_tasks(placed.filter(fits).select(F.struct("component").alias("task"), "node", F.col("node").alias("label"), "shingles"), t, size).select("a", "b")
     large = placed.filter(~fits).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    labels = small.select(F.col("a").alias("node"), F.col("b").alias("component"))
     if large.limit(1).count():
-        labels = labels.unionAll(components(_large(large, t, 2 * size, total), total))
-    # Rows that share a doc_id are one document, so a node can be the representative of several sets.
-    labels = cut(few(labels.groupBy("node").agg(F.min("component").alias("label")), total))
-    shared = placed.groupBy("node").agg(F.sum("copies").alias("n")).join(labels, "node")
-    moved = attach(member.select("doc_id", "node"), shared, ["node"], "n", total).select("doc_id", "label")
-    copies = member.filter("doc_id != node").select("doc_id", F.col("node").alias("label"))
-    found = moved.unionAll(copies).groupBy("doc_id").agg(F.min("label").alias("label"))
-    out = every.select("doc_id", "n_shingles").join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+        links = links.unionAll(_large(large, t, 2 * size, total).select("a", "b"))
+    return components(links, total)
 
 
 def _large(rows: DataFrame, t: Fraction, size: int, total: int) -> DataFrame:

@@ -84,7 +84,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_read(spark, sf_dir, "documents"))
+    """The classes, from all links, each verified and counted; the number of links is a query of its own."""
+    return near_duplicates(_read(spark, sf_dir, "documents"), links=True).drop("n_links")
+
+
+def op9_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), links=True)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +98,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_line_dedup, op2_pii, op3_quality_classifier, op4_byte_bpe, op5_exact_top_k, op6_chat_formatting, op7_toxicity, op8_decontamination, op9_ngram_jaccard_join, op10_substring_dedup)
+    own = (op1_line_dedup, op2_pii, op3_quality_classifier, op4_byte_bpe, op5_exact_top_k, op6_chat_formatting, op7_toxicity, op8_decontamination, op9_ngram_jaccard_join, op9_ngram_jaccard_links, op10_substring_dedup)
     return {f.__name__: f for f in own}
 
 

@@ -130,6 +130,29 @@ def test_near_duplicates(spark, block, monkeypatch):
     assert len(got) == len(rows) + 3 and sum(r.doc_id is None and r.component_id is None for r in got) == 2
 
 
+def links_brute(rows):
+    sets = {(i, frozenset(zip(*(w[j : len(w) - 4 + j] for j in range(5)), strict=True)) if len(w) > 4 else frozenset([tuple(w)] if w else ())) for i, t in rows for w in [SPACED.findall((t or "").translate(FOLD))]}
+    near = lambda x, y: len(x & y) and 100 * len(x & y) >= 80 * len(x | y)
+    return sorted((i, len(x), sum((i, x) != (j, y) and bool(near(x, y)) for j, y in sets)) for i, x in sets)
+
+
+@pytest.mark.parametrize("block", [1500, 7])
+def test_number_of_links(spark, block, monkeypatch):
+    """Every link between different texts counts, also in a family of many blocks."""
+    monkeypatch.setattr(jaccard, "PAIR_BLOCK", block)
+    rows, _ = odd(spark)
+    base = [f"v{i}" for i in range(150)]
+    for i in range(100, 140):
+        own = list(base)
+        own[(i * 7) % 150] = f"z{i % 30}"
+        base[i % 5] = f"y{i}"
+        rows.append((i, " ".join(own)))
+    got = near_duplicates(frame(spark, rows), links=True).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in got) == links_brute(rows)
+    assert max(r.n_links for r in got) > 5
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_brute(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(frame(spark, []).limit(0)).count() == 0
     assert [tuple(r) for r in near_duplicates(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]
