@@ -322,6 +322,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     classes = alive.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("copies"))
     classes = cut(few(classes, total).withColumn("node", F.monotonically_increasing_id()))
     member = attach(alive.select("doc_id", "mark"), classes, ["mark"], "n", total)
+    mark = F.when(F.col("mark").isNotNull(), F.xxhash64("mark"))
+    texts = every.filter("doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("least"), F.max(mark).alias("most"), F.count(mark).alias("held"), F.count("*").alias("all"))
+    versions = texts.filter("held > 0 AND (least != most OR held < all)").limit(1).count() > 0
     first = member.filter("doc_id = first").select("doc_id", "mark", "node", "copies").dropDuplicates(["doc_id", "mark"])
     reps = cut(few(alive.join(first, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("node", "rare", "shingles", "copies"), total))
     family = components(meetings(reps.select("node", F.col("rare").alias("keys")), total), total)
@@ -334,6 +337,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
         linked = found.filter("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     else:
         labels = _labels(placed, t, total)
+    if versions:  # the classes of a doc_id with several texts are connected by it
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(meetings(member.select("node", F.array("doc_id").alias("keys")), total)), total)
     labels = cut(few(labels, total))
     named = labels.join(classes.select("node", "first"), "node")
     least = named.groupBy("component").agg(F.min("first").alias("label"), F.count("*").alias("n"))
@@ -344,6 +349,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     new = ["component_id", *(["n_links"] if links else [])]
     rest = every.filter(f"NOT ({known})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.lit(0).cast("long")).alias("n_links"))
     rows = attach(every.filter(known).select("doc_id", "n_shingles", "mark"), classes.select("mark", "n", *new), ["mark"], "n", total)
+    if versions:  # rows without partners follow the rows that share their doc_id
+        own = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("reached"))
+        same = rest.filter("doc_id is not null").join(own, F.col("doc_id") == F.col("_id"), "left")
+        same = same.select("doc_id", "n_shingles", F.coalesce("reached", "component_id").alias("component_id"), "n_links")
+        rest = rest.filter("doc_id is null").unionAll(same)
     return rows.select("doc_id", "n_shingles", *new).unionAll(rest.select("doc_id", "n_shingles", *new))
 
 

@@ -153,6 +153,20 @@ def test_number_of_links(spark, block, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_brute(rows)
 
 
+@pytest.mark.parametrize("links", [False, True])
+def test_near_duplicates_of_a_doc_id_with_several_texts(spark, links):
+    """Documents 6 and 7 are near copies of different texts of 5; 3 has one of them, 8 is near to neither."""
+    a = [f"a{i}" for i in range(80)]
+    b = [f"a{i}" for i in range(40)] + [f"b{i}" for i in range(60)]
+    c = [f"c{i}" for i in range(90)]
+    near = lambda words, x: " ".join([*words[:-1], x])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, ""), (6, near(a, "x")), (7, near(b, "y")), (3, " ".join(b)), (8, " ".join(c)), (9, near(c, "z")), (9, None), (8, " ".join(c))]
+    got = near_duplicates(frame(spark, rows), links=links).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, 8 if i > 7 else 3) for i, _ in rows)
+    if links:
+        assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in got) == sorted([(5, 76, 1), (5, 96, 2), (5, 0, 0), (6, 76, 1), (7, 96, 2), (3, 96, 2), (8, 86, 1), (8, 86, 1), (9, 86, 1), (9, 0, 0)])
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(frame(spark, []).limit(0)).count() == 0
     assert [tuple(r) for r in near_duplicates(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]
