@@ -1,7 +1,7 @@
 """Counting of 64-bit hashes over the whole corpus, with the answers brought back to the texts.
 
-Texts are dealt to *units* of a few megabytes by a hash of their id, hashes to *parts* by their
-leading bits. A unit sends each part one packed row with its distinct hashes; the part adds up what
+Texts are dealt to *units* of a few megabytes by a hash of id and text, so that neither a null id nor
+one that many rows share makes a unit large; hashes are dealt to *parts* by their leading bits. A unit sends each part one packed row with its distinct hashes; the part adds up what
 all units sent and answers in the same order. A hash that occurs a million times in a unit is sent
 once, so frequent hashes make no part large, and no table of all hashes is ever broadcast.
 """
@@ -42,7 +42,7 @@ def deal(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Layout]:
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     dealt = shuffle_partitions(docs.sparkSession)
     layout = Layout(max(2 * dealt, -(-total // UNIT_BYTES)), max(4, int(max(dealt // 2, total // PART_BYTES) - 1).bit_length()))
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(layout.units)).cast("int").alias("unit")
+    unit = F.pmod(F.xxhash64("doc_id", text), F.lit(layout.units)).cast("int").alias("unit")
     return docs.select(unit, "doc_id", F.col(text).alias("text")), layout
 
 

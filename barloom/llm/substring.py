@@ -4,7 +4,8 @@ Non-overlapping blocks of ``span // 2`` words at fixed offsets of every text are
 every rolling window of the same width probes it. Any run of ``span`` equal words holds a whole block
 of the text it is compared with, so a passage that occurs twice is always hit. Hits are extended to
 both sides to the windows of ``span`` words that they may belong to; those windows alone are then
-compared exactly (96 bits of hash over the whole corpus), each against its first occurrence. Adjoining
+compared exactly (96 bits of hash over the whole corpus), each against its first occurrence, which is
+told by doc_id and position, as rows of one doc_id may lie in several units. Adjoining
 repeated windows make up maximal exact repeats, and the words these cover are removed.
 
 Both lookups run as in ``exchange``: each unit of texts sends every distinct hash once, whatever the
@@ -82,10 +83,11 @@ def _send_firsts(unit: Unit, number: int, table: pa.Table) -> pa.Table:
     at, long, check, order = unit.candidates(table)
     heads, _ = unit.firsts(at, long, check, order)
     rows = order[heads]
-    keys, rest, ids = long[rows], check[rows], unit.ids[unit.text_of[at[rows]]].astype("<i8")
+    text = unit.text_of[at[rows]]
+    keys, rest, ids, inner = long[rows], check[rows], unit.ids[text].astype("<i8"), (at[rows] - unit.words.first[text]).astype("<i4")
     out: dict[str, list] = {"part": [], "unit": [], "n": [], "hashes": [], "rest": []}
     for p, a, b in by_part(keys >> np.uint64(32 - unit.layout.bits), unit.layout):
-        planes = ids[a:b].view(np.uint8).reshape(-1, 8)
+        planes = np.concatenate([ids[a:b].view(np.uint8).reshape(-1, 8), inner[a:b].view(np.uint8).reshape(-1, 4)], axis=1)
         for k, v in (("part", p), ("unit", number), ("n", b - a), ("hashes", keys[a:b].tobytes() + rest[a:b].tobytes()), ("rest", squeeze(*planes.T))):
             out[k].append(v)
     kinds = {"part": pa.int32(), "unit": pa.int32(), "n": pa.int32(), "hashes": pa.binary(), "rest": pa.binary()}
@@ -93,19 +95,22 @@ def _send_firsts(unit: Unit, number: int, table: pa.Table) -> pa.Table:
 
 
 def _earliest(table: pa.Table) -> pa.Table:
-    """For each window content that a unit has: whether the unit holds its first occurrence (1) or not (0)."""
+    """For each window content that a unit has: whether its first one there is the first of all (1) or not (0)."""
     units, sizes = table.column("unit").to_pylist(), table.column("n").to_pylist()
-    keys, check, ids = [], [], []
+    keys, check, ids, inner = [], [], [], []
     for n, packed, rest in zip(sizes, table.column("hashes").to_pylist(), table.column("rest").to_pylist(), strict=True):
         keys.append(np.frombuffer(packed, np.uint64, n))
         check.append(np.frombuffer(packed, np.uint32, n, 8 * n))
-        ids.append(np.ascontiguousarray(swell(rest, 8 * n).reshape(8, n).T).reshape(-1).view("<i8"))
-    keys, check, ids = np.concatenate(keys), np.concatenate(check), np.concatenate(ids)
-    order = np.lexsort((ids, check, keys))
+        planes = swell(rest, 12 * n).reshape(12, n)
+        ids.append(np.ascontiguousarray(planes[:8].T).reshape(-1).view("<i8"))
+        inner.append(np.ascontiguousarray(planes[8:].T).reshape(-1).view("<i4"))
+    keys, check, ids, inner = (np.concatenate(x) for x in (keys, check, ids, inner))
+    order = np.lexsort((inner, ids, check, keys))
     new = np.ones(len(order), bool)
     new[1:] = (keys[order][1:] != keys[order][:-1]) | (check[order][1:] != check[order][:-1])
     out = np.zeros(len(order), np.uint8)
-    out[order[new]] = 1
+    head = order[new][np.cumsum(new) - 1]
+    out[order] = (ids[order] == ids[head]) & (inner[order] == inner[head])
     ends = np.cumsum([0, *sizes])
     n = len(units)
     return pa.table({"unit": pa.array(units, pa.int32()), "part": pa.array([table.column("part")[0].as_py()] * n, pa.int32()), "kind": pa.array([1] * n, pa.int32()), "n": pa.array(sizes, pa.int32()), "answer": pa.array([squeeze(out[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})

@@ -15,6 +15,7 @@ from barloom.llm import byte_bpe, chat, jaccard, pii, quality, toxicity, words
 from barloom.llm import queries as q
 from barloom.llm.components import components
 from barloom.llm.decontaminate import find_contamination
+from barloom.llm.exchange import deal
 from barloom.llm.jaccard import near_duplicates
 from barloom.llm.line_dedup import drop_repeated_lines
 from barloom.llm.sql import ORACLES
@@ -222,6 +223,34 @@ def test_substring_removal(spark):
     assert remove_repeats(frame(spark, []).limit(0)).count() == 0
 
 
+def test_a_hot_doc_id_is_dealt_to_many_units(spark):
+    for i in (None, 7):
+        dealt, layout = deal(frame(spark, [(i, f"text {j}") for j in range(400)]))
+        share = [r["count"] for r in dealt.groupBy("unit").count().collect()]
+        assert len(share) == layout.units > 4 and max(share) < 150
+
+
+def test_substring_removal_from_versions_of_a_document(spark):
+    """Equal words at equal positions of one doc_id are no repeat, wherever its rows are dealt to."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(200)]
+    rows = [(i, " ".join([*(f"h{i}-{j}" for j in range(i % 3)), *passage[: rng.randint(30, 200)], f"t{i}-{k}"])) for i in (5, 6) for k in range(12)]
+    rows += [(4, " ".join(passage[150:190])), (None, " ".join(passage))]
+    first = {}
+    split = [(i, t.split(" ")) for i, t in rows]
+    for i, w in split:
+        for j in range(len(w) - 19):
+            if i is not None:
+                k = tuple(w[j : j + 20])
+                first[k] = min(first.get(k, (i, j)), (i, j))
+    want = []
+    for i, w in split:
+        gone = {j + x for j in range(len(w) - 19) if i is not None and first[tuple(w[j : j + 20])] != (i, j) for x in range(20)}
+        want.append((i or 0, " ".join(x for j, x in enumerate(w) if j not in gone)))
+    got = remove_repeats(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.kept) for r in got) == sorted(want)
+
+
 def contamination_brute(rows, items):
     windows = {}
     for i, t in items:
