@@ -24,6 +24,8 @@ from barloom.sources import repository as repo
 #: Look-back windows for the 30 days of events.
 PERIODS = (7, 14, 21, 30)
 EMAS = ((9, 21), (13, 34))
+#: Event ids, one after the other, whose candles make up a payload.
+PAYLOAD_IDS = 1_000
 #: Rules of the strategies that the backtest queries run.
 RULES = ("ema_fast_above_slow", "ema_fast_below_slow", "price_above_both_emas", "price_below_both_emas", "price_above_vwap", "price_below_vwap", "rsi_above_30", "rsi_below_70", "breakout_above_20bar_high", "detect_liquidity_sweep_low", "detect_bullish_engulfing", "detect_bearish_engulfing", "detect_inside_bar", "detect_discount_zone")
 # Strategies as (id, entry rules, stop, risk-reward, fast, slow); all on 1-hour bars of every market.
@@ -88,13 +90,19 @@ def bars_lineitem(spark, sf_dir):
     return shown(src.aggregate_bars(src.lineitem_ticks(_read(spark, sf_dir, "lineitem")), "1d"))
 
 
-def candles_decoded(spark, sf_dir):
-    """Payload texts made of the events of each type and day, decoded; several candles of a second are kept once."""
-    events = _read(spark, sf_dir, "events").filter("value IS NOT NULL AND ts IS NOT NULL")
+def candle_payloads(events: DataFrame) -> DataFrame:
+    """(market, timeframe, seq, payload): a text for each event type and PAYLOAD_IDS event ids, so none grows with the table."""
+    events = events.filter("value IS NOT NULL AND ts IS NOT NULL")
     candle = F.array(F.unix_timestamp("ts").cast("double"), F.col("value"), F.col("value") + 1, F.col("value") - 1, F.col("value") / 2, F.lit(1.0))
-    payloads = events.groupBy(F.col("event_type").alias("market"), F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_list(F.struct("event_id", candle.alias("c")))).alias("cs"))
+    chunk = F.floor(F.col("event_id") / PAYLOAD_IDS).alias("seq")
+    payloads = events.groupBy(F.col("event_type").alias("market"), chunk).agg(F.sort_array(F.collect_list(F.struct("event_id", candle.alias("c")))).alias("cs"))
     text = F.to_json(F.struct(F.lit("ok").alias("s"), F.transform("cs", lambda x: x["c"]).alias("candles")))
-    payloads = payloads.select("market", F.lit("1m").alias("timeframe"), F.unix_date("day").alias("seq"), text.alias("payload"))
+    return payloads.select("market", F.lit("1m").alias("timeframe"), "seq", text.alias("payload"))
+
+
+def candles_decoded(spark, sf_dir):
+    """Payload texts made of the events of each type, decoded; several candles of a second are kept once."""
+    payloads = candle_payloads(_read(spark, sf_dir, "events"))
     return shown(src.first_per_timestamp(src.decode_candles(payloads), "seq", "at"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import no_nan, with_bar_idx
 from barloom.operators import indicators as ind
+from barloom.plans.queries import candle_payloads
 from barloom.sources import bars as src
 
 START = datetime(2025, 1, 1)
@@ -67,6 +68,15 @@ def test_payload_decoding_and_first_row_wins(spark):
     assert [(r.ts.minute, r.open, r.volume) for r in got] == [(1, 1.0, 10.0), (2, 2.0, 20.0)]
 
 
+def test_payloads_stay_small_on_a_hot_type_and_day(spark):
+    events = spark.range(5_000).selectExpr("id AS event_id", "timestamp'2025-01-01' + make_dt_interval(0, 0, 0, id % 700) AS ts", "'m' AS event_type", "CAST(id AS double) AS value")
+    payloads = candle_payloads(events)
+    sizes = [r.n for r in payloads.selectExpr("size(from_json(payload, 'struct<candles:array<array<double>>>').candles) AS n").collect()]
+    assert sum(sizes) == 5_000 and max(sizes) <= 1_000
+    got = src.first_per_timestamp(src.decode_candles(payloads), "seq", "at").collect()
+    assert sorted(r.open for r in got) == [float(i) for i in range(700)]
+
+
 def test_files_round_trip(spark, tmp_path):
     bars = src.sorted_bars(series(spark, [1, 2, 3]))
     src.write_bars(bars, str(tmp_path / "bars"))
