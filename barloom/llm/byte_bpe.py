@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 PIECE = 50_000
 #: Bytes of text that are encoded before their ids are handed on.
 BATCH_BYTES = 4_000_000
-#: No match of the split pattern goes on over white space that follows something else.
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: No match of the split pattern goes on over white space that follows something else. U+001C to U+001F
+#: are white space to Python alone.
+_SAFE = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")
 _codecs: dict[str, Codec] = {}
 
 

@@ -339,6 +339,15 @@ def test_byte_bpe(spark):
     assert byte_bpe.encode(df.limit(0), q.RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_texts_are_not_cut_before_control_characters():
+    with open(q.RANKS, "rb") as f:
+        bpe = byte_bpe.codec(f.read(), public_tokenizers.PATTERN)
+    text = "ab " * (byte_bpe.PIECE // 3) + "xx!\x1c\x1d!\x1f " + "ab " * byte_bpe.PIECE
+    parts = list(byte_bpe.pieces(text))
+    assert len(parts) > 2 and parts[0].endswith("!\x1f ab")
+    assert bpe.encode(text).tolist() == bpe.own.encode_ordinary(text)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     vectors = [(int(i), [float(x) for x in rng.normal(size=12) * 10 ** rng.uniform(-2, 1)]) for i in range(400)]
