@@ -1,13 +1,16 @@
 """Counting of 64-bit hashes over the whole corpus, with the answers brought back to the texts.
 
 Texts are dealt to *units* of a few megabytes by a hash of id and text, so that neither a null id nor
-one that many rows share makes a unit large; hashes are dealt to *parts* by their leading bits. A unit sends each part one packed row with its distinct hashes; the part adds up what
-all units sent and answers in the same order. A hash that occurs a million times in a unit is sent
+one that many rows share makes a unit large; hashes are dealt to *parts* by their leading bits. A
+unit sends each part that it has hashes for one packed row; the part adds up what all units sent and
+answers in the same order. So rows are at most the distinct hashes of all units, however many units
+and parts there are. A hash that occurs a million times in a unit is sent
 once, so frequent hashes make no part large, and no table of all hashes is ever broadcast.
 """
 
 from __future__ import annotations
 
+import secrets
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +25,17 @@ _ZSTD = pa.Codec("zstd", 1)
 SENT = "part int, unit int, n int, low binary, high binary"
 ANSWER = "unit int, part int, kind int, n int, answer binary"
 MANY = 255
+#: Fewer bytes are not compressed.
+SMALL = 64
 
 
 @dataclass(frozen=True)
 class Layout:
+    """Numbers of units and (as bits) of parts, and the key of the word hashes, drawn anew for each run."""
+
     units: int
     bits: int
+    key: int
 
     def part(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -41,17 +49,18 @@ def deal(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Layout]:
     """(unit, doc_id, text) and the layout; their numbers follow the bytes of text."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     dealt = shuffle_partitions(docs.sparkSession)
-    layout = Layout(max(2 * dealt, -(-total // UNIT_BYTES)), max(4, int(max(dealt // 2, total // PART_BYTES) - 1).bit_length()))
+    layout = Layout(max(2 * dealt, -(-total // UNIT_BYTES)), max(4, int(max(dealt // 2, total // PART_BYTES) - 1).bit_length()), secrets.randbits(63))
     unit = F.pmod(F.xxhash64("doc_id", text), F.lit(layout.units)).cast("int").alias("unit")
     return docs.select(unit, "doc_id", F.col(text).alias("text")), layout
 
 
 def squeeze(*planes: np.ndarray) -> bytes:
-    return _ZSTD.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in planes), asbytes=True)
+    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in planes)
+    return raw if len(raw) < SMALL else _ZSTD.compress(raw, asbytes=True)
 
 
 def swell(packed: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(_ZSTD.decompress(packed, size, asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+    return np.frombuffer(packed if size < SMALL else _ZSTD.decompress(packed, size, asbytes=True), np.uint8)
 
 
 def distinct(hashes: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +74,11 @@ def distinct(hashes: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray
 
 def by_part(keys: np.ndarray, layout: Layout) -> list[tuple[int, int, int]]:
     """(part, from, to) for the parts that sorted keys fall into."""
-    edges = np.searchsorted(keys, np.arange(2**layout.bits + 1, dtype=np.uint64) << np.uint64(32))
-    return [(p, int(a), int(b)) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+    if not len(keys):
+        return []
+    part = (keys >> np.uint64(32)).astype(np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(keys)]])
+    return list(zip(part[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
 def pack(unit: int, keys: np.ndarray, values: np.ndarray, layout: Layout) -> pa.RecordBatch:

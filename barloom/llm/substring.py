@@ -4,7 +4,7 @@ Non-overlapping blocks of ``span // 2`` words at fixed offsets of every text are
 every rolling window of the same width probes it. Any run of ``span`` equal words holds a whole block
 of the text it is compared with, so a passage that occurs twice is always hit. Hits are extended to
 both sides to the windows of ``span`` words that they may belong to; those windows alone are then
-compared exactly (96 bits of hash over the whole corpus), each against its first occurrence, which is
+compared (by 96 bits from two hashes of every word, keyed anew in each run), each against its first occurrence, which is
 told by doc_id and position, as rows of one doc_id may lie in several units. Adjoining
 repeated windows make up maximal exact repeats, and the words these cover are removed.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barloom.llm.exchange import ANSWER, SENT, Layout, answered, answers, by_part, deal, distinct, pack, squeeze, swell
-from barloom.llm.words import Words, inside, split_words, utf8, windows
+from barloom.llm.words import Words, inside, split_words, utf8, windows, word_hashes
 
 FIRST = "part int, unit int, n int, hashes binary, rest binary"
 _OTHER = 0xA0761D6478BD642F
@@ -31,7 +31,7 @@ class Unit:
 
     def __init__(self, table: pa.Table, span: int, layout: Layout):
         self.data, self.offsets = utf8(table.column("text"))
-        self.words: Words = split_words(self.data, self.offsets, fold=False)
+        self.words: Words = split_words(self.data, self.offsets, fold=False, key=layout.key)
         self.span, self.layout, self.block = span, layout, span // 2
         ids = table.column("doc_id")
         self.known = ids.is_valid().to_numpy()
@@ -67,10 +67,21 @@ class Unit:
         reach = self.span - self.block + 1
         at = np.arange(len(long))
         at = at[ok & (sums[at + reach] > sums[at])]
-        check = windows(self.words.hash, self.span, _OTHER)[at] >> np.uint64(32)
+        check = windows(self._second_hashes(at), self.span, _OTHER)[at] >> np.uint64(32)
         order = np.lexsort((at - self.words.first[self.text_of[at]], self.ids[self.text_of[at]], check, long[at]))
         return at, long[at], check.astype(np.uint32), order
 
+    def _second_hashes(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the words of the windows at ``at`` by another key, 0 for other words."""
+        w = self.words
+        edge = np.zeros(len(w.hash) + 1, np.int64)
+        edge[at] += 1
+        edge[at + self.span] -= 1
+        held = np.flatnonzero(np.cumsum(edge[:-1]))
+        out = np.zeros(len(w.hash), np.uint64)
+        out[held] = word_hashes(self.data, w.begin[held], w.end[held], self.layout.key ^ _OTHER)
+        return out
+
     def firsts(self, at, long, check, order) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``order`` where a new window content starts; the group of each."""
         a, b = long[order], check[order]

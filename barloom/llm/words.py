@@ -5,6 +5,7 @@ All functions work on the byte buffer of a whole column, so no Python object is
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,14 +13,15 @@ import pyarrow as pa
 
 #: Bytes that are hashed at a time; a text is never split, so one longer text is hashed alone.
 CHUNK = 1_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Longer words are hashed one by one.
+LONG_WORD = 256
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, np.ndarray] = {}
+#: The key of hashes that must be alike in every run, as those of features.
+FIXED = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE = np.random.default_rng(20_240_607).integers(1, 2**63, 256).astype(np.uint64)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,12 +33,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64."""
-    if base not in _powers or len(_powers[base]) < n:
-        with np.errstate(over="ignore"):
-            _powers[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n + 1023, base, np.uint64)]))
-    return _powers[base][:n]
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """64 bits for the bytes of each word, taken in blocks of 8, each mixed in before the next.
+
+    Different words have equal bits with a chance of 2**-64 whatever they are, if ``key`` is drawn at
+    random. Words of up to 8 bytes and one length never do.
+    """
+    size, odd = end - begin, np.uint64((key * 2 + 1) % 2**64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    block_at = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(np.uint64) * _STEP + np.uint64(key % 2**64))
+        rows, at = np.arange(len(size)), 0
+        while len(rows):
+            spare = np.maximum(0, 8 - (size[rows] - at)) * 8
+            block = block_at[begin[rows] + at] << spare.astype(np.uint64)
+            out[rows] = mix((out[rows] ^ block) * odd)
+            at += 8
+            rows = rows[(size[rows] > at) & (size[rows] <= LONG_WORD)]
+    secret = (key % 2**64).to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8, key=secret).digest(), "little")
+    return out
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,29 +84,25 @@ class Words:
     first: np.ndarray
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, fold: bool, key: int = FIXED) -> Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of every text. fold: A-Z and a-z hash alike."""
     begins, ends, hashes, per_text = [], [], [], []
-    table, inverse = _FOLDED if fold else _BYTE, pow(int(_BASE), -1, 2**64)
     n, at = len(offsets) - 1, 0
-    with np.errstate(over="ignore"):
-        while at < n:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
-            base = offsets[at]
-            part, bounds = data[base : offsets[to]], offsets[at : to + 1] - base
-            space = _SPACE[part]
-            before, after = np.ones(len(part), bool), np.ones(len(part), bool)
-            before[1:], after[:-1] = space[:-1], space[1:]
-            before[bounds[:-1][bounds[:-1] < len(part)]] = True
-            after[bounds[1:][bounds[1:] > 0] - 1] = True
-            b, e = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(table[part] * powers(int(_BASE), len(part)), out=sums[1:])
-            hashes.append(mix((sums[e] - sums[b]) * powers(inverse, len(part) + 1)[b] + (e - b).astype(np.uint64)))
-            begins.append(b + base)
-            ends.append(e + base)
-            per_text.append(np.diff(np.searchsorted(b, bounds)))
-            at = to
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        base = offsets[at]
+        part, bounds = data[base : offsets[to]], offsets[at : to + 1] - base
+        space = _SPACE[part]
+        before, after = np.ones(len(part), bool), np.ones(len(part), bool)
+        before[1:], after[:-1] = space[:-1], space[1:]
+        before[bounds[:-1][bounds[:-1] < len(part)]] = True
+        after[bounds[1:][bounds[1:] > 0] - 1] = True
+        b, e = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+        hashes.append(word_hashes(_LOWER[part] if fold else part, b, e, key))
+        begins.append(b + base)
+        ends.append(e + base)
+        per_text.append(np.diff(np.searchsorted(b, bounds)))
+        at = to
     join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
     first = np.zeros(n + 1, np.int64)
     np.cumsum(join(per_text, np.int64), out=first[1:])
