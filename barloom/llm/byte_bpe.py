@@ -16,48 +16,86 @@ from pyspark.sql import functions as F
 PIECE = 50_000
 #: Bytes of text that are encoded before their ids are handed on.
 BATCH_BYTES = 4_000_000
+#: A longer run of white space never goes through the pattern, which could not take it back step by step.
+RUN = 10_000
 #: No match of the split pattern goes on over white space that follows something else. U+001C to U+001F
 #: are white space to Python alone.
 _SAFE = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")
-_codecs: dict[str, Codec] = {}
+_LONG_RUN = re.compile(r"[^\S\x1c-\x1f]{%d,}" % RUN)
+_coders: dict[str, Encoder | Decoder] = {}
 
 
-class Codec:
+def _table(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+
+
+class Encoder:
     """A vocabulary of ranks with the pattern that splits text before merging."""
 
     def __init__(self, ranks: bytes, pattern: str):
         import tiktoken
 
-        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-        self.own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.piece = np.empty(max(table.values()) + 1, object)
+        self.own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_table(ranks), special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        parts = [self._one(p) if whole else self.own.encode_to_numpy(p, disallowed_special=()) for p, whole in pieces(text)]
+        return np.concatenate([np.zeros(0, np.uint32), *parts]).astype("<i4")
+
+    def _one(self, match: str) -> np.ndarray:
+        """The ids of one match of the pattern."""
+        return np.array(self.own._encode_single_piece(match), np.uint32)
+
+
+class Decoder:
+    """The bytes of each rank."""
+
+    def __init__(self, ranks: bytes):
+        table = _table(ranks)
+        self.piece = np.empty(max(table.values(), default=-1) + 2, object)
         self.piece[:] = b""
         for token, rank in table.items():
             self.piece[rank] = token
 
-    def encode(self, text: str) -> np.ndarray:
-        parts = [self.own.encode_to_numpy(p, disallowed_special=()) for p in pieces(text)]
-        return np.concatenate([np.zeros(0, np.uint32), *parts]).astype("<i4")
+    def decode(self, ids: pa.Array) -> bytes:
+        ids = ids.drop_null().to_numpy()
+        return b"".join(self.piece[np.where((ids < 0) | (ids >= len(self.piece)), len(self.piece) - 1, ids)])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(self.piece[ids])
 
+def pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """Parts of a text, cut only where the split pattern always ends a match; and whether a part is one whole match.
 
-def pieces(text: str) -> Iterator[str]:
-    """Parts of a long text, cut only where the split pattern always ends a match."""
+    Of a run of white space the pattern takes all but the last character as one match, which may begin
+    the next; of a run at the end it takes all. No other match goes on over it.
+    """
     done = 0
-    while len(text) - done > PIECE and (m := _SAFE.search(text, done + PIECE)):
-        yield text[done : m.start()]
+    for m in _LONG_RUN.finditer(text) if len(text) >= RUN else ():
+        yield from _between(text, done, m.start())
+        done = m.end() - (m.end() < len(text))
+        yield text[m.start() : done], True
+    yield from _between(text, done, len(text))
+
+
+def _between(text: str, done: int, end: int) -> Iterator[tuple[str, bool]]:
+    while end - done > PIECE and (m := _SAFE.search(text, done + PIECE, end)):
+        yield text[done : m.start()], False
         done = m.start()
-    yield text[done:]
+    if done < end:
+        yield text[done:end], False
+
+
+def _kept(key: str, make):
+    """A worker's coder, built once."""
+    if key not in _coders:
+        _coders[key] = make()
+    return _coders[key]
+
+
+def encoder(ranks: bytes, pattern: str) -> Encoder:
+    return _kept("e" + hashlib.sha256(ranks + pattern.encode()).hexdigest(), lambda: Encoder(ranks, pattern))
 
 
-def codec(ranks: bytes, pattern: str) -> Codec:
-    """The codec of a worker, built once."""
-    key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs[key] = Codec(ranks, pattern)
-    return _codecs[key]
+def decoder(ranks: bytes) -> Decoder:
+    return _kept("d" + hashlib.sha256(ranks).hexdigest(), lambda: Decoder(ranks))
 
 
 def _sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -73,7 +111,9 @@ def _sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs(text, ...)`` with ``ids array<int>`` by the ranks in ``path`` (a local file of the driver).
 
-    Each match of ``pattern`` is encoded separately and no string counts as a special token. A null or
+    Each match of ``pattern`` is encoded separately and no string counts as a special token. The last
+    alternatives of ``pattern`` must be ``\\s+(?!\\S)|\\s+``, and no other may take white space but one
+    leading space. A null or
     empty text has no ids. Other columns pass through; one named ids is replaced. Rows are independent,
     so repeated rows, null ids and empty tables need no rule of their own.
     """
@@ -82,7 +122,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     rest = [c for c in docs.columns if c.lower() != "ids"]
 
     def run(batches):
-        bpe = codec(ranks.value, pattern)
+        bpe = encoder(ranks.value, pattern)
         for batch in batches:
             for part in _sliced(batch, "text"):
                 ids = [bpe.encode(x.as_py() or "") for x in part.column("text")]
@@ -93,10 +133,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select(*rest).mapInArrow(run, schema)
 
 
-def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows(ids, ...)`` with ``decoded binary``: the bytes that the ids stand for; null ids give empty bytes.
 
-    The bytes of a single token need not be valid UTF-8. Ids that the file lacks add nothing. Other
+    The bytes of a single token need not be valid UTF-8. Ids that are null, negative or not in the file
+    add nothing. Other
     columns pass through; one named decoded is replaced.
     """
     with open(path, "rb") as f:
@@ -104,11 +145,11 @@ def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     rest = [c for c in rows.columns if c.lower() != "decoded"]
 
     def run(batches):
-        bpe = codec(ranks.value, pattern)
+        bpe = decoder(ranks.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out = [b"" if not x.is_valid else bpe.decode(np.clip(x.values.to_numpy(zero_copy_only=False), 0, len(bpe.piece) - 1)) for x in part.column("ids")]
+                out = [bpe.decode(x.values) if x.is_valid else b"" for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*rest, "decoded"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema), "decoded binary"])

@@ -1,8 +1,14 @@
-"""Personal data in texts: regular expressions propose, checksums confirm, context words adjust the score."""
+"""Personal data and secrets in texts: regular expressions propose, checksums confirm, context words adjust the score.
+
+The four base kinds are always reported, with their score. Every added kind is reported only if its
+score reaches the threshold, and words near it can decide that either way.
+"""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Kinds in the order in which spans of one start are listed; the first four are always reported.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 SPANS = "array<struct<kind:string,start:long,end:long,score:double>>"
 #: Code points to both sides of a span in which context words count.
@@ -25,10 +31,21 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api", "auth", "bearer", "credential", "credentials", "private", "contraseña", "passwort", "clave"),
+}
+# Words that make a kind less likely when they stand near.
+AGAINST = {
+    "iban": ("invoice", "order", "serial", "model", "part"),
+    "ssn": ("isbn", "order", "serial", "part", "invoice", "version"),
+    "secret": ("commit", "checksum", "digest", "sha", "md5", "etag", "revision", "hash", "uuid"),
 }
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.6, "ssn": 0.3, "secret": 0.3}
+#: What a confirmed checksum (of a secret: a known prefix) and words near a span add and take.
+CONFIRMED, NEAR_WORD = 0.1, 0.3
+#: Bits for each character below which a run of characters is no secret.
+RANDOM = 3.0
 
-_TRACE = re.compile("[0-9@]")
+_TRACE = re.compile("[0-9@]|-----BEGIN")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match can't begin inside a run of digits whose first digit begins none; the look-behind keeps long runs linear.
@@ -37,6 +54,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+# Runs of characters of tokens; a match can't begin inside a run.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+_HEADER = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+_HEX = re.compile(r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})")
+# How tokens of well-known services begin.
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "rk_live_", "sk-", "xoxb-", "xoxp-", "AIza", "eyJ", "hf_", "npm_")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -73,36 +96,58 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def entropy(text: str) -> float:
+    """Bits for each character by how often the text has each."""
+    n = len(text)
+    return -sum(k / n * math.log2(k / n) for k in Counter(text).values())
+
+
+def _secrets(text: str) -> Iterator[tuple[str, int, int, float]]:
+    """Runs that look drawn at random, with what their shape adds to the score."""
+    for m in _HEADER.finditer(text):
+        yield "secret", m.start(), m.end(), 0.6
+    for m in _TOKEN.finditer(text):
+        run = m[0]
+        if not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)) or entropy(run) < RANDOM:
+            continue
+        if run.startswith(PREFIXES):
+            yield "secret", m.start(), m.end(), 0.4
+        elif _HEX.fullmatch(run) or (any(map(str.isupper, run)) and any(map(str.islower, run))):
+            yield "secret", m.start(), m.end(), 0.0
+
+
 def _digits(text: str) -> list[int]:
     return [int(c) for c in _DIGIT.findall(text)]
 
 
-def _proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
-    """(kind, start, end, a checksum confirms it)"""
-    yield from (("email", a, b, False) for a, b in _emails(text))
+def _proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
+    """(kind, start, end, what a checksum or the shape adds to the score)"""
+    yield from (("email", a, b, 0.0) for a, b in _emails(text))
     for m in _IP.finditer(text):
         if all(len(p := x.lstrip("0")) < 4 and int(p or 0) <= 255 for x in m[0].split(".")):
-            yield "ip", m.start(), m.end(), False
+            yield "ip", m.start(), m.end(), 0.0
     for m in _CARD.finditer(text):
         if 12 <= len(_DIGIT.findall(m[0])) <= 19 and luhn(_digits(m[0])):
-            yield "card", m.start(), m.end(), True
+            yield "card", m.start(), m.end(), CONFIRMED
     for m in _PHONE.finditer(text):
         if 9 <= len(_DIGIT.findall(m[0])) <= 15:
-            yield "phone", m.start(), m.end(), False
+            yield "phone", m.start(), m.end(), 0.0
     for m in _IBAN.finditer(text):
         if 15 <= len(account := m[0].replace(" ", "")) <= 34 and mod97(account):
-            yield "iban", m.start(), m.end(), True
+            yield "iban", m.start(), m.end(), CONFIRMED
     for m in _SSN.finditer(text):
-        yield "ssn", m.start(), m.end(), False
+        yield "ssn", m.start(), m.end(), 0.0
+    yield from _secrets(text)
 
 
 def spans(text: str | None) -> list[Span]:
     """All spans of a text, by start and then in the order of KINDS; offsets are code points."""
     found = []
     if text and _TRACE.search(text):
-        for kind, a, b, sure in _proposed(text):
+        for kind, a, b, more in _proposed(text):
             near = {w.lower() for w in _WORD.findall(text[max(0, a - NEAR) : a] + "\n" + text[b : b + NEAR])}
-            score = min(1.0, PRIOR[kind] + 0.1 * sure + 0.3 * any(w in near for w in CONTEXT[kind]))
+            words = any(w in near for w in CONTEXT[kind]) - any(w in near for w in AGAINST.get(kind, ()))
+            score = min(1.0, max(0.0, PRIOR[kind] + more + NEAR_WORD * words))
             if kind in BASE or score >= THRESHOLD:
                 found.append(Span(kind, a, b, round(score, 3)))
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))

@@ -18,6 +18,8 @@ from barloom.llm.words import split_words, utf8, windows
 
 #: Labelled rows of each class that the model is fitted on, at most. Fitting needs one machine.
 FIT_ROWS = 1_500
+#: Longer texts are scored, but the model is not fitted on them.
+FIT_BYTES = 50_000
 ROWS_BITS, WIDTH = 17, 8
 EPOCHS, STEPS, BATCH, RATE = 6, 1_200, 16, 60.0
 GRAMS = (3, 4)
@@ -32,16 +34,20 @@ _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1]
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """At most ``per_class`` labelled texts of each class, by a hash of the id, and the size of each class."""
-    labels = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))
+    """At most ``per_class`` labelled texts of each class, by a hash of the id, and the size of each class.
+
+    An id with several texts or labels gives each label one text. Texts of more than FIT_BYTES are left
+    out, so the driver gets ``2 * per_class * FIT_BYTES`` at most.
+    """
+    labels = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     sizes = {int(r[0]): int(r[1]) for r in labels.groupBy("label").count().collect()}
     chosen = None
     for label in (0, 1):
         part = labels.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
-    # The limit bounds what repeated rows of one id can send to the driver.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").limit(4 * per_class).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or "", r["label"]))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES)
+    rows = found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["label"]))
     return [(r["text"] or "", r["label"]) for r in rows], sizes
 
 
@@ -157,8 +163,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS)
     """``(doc_id, text, score)`` for each row of ``docs``, learned from ``labels(doc_id, label)``.
 
     score, 0 to 1, is higher the likelier label 1 is. Only the text is an input. The model is fitted
-    on at most ``per_class`` labelled documents of each class. Null texts count as empty and get the
-    score of the prior; labels that are null or neither 0 nor 1 are left out; without labels of both
+    on at most ``per_class`` labelled documents of each class, none longer than FIT_BYTES. Null texts count
+    as empty and get the score of the prior; labels that are null or neither 0 nor 1 are left out; without labels of both
     classes all scores are alike. Repeated rows are scored alike; an empty table stays empty.
     """
     return score(docs.select("doc_id", "text"), fit(*sample(docs, labels, per_class)))

@@ -40,12 +40,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    labels = _read(spark, sf_dir, "labels").filter(~held_out("doc_id")).select("doc_id", F.col(label).alias("label"))
-    return _read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return _read(spark, sf_dir, "labels").filter(~held_out("doc_id")).select("doc_id", F.col(label).alias("label"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     ids = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return byte_bpe.digests(byte_bpe.decode(ids, RANKS, public_tokenizers.PATTERN))
+    return byte_bpe.digests(byte_bpe.decode(ids, RANKS))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

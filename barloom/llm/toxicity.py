@@ -242,8 +242,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS
     """``(doc_id, text, score)`` for each row of ``docs``, learned from ``labels(doc_id, label)``.
 
     score, 0 to 1, is the calibrated likelihood of label 1. Only the text is an input. The model is
-    fitted on at most ``per_class`` labelled documents of each class. Null texts count as empty; labels
-    that are null or neither 0 nor 1 are left out; without labels of both classes all scores are the
+    fitted on at most ``per_class`` labelled documents of each class, none longer than ``quality.FIT_BYTES``;
+    with so few that a part of them lacks a class, all parts are the same rows and the calibration rests on
+    scores of training. Null texts count as empty; labels that are null or neither 0 nor 1 are left out; without labels of both classes all scores are the
     share of label 1. Repeated rows are scored alike; an empty table stays empty.
     """
     return score(docs.select("doc_id", "text"), fit(*sample(docs, labels, per_class)))
