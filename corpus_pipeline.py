@@ -59,7 +59,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_text) of the documents that are left."""
     ids = byte_bpe.encode(docs.select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(ids.select("doc_id", "ids"), RANKS, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(ids.select("doc_id", "ids"), RANKS)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("decoded_text"))
 
 
