@@ -17,6 +17,8 @@ from barloom.llm.common import attach, cut
 
 #: Rows that a task of a graph step takes, and the fewest tasks.
 TASK_ROWS, LEAST_TASKS = 25_000, 12
+#: Keys that a task of ``meetings`` holds at a time, and rows that it hands on at a time.
+TASK_KEYS, SENT = 2_000_000, 50_000
 
 
 class Forest:
@@ -83,28 +85,45 @@ def components(edges: DataFrame, rows: int) -> DataFrame:
     return ends.filter("up = 0").select(F.col("x").alias("node"), F.col("x").alias("component")).unionAll(now.select(F.col("u").alias("node"), F.col("v").alias("component")))
 
 
-def meetings(rows: DataFrame, size: int, kind: str = "long") -> DataFrame:
-    """Edges (a, b) that connect all nodes of ``rows(node, keys)`` which share a key; node bigint, keys an array of long or binary.
+def meetings(rows: DataFrame, size: int) -> DataFrame:
+    """Edges (a, b) that connect all nodes of ``rows(node, keys)`` which share a key; node bigint, keys an array of bigint.
 
-    Each partition first connects its own nodes, and sends one node for each key and group, so a key
-    that very many nodes share costs each partition one row, and no pairs of nodes are made. ``size``,
-    about how many rows there are, only sets how many tasks work on them.
+    Each partition first connects its own nodes, and sends one node for each key, so a key that very
+    many nodes share costs each partition one row, and no pairs of nodes are made. ``size``, about how
+    many keys there are, only sets how many tasks work on them; a task holds 16 bytes for each key.
     """
 
     def run(batches):
-        forest, first = Forest(), {}
+        nodes, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            for node, keys in zip(batch.column("node").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                forest.find(node)
-                for key in keys or ():
-                    forest.union(node, first.setdefault(key, node))
-        inner = [(None, x, r) for x in forest.parent if (r := forest.find(x)) != x]
-        outer = [(k, forest.find(x), None) for k, x in first.items()]
-        both = inner + outer
-        types = (pa.int64() if kind == "long" else pa.binary(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in both], t) for i, (n, t) in enumerate(zip(("key", "a", "b"), types, strict=True))})
-
-    met = cut(few(rows, size).mapInArrow(run, f"key {kind}, a long, b long"))
+            held = batch.column("keys")
+            own = batch.column("node").to_numpy()
+            ends = held.offsets.to_numpy() if len(held) else np.zeros(1, np.int32)
+            keys.append(held.values.to_numpy()[ends[0] : ends[-1]])
+            nodes.append(np.repeat(own, np.diff(ends)))
+        node, key = np.concatenate(nodes), np.concatenate(keys)
+        del nodes, keys
+        order = np.lexsort((node, key))
+        node, key = node[order], key[order]
+        start = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        pairs = np.unique(np.stack([node[1:], node[:-1]], 1)[~start[1:]], axis=0) if len(key) else np.zeros((0, 2), np.int64)
+        forest = Forest()
+        for x, y in pairs.tolist():
+            if x != y:
+                forest.union(x, y)
+        inner = np.array([(x, r) for x in forest.parent if (r := forest.find(x)) != x], np.int64).reshape(-1, 2)
+        node, key = node[start], key[start]
+        if len(inner):
+            inner = inner[np.argsort(inner[:, 0])]
+            at = np.minimum(np.searchsorted(inner[:, 0], node), len(inner) - 1)
+            node = np.where(inner[at, 0] == node, inner[at, 1], node)
+        if len(inner):
+            yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(inner), pa.int64()), "a": pa.array(inner[:, 0]), "b": pa.array(inner[:, 1])})
+        for i in range(0, len(key), SENT):
+            part = slice(i, i + SENT)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key[part]), "a": pa.array(node[part]), "b": pa.nulls(len(key[part]), pa.int64())})
+
+    met = cut(rows.filter("keys IS NOT NULL").coalesce(max(LEAST_TASKS, size // TASK_KEYS)).mapInArrow(run, "key long, a long, b long"))
     across = met.filter("key IS NOT NULL").groupBy("key").agg(F.collect_set("a").alias("a")).filter(F.size("a") > 1)
     across = across.select(F.explode("a").alias("a"), F.array_min("a").alias("b")).filter("a != b")
     return met.filter("key IS NULL").select("a", "b").unionAll(across)

@@ -1,6 +1,6 @@
 """Near-duplicate documents: an exact n-gram Jaccard join by signature trees.
 
-1. Every text becomes its set of distinct shingles (64-bit hashes of k words).
+1. Every text becomes its set of distinct shingles (64-bit hashes of k words, keyed anew in each run).
 2. All shingles of the corpus are counted (``exchange``). A text with a partner at similarity t shares
    at least ``t`` of its own shingles with it, so texts with too many shingles of their own leave here.
 3. Equal sets form classes, of which one representative goes on.
@@ -252,8 +252,8 @@ def _every_pair(rows: DataFrame, t: Fraction) -> DataFrame:
     return _join_tasks(met.select(task.alias("task"), side.alias("side"), "node", "copies", "shingles"), t, size, _counted)
 
 
-def _sets(table: pa.Table, k: int) -> tuple[Words, np.ndarray, np.ndarray]:
-    words = split_words(*utf8(table.column("text")), fold=True)
+def _sets(table: pa.Table, k: int, key: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    words = split_words(*utf8(table.column("text")), fold=True, key=key)
     return (words, *shingle_sets(words, k))
 
 
@@ -266,13 +266,13 @@ def profile(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     num, den = t.numerator, t.denominator
 
     def send(table: pa.Table) -> pa.Table:
-        keys, times = distinct(_sets(table, k)[1], layout)
+        keys, times = distinct(_sets(table, k, layout.key)[1], layout)
         return pack(table.column("unit")[0].as_py(), keys, np.minimum(times, MANY), layout)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _profiles([], [], [], [], [])
-        _, sets, ends = _sets(left, k)
+        _, sets, ends = _sets(left, k, layout.key)
         keys, _ = distinct(sets, layout)
         df = answered(right, 0, len(keys))
         texts = df[np.searchsorted(keys, sets >> np.uint64(32 - layout.bits))]
@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     versions = texts.filter("held > 0 AND (least != most OR held < all)").limit(1).count() > 0
     first = member.filter("doc_id = first").select("doc_id", "mark", "node", "copies").dropDuplicates(["doc_id", "mark"])
     reps = cut(few(alive.join(first, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("node", "rare", "shingles", "copies"), total))
-    family = components(meetings(reps.select("node", F.col("rare").alias("keys")), total), total)
+    n_keys = reps.agg(F.sum(F.size("rare"))).first()[0] or 0
+    family = components(meetings(reps.select("node", F.col("rare").alias("keys")), n_keys), total)
     held = family.join(reps.select("node", "shingles", "copies"), "node")
     sized = held.groupBy("component").agg(F.count("*").alias("n"), F.count("*").alias("members"), F.sum(F.octet_length("shingles")).alias("bytes"))
     placed = cut(few(attach(held, sized, ["component"], "n", total), total))
