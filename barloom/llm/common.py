@@ -6,10 +6,9 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key with fewer rows than this is joined by shuffling.
 HOT_ROWS = 100
 #: At most this many hot keys are broadcast, whatever the size of the input.
@@ -36,9 +35,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fold_ascii(col):
-    """A-Z to a-z; every other character stays."""
-    return F.translate(col, UPPER, LOWER)
+def folded(text: Column) -> Column:
+    """A text that two texts share exactly if they are equal with A-Z as a-z.
+
+    The bytes beyond ASCII are read as Latin-1 before lower-casing. That changes leading bytes of two-byte
+    characters alone and to values of their own, as the number of bytes that follow them stays. So ASCII
+    characters stay what they are but for A-Z, and no character beyond ASCII becomes one.
+    """
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1")))
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:

@@ -1,9 +1,10 @@
 """Benchmark decontamination as a prefix-filtered set join, with DataFrame functions only.
 
-Every window of ``span`` consecutive benchmark words must be contained whole in a document, so of its
-words ordered by rarity in the corpus the first one alone is a sufficient prefix. Documents are
-exploded to words and joined with the prefix words; a match fixes where the window would have to
-start, must fit the bounds of the document, and is verified word by word.
+The tokens of a text are its shingles of SHINGLE words. A window of ``span`` consecutive benchmark words
+must be contained whole in a document, so of its shingles ordered by rarity in the corpus the first one
+alone is a sufficient prefix. Documents are exploded to hashes of shingles and joined with the
+prefixes; a match fixes where the window would have to start, must fit the bounds of the document, and
+is verified word by word.
 """
 
 from __future__ import annotations
@@ -12,20 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import cut, fold_ascii
+from barloom.llm.common import cut, folded
 
-#: Windows that are broadcast at a time; a larger benchmark is joined in blocks of this many.
-WINDOWS_AT_ONCE = 200_000
+#: Windows, and bytes of their words, that are broadcast at a time; a larger benchmark is joined in blocks.
+WINDOWS_AT_ONCE, BYTES_AT_ONCE = 200_000, 64_000_000
+#: Words of a shingle; a shorter item is one shingle.
+SHINGLE = 3
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Stands after the shingles of a document, for a row with its size.
+END = 0
 
 
 def words(text: Column) -> Column:
-    """Words of the lower-cased text: runs of a-z, digits and characters beyond ASCII."""
-    return F.filter(F.split(fold_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+    """Words of the ``folded`` text: runs of letters and digits of ASCII and of bytes beyond it."""
+    return F.array_remove(F.split(folded(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+
+
+def shingles(w: Column, n: int) -> Column:
+    """The hash of the n words that begin at each word; of those that are left, near the end."""
+    return F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, n))))
 
 
 def benchmark_windows(benchmark: DataFrame, span: int) -> DataFrame:
-    """(item_id, words): all windows of span words; a shorter item, if it has a word, is one window."""
+    """(item_id, window): all windows of span words; a shorter item, if it has a word, is one window."""
     items = benchmark.filter("item_id is not null").select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     last = F.greatest(F.lit(1), F.size("w") - span + 1)
     rows = items.select("item_id", "w", F.explode(F.sequence(F.lit(1), last)).alias("at"))
@@ -41,12 +51,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, sh
     in doc_id and text each have their row. Other columns are not read; empty tables are fine.
     """
     windows = cut(benchmark_windows(benchmark, span).withColumn("id", F.xxhash64("item_id", "window")))
-    blocks = max(1, -(-windows.count() // WINDOWS_AT_ONCE))
+    n, size, shortest = windows.agg(F.count("*"), F.sum(F.octet_length(F.array_join("window", " "))), F.min(F.size("window"))).first()
+    blocks = max(1, -(-n // WINDOWS_AT_ONCE), -(-(size or 0) // BYTES_AT_ONCE))
+    lengths = list(range(min(SHINGLE, shortest or SHINGLE), SHINGLE + 1))
     docs = docs.select("doc_id", F.xxhash64("text").alias("ident"), words(F.col("text")).alias("w"))
     found = None
     for i in range(blocks):
         block = windows.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i) if blocks > 1 else windows
-        hits = _hits(docs, _prefixes(docs, block), span, with_size=i == 0)
+        hits = _hits(docs, _prefixes(docs, block, lengths), lengths, with_size=i == 0)
         found = hits if found is None else found.unionByName(hits)
     # A word is hit once, however many windows cover it; a row without position holds the size.
     per_word = found.groupBy("doc_id", "ident", "at").agg(F.max("n_words").alias("n_words"), F.max("times").alias("times"), F.collect_set("item_id").alias("items"))
@@ -57,27 +69,42 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, sh
     return rows.select("doc_id", "n_words", "n_hit", F.array_sort("items").alias("items"), hit.alias("contaminated"))
 
 
-def _prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(word, offset, item_id, window): each window under its rarest word, counted over all documents."""
-    vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    seen = docs.select(F.explode("w").alias("word")).join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
-    often = windows.select("item_id", "id", "window", F.posexplode("window").alias("offset", "word")).join(seen, "word", "left")
-    least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset"))
-    first = often.groupBy("item_id", "id", "window").agg(least.alias("p")).filter("p.n > 0")  # a word that no document has
-    return cut(first.select(F.col("p.word").alias("word"), F.col("p.offset").alias("offset"), "item_id", "window"))
+def _tokens(docs: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
+    """``docs(w)`` with ``tokens``: the hashes of the shingles of each length, one length after the other.
+
+    To be exploded with ``explode_outer``: for ``explode`` Spark would test before that there are any, and
+    that test would split the text again for every word.
+    """
+    return docs.select(*columns, F.concat(*(shingles(F.col("w"), n) for n in lengths)).alias("tokens"))
+
+
+def _prefixes(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(token, offset, item_id, window): each window under its rarest shingle, counted over all documents."""
+    n = F.least(F.lit(SHINGLE), F.size("window"))
+    own = windows.select("item_id", "id", "window", n.alias("n"), F.explode(F.sequence(F.lit(0), F.size("window") - n)).alias("offset"))
+    own = own.withColumn("token", F.xxhash64(*(F.when(F.col("n") > k, F.get("window", F.col("offset") + k)) for k in range(SHINGLE))))
+    vocabulary = own.select("token").distinct()
+    seen = _tokens(docs, lengths).select(F.explode_outer("tokens").alias("token")).join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("seen"))
+    # A token that no document has rules its window out. At most as many as the block's shingles: a few million numbers.
+    often = own.join(F.broadcast(seen), "token", "left")
+    least = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token", "offset"))
+    first = often.groupBy("item_id", "id", "window").agg(least.alias("p")).filter("p.seen > 0")
+    return cut(first.select(F.col("p.token").alias("token"), F.col("p.offset").alias("offset"), "item_id", "window"))
 
 
-def _hits(docs: DataFrame, prefixes: DataFrame, span: int, with_size: bool) -> DataFrame:
+def _hits(docs: DataFrame, prefixes: DataFrame, lengths: list[int], with_size: bool) -> DataFrame:
     """(doc_id, ident, at, n_words, times, item_id): covered positions; at is null in a document's size row."""
-    mark = prefixes.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(None).cast("int").alias("offset"), F.lit(None).cast(prefixes.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast(T.ArrayType(T.StringType())).alias("window"))
+    none = {"token": F.lit(END).cast("long"), "offset": F.lit(None).cast("int"), "item_id": F.lit(None).cast(prefixes.schema["item_id"].dataType), "window": F.lit(None).cast(T.ArrayType(T.StringType()))}
+    mark = prefixes.sparkSession.range(1).select(*(v.alias(k) for k, v in none.items()))
     probe = F.broadcast(prefixes.unionByName(mark) if with_size else prefixes)
-    tokens = docs.select("doc_id", "ident", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word"))
-    start = F.col("pos") - F.col("offset")
+    tokens = _tokens(docs, lengths, "doc_id", "ident", "w").select("doc_id", "ident", "w", F.posexplode_outer(F.concat("tokens", F.array(none["token"]))).alias("pos", "token"))
+    start = F.col("pos") % F.greatest(F.size("w"), F.lit(1)) - F.col("offset")
     fits = (start >= 0) & (start + F.size("window") <= F.size("w"))
     exact = F.when(fits, F.slice("w", start + 1, F.size("window")) == F.col("window"))
-    rows = tokens.join(probe, "word").filter((F.col("word") == "") | exact)
-    covered = F.when(F.col("word") != "", F.sequence(start, start + F.size("window") - 1))
-    size = F.when(F.col("word") == "", F.size("w").cast("long"))
+    at_end = F.col("window").isNull() & (F.col("pos") == len(lengths) * F.size("w"))
+    rows = tokens.join(probe, "token").filter(at_end | exact)
+    covered = F.when(F.col("window").isNotNull(), F.sequence(start, start + F.size("window") - 1))
+    size = F.when(F.col("window").isNull(), F.size("w").cast("long"))
     rows = rows.select("doc_id", "ident", "item_id", size.alias("n_words"), F.explode_outer(covered).alias("at"))
     # Repeated rows meet here: their size rows are counted, their hits are the same.
     per_item = rows.groupBy("doc_id", "ident", "at", "item_id").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("times"))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import attach, cut
+from barloom.llm.common import attach, cut, folded
 
 BLANKS = " \t\n\x0b\f\r"
 
@@ -25,16 +25,6 @@ def stripped(line: Column) -> Column:
     return F.when(ends, F.btrim(line, F.lit(BLANKS))).otherwise(line)
 
 
-def folded(line: Column) -> Column:
-    """A text that two lines share exactly if they are equal with A-Z as a-z.
-
-    The bytes beyond ASCII are read as Latin-1 before lower-casing. That changes leading bytes of two-byte
-    characters alone and to values of their own, as the number of bytes that follow them stays.
-    """
-    ascii_only = F.octet_length(line) == F.length(line)
-    return F.lower(F.when(ascii_only, line).otherwise(F.decode(line.cast("binary"), "ISO-8859-1")))
-
-
 def line_keys(lines: Column, min_chars: int) -> Column:
     """A digest for each of an array of lines, null for lines that are too short to be compared."""
     whole = F.transform(lines, stripped)
