@@ -402,13 +402,13 @@ def _gap_reclaim(b):
 @detector("minmax", 20, "range_rotation_bullish")
 def _rotation_up(b):
     low, high = b.low(-20, -1), b.high(-20, -1)
-    return (high != low) & ((b.c - low) / (high - low) < 0.10) & (b.c > b.back(b.c, 1))
+    return (F.try_divide(b.c - low, high - low) < 0.10) & (b.c > b.back(b.c, 1))
 
 
 @detector("minmax", 20, "range_rotation_bearish")
 def _rotation_down(b):
     low, high = b.low(-20, -1), b.high(-20, -1)
-    return (high != low) & ((b.c - low) / (high - low) > 0.90) & (b.c < b.back(b.c, 1))
+    return (F.try_divide(b.c - low, high - low) > 0.90) & (b.c < b.back(b.c, 1))
 
 
 @detector("minmax", 30, *pair("standard_deviation_projection"))
@@ -481,7 +481,7 @@ def _cpr_range(b):
 
 @detector("minmax", 5, "poor_high_low_bullish", "poor_high_low_bearish")
 def _poor_high(b):
-    return (b.h >= b.high(-5, -1)) & (b.body > 0) & (b.upper / b.body < 0.05)
+    return (b.h >= b.high(-5, -1)) & (F.try_divide(b.upper, b.body) < 0.05)
 
 
 @detector("minmax", 20, *pair("tails"))
@@ -773,7 +773,7 @@ def _dragon(b):
     bars = b.window(29, l=b.l, neg=-b.c)
 
     def judge(right, hump, left):
-        ratio = right["v"] / left["v"]
+        ratio = F.try_divide(right["v"], left["v"])
         return (ratio > 0.98) & (ratio < 1.02) & (b.c > -hump["v"])
 
     pit = lambda start, stop, value, latest=False: _least(_span(bars, start, stop), value, latest)
@@ -813,9 +813,14 @@ def _point_of_control(b) -> Column:
     range_ = F.struct(F.array_min(closes).alias("low"), ((F.array_max(closes) - F.array_min(closes)) / 20).alias("width"))
 
     def edge(r):
-        bins = F.transform(closes, lambda x: F.least(F.floor((x - r["low"]) / r["width"]), F.lit(19)).cast("int"))
-        counted = let(bins, lambda bs: F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.size(F.filter(bs, lambda x: x == k))))
-        fullest = let(counted, lambda counts: F.array_position(counts, F.array_max(counts)) - 1)
+        bins = F.transform(closes, lambda x: F.least(F.floor(F.try_divide(x - r["low"], r["width"])), F.lit(19)).cast("int"))
+        # Sorted bins stand in runs: the fullest bin is the start of the longest run, the first of equal ones.
+        runs = F.aggregate(
+            F.array_sort(bins), F.struct(*(F.lit(v).alias(k) for k, v in (("bin", -1), ("n", 0), ("best", -1), ("most", 0)))),
+            lambda acc, x: let(F.when(acc["bin"] == x, acc["n"] + 1).otherwise(F.lit(1)), lambda n: F.struct(x.alias("bin"), n.alias("n"), F.when(n > acc["most"], x).otherwise(acc["best"]).alias("best"), F.greatest(n, acc["most"]).alias("most"))),
+            lambda acc: acc["best"],
+        )
+        fullest = runs
         return F.when(r["width"] == 0, r["low"]).otherwise(r["low"] + fullest * r["width"])
 
     return let(range_, edge)

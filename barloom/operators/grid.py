@@ -43,6 +43,13 @@ TEMPLATES = (
     ("institutional", "SHORT", ("detect_inducement_bearish", "detect_bearish_order_block")),
     ("institutional", "LONG", ("detect_balanced_price_range_bullish", "price_above_ema_fast")),
 )
+# Directed detectors that make no template by themselves.
+NOT_ALONE = (
+    "bullish_engulfing", "bearish_engulfing", "bullish_imbalance", "bearish_imbalance", "bullish_order_block", "bearish_order_block",
+    "optimal_trade_entry_long", "optimal_trade_entry_short", "bullish_pin_bar",
+)
+# Detectors whose template has twice the chance of another.
+TWICE = ("mitigation_block_bullish", "mitigation_block_bearish", "turtle_soup_bullish", "turtle_soup_bearish", "rejection_block_bullish", "rejection_block_bearish", "volume_imbalance_bullish")
 # Dimensions of the grid with the probability of each value.
 FILTERS = {"": 0.5, "price_above_vwap": 1 / 6, "price_below_vwap": 1 / 6, "price_within_0.5pct_of_vwap": 1 / 6}
 RSI = {"": 0.7, "rsi_below_70": 0.06, "rsi_above_30": 0.06, "rsi_crossed_above_30": 0.06, "rsi_crossed_below_70": 0.06, "rsi_between_40_60": 0.06}
@@ -56,34 +63,37 @@ MIX = {"balanced": (0.5, 0.3, 0.2), "institutional": (0.7, 0.2, 0.1), "price_act
 
 
 def templates() -> list[tuple[str, str, tuple[str, ...]]]:
-    """The stated templates, and each directed detector alone."""
-    named = {r for _, _, rules in TEMPLATES for r in rules}
+    """The stated templates, and each directed detector alone but for NOT_ALONE and first versions."""
     alone = []
     for name in DETECTORS:
         up, down = name.endswith(("_bullish", "_long")) or name.startswith("bullish_"), name.endswith(("_bearish", "_short")) or name.startswith("bearish_")
-        if (up or down) and f"detect_{name}" not in named and "_v1" not in name:
+        if (up or down) and name not in NOT_ALONE and "_v1" not in name:
             alone.append(("institutional", "LONG" if up else "SHORT", (f"detect_{name}",)))
     return [*TEMPLATES, *alone]
 
 
 def template_table(spark: SparkSession, focus: str = "balanced") -> DataFrame:
-    """(template, type, direction, rules, share): share is the part of its type's probability."""
+    """(template, type, direction, rules, share): the chance of each template; those of a type add up to the type's."""
     institutional, action, technical = MIX[focus]
     of_type = {"institutional": institutional, "price_action": action, "vwap": technical / 2, "ema": technical / 2}
-    rows = [(i, t, d, list(r), of_type[t]) for i, (t, d, r) in enumerate(templates())]
+    times = lambda rules: 2 if len(rules) == 1 and rules[0].removeprefix("detect_") in TWICE else 1
+    all_of = {t: sum(times(r) for k, _, r in templates() if k == t) for t in of_type}
+    rows = [(i, t, d, list(r), of_type[t] * times(r) / all_of[t]) for i, (t, d, r) in enumerate(templates())]
     return spark.createDataFrame(rows, "template int, type string, direction string, rules array<string>, share double")
 
 
 def biased(table: DataFrame, sentiment: str = "NEUTRAL") -> DataFrame:
-    """Templates of the direction that a sentiment asks for, or all of a type that has none of it."""
+    """Templates of the direction that a sentiment asks for, or all of a type that has none of it; types keep their chances."""
     from pyspark.sql import Window
 
     wanted = {"BULLISH": "LONG", "BEARISH": "SHORT"}.get(sentiment)
     if not wanted:
         return table
     fits = F.col("direction") == wanted
-    rows = table.withColumn("_any", F.max(fits).over(Window.partitionBy("type")))
-    return rows.filter(~F.col("_any") | fits).drop("_any")
+    of_type = Window.partitionBy("type")
+    rows = table.withColumns({"_any": F.max(fits).over(of_type), "_all": F.sum("share").over(of_type), "_own": F.sum(F.when(fits, F.col("share"))).over(of_type)})
+    rows = rows.filter(~F.col("_any") | fits)
+    return rows.withColumn("share", F.when(F.col("_any"), F.col("share") * F.col("_all") / F.col("_own")).otherwise(F.col("share"))).drop("_any", "_all", "_own")
 
 
 def _axis(name: str, values: dict) -> Column:

@@ -11,15 +11,18 @@ from barloom.operators.detectors import DETECTORS, Bars, in_kill_zone, with_dete
 
 # Fixed values of the validator: what makes a rule algorithmic, and terms that no rule may hold.
 KEYWORDS = (
-    "above below crossover crossed breakout breakdown pullback rally engulfing inside_bar morning_star evening_star ema vwap rsi atr price close open "
-    "high low support resistance swing band upper lower between within hit near pct candle bar order_block sweep imbalance squeeze mss breaker premium "
-    "discount ote inducement kill_zone choch mitigation amd ifvg turtle rejection propulsion void bpr volume_imbalance mean_threshold unicorn "
-    "silver_bullet gap_reclaim reclaimed_block wick_ce order_flow sponsor range_rotation snap_back quarterly_shift std_dev po3_swing inst_swing smt_div "
-    "macro liq_run stops_hunt eq_reclaim partial_void fractal_exp ib_breakout orb daily_open_rej pwh_pwl pdh_pdl sfp impulse psych_level tl_liquidity "
-    "failed_auction turtle_soup decoupled_ob propulsion_candle eng_liquidity mitigation_block rejection_block nwog vol_void dragon quasimodo triple_tap "
-    "compression master_pattern vol_imbalance judas 3c_rev dr_range cpr value_area poc poor_high_low single_prints tails composite_op dist_accum "
-    "spring_upthrust sign_of_strength last_point_support effort_result stopping_vol vsa_patterns climax_logic optimal_trade_entry market_structure_shift"
-).split()
+    "above", "below", "crossover", "crossed", "breakout", "breakdown", "pullback", "rally", "engulfing", "inside_bar", "morning_star", "evening_star",
+    "ema", "vwap", "rsi", "atr", "price", "close", "open", "high", "low", "support", "resistance", "swing", "band", "upper", "lower", "between", "within",
+    "hit", "near", "pct", "candle", "bar", "order_block", "sweep", "imbalance", "squeeze", "mss", "breaker", "premium", "discount", "ote", "inducement",
+    "kill_zone", "choch", "mitigation", "amd", "ifvg", "turtle", "rejection", "propulsion", "void", "bpr", "volume_imbalance", "mean_threshold",
+    "unicorn", "silver_bullet", "gap_reclaim", "reclaimed_block", "wick_ce", "order_flow", "sponsor", "range_rotation", "snap_back", "quarterly_shift",
+    "std_dev", "po3_swing", "inst_swing", "smt_div", "macro", "liq_run", "stops_hunt", "eq_reclaim", "partial_void", "fractal_exp", "ib_breakout", "orb",
+    "daily_open_rej", "pwh_pwl", "pdh_pdl", "sfp", "impulse", "psych_level", "tl_liquidity", "failed_auction", "turtle_soup", "decoupled_ob",
+    "propulsion_candle", "eng_liquidity", "mitigation_block", "rejection_block", "nwog", "vol_void", "dragon", "quasimodo", "triple_tap", "compression",
+    "master_pattern", "vol_imbalance", "judas", "3c_rev", "dr_range", "cpr", "value_area", "poc", "poor_high_low", "single_prints", "tails",
+    "composite_op", "dist_accum", "spring_upthrust", "sign_of_strength", "last_point_support", "effort_result", "stopping_vol", "vsa_patterns",
+    "climax_logic", "optimal_trade_entry", "market_structure_shift",
+)
 DISCRETIONARY = ("maybe", "might", "could", "should consider", "looks like", "seems", "feels", "opinion", "discretion", "judgment", "manual", "visual", "news", "sentiment", "announcement", "event")
 LOOKAHEAD = ("future", "next_candle", "will_be", "going_to", "repaint", "zigzag", "pivot_confirmed")
 STOP_WORDS = ("atr", "pct", "swing", "candle", "fixed")
@@ -74,7 +77,7 @@ def _tokens() -> dict[str, tuple]:
         "price_below_vwap": lambda b, f, s: vwap.isNull() | (c < vwap),
         "pullback_to_vwap": lambda b, f, s: (low <= vwap) & (vwap <= c),
         "rally_to_vwap": lambda b, f, s: (c <= vwap) & (vwap <= high),
-        "price_within_0.5pct_of_vwap": lambda b, f, s: F.abs(c - vwap) / c <= 0.005,
+        "price_within_0.5pct_of_vwap": lambda b, f, s: F.try_divide(F.abs(c - vwap), c) <= 0.005,
         "close_above_vwap_upper_band": lambda b, f, s: c > F.col("vwap_upper"),
         "close_below_vwap_lower_band": lambda b, f, s: c < F.col("vwap_lower"),
         "rsi_oversold_bounce": lambda b, f, s: rsi <= 30,
@@ -141,6 +144,38 @@ def rule_column(rule: str, frame: DataFrame, fast: str, slow: str, zone: str = "
     raise ValueError(f"unknown rule: {rule}")
 
 
+def known_rule(rule: str) -> bool:
+    """Whether ``rule_column`` can evaluate a rule without ``compat``."""
+    name = rule.strip().lower()
+    return name == "is_in_kill_zone" or name in _tokens() or (name.startswith("detect_") and name.removeprefix("detect_") in DETECTORS)
+
+
+def with_unknown(strategies: DataFrame, rules: list[str]) -> DataFrame:
+    """Adds ``unknown``: entry rules of a strategy that are not among ``rules`` or that nothing can evaluate; such a strategy never enters."""
+    known = F.array(*(F.lit(r) for r in rules if known_rule(r))) if any(map(known_rule, rules)) else F.array().cast("array<string>")
+    return strategies.withColumn("unknown", F.array_except(F.coalesce("entry_rules", F.array().cast("array<string>")), known))
+
+
+#: Exits beside stop and target, at the close of the bar on which they hold.
+SIGNAL_EXITS = ("ema_crossover_reversal", "price_crosses_vwap_opposite", "end_of_session")
+
+
+def signal_exits(frame: DataFrame, fast: str, slow: str, zone: str = "Asia/Kolkata") -> Column:
+    """The names of SIGNAL_EXITS that hold at a bar, each with the side that leaves: ``array<string>`` of ``name/LONG`` and ``name/SHORT``.
+
+    A long position leaves when the fast average falls below the slow one after it was not below, or the
+    close falls below the volume-weighted price after it was not below; a short one when they rise
+    above. Both leave on the last bar of a local day, which the next bar's date shows.
+    """
+    b = Bars(frame)
+    f, s, c, v = F.col(fast), F.col(slow), F.col("close"), F.col("vwap")
+    falls = lambda x, y: (x < y) & (b.back(x, 1) >= b.back(y, 1))
+    day = F.to_date(F.from_utc_timestamp("ts", zone))
+    last = F.lead(day).over(b.w) != day
+    held = {"ema_crossover_reversal/LONG": falls(f, s), "ema_crossover_reversal/SHORT": falls(s, f), "price_crosses_vwap_opposite/LONG": falls(c, v), "price_crosses_vwap_opposite/SHORT": falls(v, c), "end_of_session/LONG": last, "end_of_session/SHORT": last}
+    return F.array_compact(F.array(*(F.when(x, F.lit(k)) for k, x in held.items())))
+
+
 def detectors_of(rules: list[str]) -> list[str]:
     """The detectors that rules ask for, each once."""
     names = (r.strip().lower().removeprefix("detect_") for r in rules if r.strip().lower().startswith("detect_"))
@@ -150,12 +185,14 @@ def detectors_of(rules: list[str]) -> list[str]:
 def rule_hits(bars: DataFrame, rules: list[str], emas: list[tuple[int, int]], zone: str = "Asia/Kolkata", compat: bool = False) -> DataFrame:
     """Bars with ``hits``: for each (fast, slow) pair the names of the rules that hold, as ``map<string,array<string>>``.
 
-    Rules are turned into columns once for the whole set of strategies, not once for each strategy.
+    Rules are turned into columns once for the whole set of strategies, not once for each strategy. Rules
+    that nothing can evaluate hold nowhere, so they stop the strategies that have them and no others.
     """
+    rules = [r for r in rules if compat or known_rule(r)]
     rows = with_detectors(bars, detectors_of(rules))
     own = {}
     for fast, slow in emas:
-        held = F.array_compact(F.array(*(F.when(rule_column(r, rows, f"ema_{fast}", f"ema_{slow}", zone, compat), F.lit(r)) for r in rules)))
+        held = F.array_compact(F.array(*(F.when(rule_column(r, rows, f"ema_{fast}", f"ema_{slow}", zone, compat), F.lit(r)) for r in rules))) if rules else F.array().cast("array<string>")
         own[f"{fast}/{slow}"] = held
     return rows.withColumn("hits", F.create_map(*(x for k, v in own.items() for x in (F.lit(k), v))))
 
@@ -165,13 +202,20 @@ def entries(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: list
 
     direction is LONG where the fast average is above the slow one, SHORT where below; else no entry.
     ``strategies`` are matched to bars by (market, timeframe), a strategy with market '*' to all markets.
+    A bar meets only the strategies whose least frequent rule (by the number of strategies that ask for
+    it) holds there; their other rules are tested then.
     """
     hit = rule_hits(bars, rules, emas, zone, compat)
     trend = F.create_map(*(x for f, s in emas for x in (F.lit(f"{f}/{s}"), F.when(F.col(f"ema_{f}") > F.col(f"ema_{s}"), F.lit("LONG")).when(F.col(f"ema_{f}") < F.col(f"ema_{s}"), F.lit("SHORT")))))
     keys = [k for k in ("market", "timeframe", "period_days") if k in bars.columns]
-    hit = hit.select(*keys, "bar_idx", "ts", "high", "low", "close", "atr_14", "hits", trend.alias("trend"))
-    asks = strategies.select("strategy_id", F.col("market").alias("on"), F.col("timeframe").alias("of"), F.concat_ws("/", F.col("ema_fast").cast("string"), F.col("ema_slow").cast("string")).alias("pair"), "entry_rules", "stop_loss_logic", "risk_reward")
-    same = (F.col("timeframe") == F.col("of")) & ((F.col("on") == "*") | (F.col("on") == F.col("market")))
-    met = F.size(F.array_except("entry_rules", F.element_at("hits", F.col("pair")))) == 0
-    rows = hit.join(asks, same & met).withColumn("direction", F.element_at("trend", F.col("pair")))
-    return rows.filter("direction IS NOT NULL").drop("hits", "trend", "on", "of", "pair")
+    hit = hit.select(*keys, "bar_idx", "ts", "high", "low", "close", "atr_14", F.explode("hits").alias("pair", "met"), trend.alias("trend"))
+    hit = hit.withColumn("direction", F.element_at("trend", F.col("pair"))).filter("direction IS NOT NULL").drop("trend").withColumn("anchor", F.explode("met"))
+    pair = F.concat_ws("/", F.col("ema_fast").cast("string"), F.col("ema_slow").cast("string"))
+    more = [c for c in ("exit_rules",) if c in strategies.columns]
+    asks = strategies.select("strategy_id", F.col("market").alias("on"), "timeframe", pair.alias("pair"), "entry_rules", "stop_loss_logic", "risk_reward", *more)
+    asked = asks.select("strategy_id", F.explode(F.array_distinct("entry_rules")).alias("anchor"))
+    often = asked.groupBy("anchor").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "anchor").groupBy("strategy_id").agg(F.min_by("anchor", F.struct("n", "anchor")).alias("anchor"))
+    asks = asks.join(rarest, "strategy_id")
+    rows = hit.join(asks, ["timeframe", "pair", "anchor"]).filter((F.col("on") == "*") | (F.col("on") == F.col("market")))
+    return rows.filter(F.size(F.array_except("entry_rules", "met")) == 0).drop("met", "anchor", "on")

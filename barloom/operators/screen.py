@@ -64,12 +64,16 @@ def comparison(results: DataFrame, periods: tuple[int, ...] = (30, 60, 180, 365)
 
 # What a rule's text must hold for a concept.
 CONCEPTS = (
-    "sweep order_block market_structure_shift breaker is_in_ optimal_trade_entry inducement kill_zone choch mitigation amd ifvg turtle rejection propulsion "
-    "void bpr volume_imbalance mean_threshold unicorn silver_bullet gap_reclaim reclaimed_block wick_ce order_flow sponsor range_rotation snap_back "
-    "quarterly_shift std_dev po3_swing inst_swing smt_div macro liq_run stops_hunt eq_reclaim partial_void fractal_exp ib_breakout orb daily_open_rej "
-    "pwh_pwl pdh_pdl sfp impulse psych_level tl_liquidity failed_auction decoupled_ob eng_liquidity nwog vol_void dragon quasimodo triple_tap compression "
-    "master_pattern vol_imbalance judas 3c_rev ote dr_range cpr value_area poc poor_high_low single_prints tails composite_op dist_accum imbalance"
-).split()
+    "order_block", "liquidity_sweep", "sweep", "imbalance", "market_structure_shift", "breaker", "is_in_", "is_in_discount", "is_in_premium",
+    "optimal_trade_entry", "inducement", "kill_zone", "choch", "mitigation", "amd", "ifvg", "turtle", "rejection", "propulsion", "void", "bpr",
+    "volume_imbalance", "mean_threshold", "unicorn", "silver_bullet", "gap_reclaim", "reclaimed_block", "wick_ce", "order_flow", "sponsor",
+    "range_rotation", "snap_back", "quarterly_shift", "std_dev", "po3_swing", "inst_swing", "smt_div", "macro", "liq_run", "stops_hunt", "eq_reclaim",
+    "partial_void", "fractal_exp", "ib_breakout", "orb", "daily_open_rej", "pwh_pwl", "pdh_pdl", "sfp", "impulse", "psych_level", "tl_liquidity",
+    "failed_auction", "turtle_soup", "decoupled_ob", "propulsion_candle", "eng_liquidity", "mitigation_block", "rejection_block", "nwog", "vol_void",
+    "dragon", "quasimodo", "triple_tap", "compression", "master_pattern", "vol_imbalance", "judas", "3c_rev", "ote", "dr_range", "cpr", "value_area",
+    "poc", "poor_high_low", "single_prints", "tails", "composite_op", "dist_accum", "spring_upthrust", "sign_of_strength", "last_point_support",
+    "effort_result", "stopping_vol", "vsa_patterns", "climax_logic",
+)
 
 
 def concept_tags(strategies: DataFrame, concepts: list[str] | None = None) -> DataFrame:

@@ -40,17 +40,24 @@ def first_touch(high: np.ndarray, low: np.ndarray, start: int, long: bool, stop:
     return None
 
 
-def walk(signals: list[tuple[int, str, float, float]], high, low, close) -> list[tuple[int, int, str, float, float]]:
+def walk(signals: list[tuple[int, str, float, float, list[str]]], high, low, close, leaves: dict[str, np.ndarray] | None = None) -> list[tuple[int, int, str, float, float]]:
     """Trades (entry bar, exit bar, direction, entry price, exit price) of one strategy over one series.
 
     One position at a time, entered at the close of a signal bar, tested from the next bar on; no entry
-    on the bar of an exit; a position open at the end leaves at the last close.
+    on the bar of an exit; a position open at the end leaves at the last close. ``leaves`` holds, in
+    order, the bars of each signal exit; the first of those that a signal names ends the trade at that
+    bar's close, unless stop or target is touched by then.
     """
     out, free = [], WARM_UP
-    for at, direction, stop, target in signals:
+    for at, direction, stop, target, names in signals:
         if at < free or at > len(close) - 1:
             continue
         left = first_touch(high, low, at + 1, direction == "LONG", stop, target)
+        for name in names:
+            bars = (leaves or {}).get(f"{name}/{direction}", ())
+            k = int(np.searchsorted(bars, at + 1)) if len(bars) else 0
+            if k < len(bars) and (left is None or bars[k] < left[0]):
+                left = int(bars[k]), float(close[bars[k]])
         end, price = left or (len(close) - 1, float(close[-1]))
         if left is None and at == len(close) - 1:
             end = at
@@ -61,40 +68,50 @@ def walk(signals: list[tuple[int, str, float, float]], high, low, close) -> list
     return out
 
 
-def scan_trades(bars: DataFrame, entries: DataFrame) -> DataFrame:
+def scan_trades(bars: DataFrame, entries: DataFrame, copies: int = 1, exits: str | None = None) -> DataFrame:
     """Trades of ``entries`` (with stop and target) over ``bars``, both with bar_idx and the series keys.
 
-    Grouped by (market, timeframe, period_days): the bars of a series are shipped once, not once for
-    each strategy, and only signal bars beside them. Inside, each strategy jumps from signal to signal.
+    Grouped by (market, timeframe, period_days) and a bucket of strategies: the bars of a series are
+    shipped ``copies`` times, not once for each strategy, and only signal bars beside them. Inside, each
+    strategy jumps from signal to signal. ``exits`` names a column of ``bars`` with the signal exits that
+    hold at a bar (``signal_exits``); entries then leave by those of their ``exit_rules`` too.
     """
     keys = ["market", "timeframe", "period_days"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        signals = right.to_pandas().sort_values(["strategy_id", "bar_idx"]) if right.num_rows else None
         rows: dict[str, list] = {c.split()[0]: [] for c in TRADES.split(", ")}
-        if signals is not None and left.num_rows:
+        if right.num_rows and left.num_rows:
+            signals = right.to_pandas().sort_values(["strategy_id", "bar_idx"])
             series = left.to_pandas().sort_values("bar_idx")
             high, low, close, ts = (series[c].to_numpy() for c in ("high", "low", "close", "ts"))
             market, timeframe, days = (series[k].iloc[0] for k in keys)
+            leaves: dict[str, list[int]] = {}
+            for i, names in enumerate(series["leaves"] if exits else ()):
+                for name in names:
+                    leaves.setdefault(name, []).append(i)
+            found = {k: np.array(v) for k, v in leaves.items()}
             for strategy, own in signals.groupby("strategy_id", sort=True):
-                for a, z, d, p, q in walk(list(zip(own.bar_idx, own.direction, own.stop, own.target, strict=True)), high, low, close):
+                for a, z, d, p, q in walk(list(zip(own.bar_idx, own.direction, own.stop, own.target, own.names, strict=True)), high, low, close, found):
                     for k, v in zip(rows, (strategy, market, timeframe, int(days), a, z, ts[a], ts[z], d, p, q), strict=True):
                         rows[k].append(v)
         stamp = pa.timestamp("us", tz="UTC")
         kinds = dict(zip(rows, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), stamp, stamp, pa.string(), pa.float64(), pa.float64()), strict=True))
         return pa.table({k: pa.array(v, kinds[k]) for k, v in rows.items()})
 
+    none = F.array().cast("array<string>")
     # Both sides may stem from one frame; aliases tell their columns apart.
-    own = lambda df, *columns: df.select(*(F.col(c).alias(c) for c in columns)).groupBy(*keys)
-    series = own(bars, *keys, "bar_idx", "ts", "high", "low", "close")
-    signals = own(entries.filter(F.col("bar_idx") >= WARM_UP), "strategy_id", *keys, "bar_idx", "direction", "stop", "target")
+    own = lambda df, *columns: df.select(*(F.col(c).alias(c) for c in columns)).groupBy(*keys, "bucket")
+    series = bars.withColumns({"leaves": F.col(exits) if exits else none, "bucket": F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))})
+    signals = entries.filter(F.col("bar_idx") >= WARM_UP).withColumns({"names": F.col("exit_rules") if exits else none, "bucket": F.pmod(F.xxhash64("strategy_id"), F.lit(copies)).cast("int")})
+    series = own(series, *keys, "bucket", "bar_idx", "ts", "high", "low", "close", "leaves")
+    signals = own(signals, "strategy_id", *keys, "bucket", "bar_idx", "direction", "stop", "target", "names")
     return with_pnl(series.cogroup(signals).applyInArrow(run, TRADES))
 
 
 def with_pnl(trades: DataFrame) -> DataFrame:
-    """Adds pnl and pnl_percent of the entry price."""
+    """Adds pnl and pnl_percent of the entry price, 0 where that is 0."""
     gain = F.when(F.col("direction") == "LONG", F.col("exit_price") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("exit_price"))
-    return trades.withColumn("pnl", gain).withColumn("pnl_percent", F.col("pnl") / F.col("entry_price") * 100)
+    return trades.withColumn("pnl", gain).withColumn("pnl_percent", F.coalesce(F.try_divide("pnl", "entry_price"), F.lit(0.0)) * 100)
 
 
 def trades_in_catalyst(bars: DataFrame, entries: DataFrame) -> DataFrame:

@@ -13,11 +13,11 @@ from barloom.operators import indicators as ind
 from barloom.operators import learning, metrics
 from barloom.operators import screen as sc
 from barloom.operators.detectors import DETECTORS, with_detectors
-from barloom.operators.rules import entries, validate
+from barloom.operators.rules import describe, entries, rule_hits, validate
 from barloom.operators.trades import scan_trades, with_levels
 from barloom.plans import detector_sql as ds
 from barloom.plans import twins
-from barloom.plans.research import prepared
+from barloom.plans.research import prepared, scan_by_pair
 from barloom.sources import bars as src
 from barloom.sources import repository as repo
 
@@ -39,6 +39,15 @@ STRATEGIES = (
     ("s07", ("detect_inside_bar", "detect_discount_zone"), "1.5x_atr_from_entry", 2.0, 13, 34),
     ("s08", ("price_above_vwap", "rsi_above_30"), "2x_atr_from_entry", 1.5, 9, 21),
 )
+# Signal exits of some of the strategies, for the query that lets positions leave by them.
+EXITS = {"s01": ("ema_crossover_reversal",), "s02": ("price_crosses_vwap_opposite",), "s03": ("end_of_session",), "s08": ("ema_crossover_reversal", "price_crosses_vwap_opposite", "end_of_session")}
+# The rules that are no detectors.
+TOKENS = (
+    "ema_fast_above_slow", "ema_fast_below_slow", "price_above_both_emas", "price_below_both_emas", "price_above_ema_fast", "price_above_ema_slow", "price_below_ema_slow",
+    "pullback_to_ema_fast", "rally_to_ema_fast", "price_above_vwap", "price_below_vwap", "pullback_to_vwap", "rally_to_vwap", "price_within_0.5pct_of_vwap",
+    "close_above_vwap_upper_band", "close_below_vwap_lower_band", "rsi_oversold_bounce", "rsi_above_30", "rsi_below_70", "rsi_crossed_above_30", "rsi_crossed_below_70",
+    "rsi_between_40_60", "breakout_above_20bar_high", "breakout_below_20bar_low", "price_near_support", "price_near_resistance", "is_in_kill_zone",
+)
 LIMITS = sc.Limits(targets={7: 1.06, 14: 1.5, 21: 2.75, 30: 4.50})
 
 
@@ -216,6 +225,21 @@ def trades(spark, sf_dir):
     return shown(_trades(spark, sf_dir).drop("timeframe", "entry_time", "exit_time"))
 
 
+def trades_with_exits(spark, sf_dir):
+    """Trades that may also leave by the signal exits of EXITS."""
+    ready = _ready(spark, sf_dir)
+    leave = F.create_map(*(x for k, v in EXITS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    asked = strategies(spark).withColumn("exit_rules", F.coalesce(F.element_at(leave, F.col("strategy_id")), F.array().cast("array<string>")))
+    signals = with_levels(entries(ready, asked, list(RULES), list(EMAS), "UTC"))
+    return shown(scan_by_pair(ready, signals, list(EMAS), "UTC", copies=2).drop("timeframe", "entry_time", "exit_time"))
+
+
+def rule_tokens(spark, sf_dir):
+    """At how many bars of each market and window each rule that is no detector holds."""
+    hits = rule_hits(_ready(spark, sf_dir), list(TOKENS), [EMAS[0]], "UTC").select("market", "period_days", F.explode(F.element_at("hits", "/".join(map(str, EMAS[0])))).alias("rule"))
+    return hits.groupBy("market", "period_days", "rule").agg(F.count("*").alias("bars"))
+
+
 def equity(spark, sf_dir):
     return shown(metrics.equity_curve(_trades(spark, sf_dir)).select("strategy_id", "period_days", "trade_no", "equity", "drawdown"))
 
@@ -232,6 +256,21 @@ def screened(spark, sf_dir):
     return shown(sc.screen(_results(spark, sf_dir), LIMITS).withColumn("n_failures", F.size("failures")).drop("failures"))
 
 
+def passing_strategies(spark, sf_dir):
+    return sc.passing(_results(spark, sf_dir), sc.Limits(failures=4, targets=LIMITS.targets)).select("strategy_id")
+
+
+def repo_documents(spark, sf_dir):
+    """Strategies with their results as JSON documents, and read from these again."""
+    asked, results = strategies(spark), metrics.period_metrics(_trades(spark, sf_dir), strategies(spark), PERIODS, curve=True)
+    rows = repo.encode(asked.withColumn("take_profit_logic", F.lit("2x")), results, metrics.overall(results), F.lit("2024-01-01"))
+    back = repo.from_json(repo.to_json(rows))
+    figure = lambda name: F.col(f"backtest_result.{name}").alias(name)
+    points = rows.select(F.col("strategy.id").alias("id"), F.size(metrics.thin_curve(F.element_at("backtest_result.period_results", "30")["equity_curve"], 10)).alias("points"))
+    out = back.select("hash", "stored_at", F.col("strategy.id").alias("strategy_id"), F.array_join("strategy.entry_rules", "|").alias("rules"), "strategy.ema_slow", figure("all_periods_profitable"), figure("avg_win_rate"), figure("worst_drawdown"), F.col("backtest_result.period_results").isNull().alias("no_windows"))
+    return shown(out.join(points, F.col("strategy_id") == F.col("id")).drop("id"))
+
+
 def report_pivot(spark, sf_dir):
     return shown(sc.comparison(_results(spark, sf_dir), PERIODS))
 
@@ -304,6 +343,42 @@ def dna_weights(spark, sf_dir):
     return shown(learning.weighed(every, dna_keywords(spark, sf_dir), "keyword", "keyword"))
 
 
+def dna_memory(spark, sf_dir):
+    """The memory that recent strategies give rise to, as rows."""
+    row = learning.memory(_supplier_strategies(_read(spark, sf_dir, "supplier")).filter("stored_at IS NOT NULL"))
+    part = lambda kind: row.select(F.lit(kind).alias("kind"), F.explode(kind).alias("name", "weight"))
+    focus = row.select(F.lit("rr_focus").alias("kind"), F.lit("").alias("name"), F.col("rr_focus").alias("weight"))
+    return shown(part("keywords").unionAll(part("timeframes")).unionAll(focus))
+
+
+def rules_described(spark, sf_dir):
+    rows = _supplier_strategies(_read(spark, sf_dir, "supplier"))
+    return rows.select("strategy_id", describe("entry_rules").alias("entry"), describe("exit_rules", " OR ").alias("leave"))
+
+
+def _part_templates(part: DataFrame, *, whole: bool) -> DataFrame:
+    """A template for each part, or for each last digit of a brand."""
+    key = F.col("p_partkey") if whole else F.substring("p_brand", -1, 1).cast("long")
+    rows = part.select(key.alias("k")).distinct()
+    kind = F.when(F.col("k") % 10 < 5, "institutional").when(F.col("k") % 10 < 8, "price_action").when(F.col("k") % 10 == 8, "vwap").otherwise("ema")
+    rules = F.array(F.concat(F.lit("detect_"), F.col("k").cast("string")), F.when(F.col("k") % 3 == 0, F.lit("detect_discount_zone")).otherwise(F.lit("price_above_vwap")))
+    return rows.select(F.col("k").cast("int").alias("template"), kind.alias("type"), F.when(F.col("k") % 2 == 0, "LONG").otherwise("SHORT").alias("direction"), rules.alias("rules"), F.lit(1.0).alias("share"))
+
+
+def strategy_grid(spark, sf_dir):
+    """The grid without options over a template for each part, counted by its axes, after a bias to long ones."""
+    rows = g.grid(spark, g.biased(_part_templates(_read(spark, sf_dir, "part"), whole=True), "BULLISH"), small=True)
+    found = rows.groupBy("type", "direction", "timeframe", "stop_loss_logic", "take_profit_logic", "ema_fast", "ema_slow").agg(F.count("*").alias("strategies"), F.sum("probability").alias("probability"), F.min("strategy_id").alias("first_id"), F.max("strategy_id").alias("last_id"))
+    return shown(found)
+
+
+def strategy_options(spark, sf_dir):
+    """The whole grid over a template for each last digit of a brand: how its options share out."""
+    rows = g.grid(spark, _part_templates(_read(spark, sf_dir, "part"), whole=False), risk_rewards=(2.0,), timeframes=("5m",))
+    found = rows.groupBy("type", "use_vwap", "use_rsi", F.size("entry_rules").alias("rules"), F.element_at(F.concat("exit_rules", F.array(F.lit(""))), 3).alias("leave")).agg(F.count("*").alias("strategies"), F.sum("probability").alias("probability"))
+    return shown(found)
+
+
 def part_grid(spark, sf_dir):
     """A grid of parts' brands with timeframes, stops and pairs of averages."""
     brands = _read(spark, sf_dir, "part").select("p_brand").distinct()
@@ -322,8 +397,8 @@ def weighted_sample(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         bars_1h, bars_5m, bars_daily, bars_lineitem, candles_decoded, lookback_windows, bar_shape, ind_sma, ind_ema, ind_rsi, ind_atr, ind_vwap, ind_vwap_session, ind_bands,
-        *(_detected(k) for k in ("lag", "minmax", "avg_std", "exists", "count", "argmin", "array")), det_frequency, validate_strategies, rule_entries, trades, equity, period_metrics,
-        screened, report_pivot, concept_tags, trade_marks, run_summary, repo_dedup, repo_latest, repo_count, dna_keywords, dna_timeframes, dna_risk_reward, dna_weights, part_grid, weighted_sample,
+        *(_detected(k) for k in ("lag", "minmax", "avg_std", "exists", "count", "argmin", "array")), det_frequency, validate_strategies, rule_entries, rule_tokens, trades, trades_with_exits, equity, period_metrics,
+        screened, passing_strategies, report_pivot, concept_tags, trade_marks, run_summary, repo_dedup, repo_latest, repo_count, repo_documents, dna_keywords, dna_timeframes, dna_risk_reward, dna_weights, dna_memory, rules_described, strategy_grid, strategy_options, part_grid, weighted_sample,
     )
     return {q.__name__: q for q in own}
 
@@ -333,6 +408,6 @@ def oracle_sql() -> dict[str, str]:
     simple = {f"det_{k}": ds.simple(names_of(k), guards, twins.BARS_1H) for k in ("lag", "minmax", "avg_std", "exists", "count")}
     frequency = ds.simple([*names_of("lag"), *names_of("minmax")], guards, twins.BARS_1H)
     return {
-        **twins.sql(STRATEGIES, PERIODS, LIMITS, sc.CONCEPTS), **simple, "det_argmin": ds.positions(twins.BARS_1H), "det_array": ds.arrays(names_of("array"), guards, twins.BARS_1H),
+        **twins.sql(STRATEGIES, PERIODS, LIMITS, sc.CONCEPTS, EXITS), **simple, "det_argmin": ds.positions(twins.BARS_1H), "det_array": ds.arrays(names_of("array"), guards, twins.BARS_1H),
         "det_frequency": f"SELECT market, replace(name, 'detect_', '') AS detector, count(*) FILTER (hit) AS hits FROM (UNPIVOT ({frequency}) ON COLUMNS('detect_.*') INTO NAME name VALUE hit) GROUP BY ALL",
     }

@@ -5,11 +5,12 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from barloom.functions.columns import with_bar_idx
 from barloom.operators.indicators import with_indicators
 from barloom.operators.metrics import period_metrics
-from barloom.operators.rules import entries, validate
+from barloom.operators.rules import entries, signal_exits, validate, with_unknown
 from barloom.operators.screen import Limits, screen
 from barloom.operators.trades import scan_trades, with_levels
 from barloom.sources.bars import PERIODS, end_of, with_periods
@@ -22,16 +23,36 @@ def prepared(bars: DataFrame, periods: tuple[int, ...] = PERIODS, as_of: datetim
     return with_indicators(with_bar_idx(windows), emas)
 
 
-def backtest(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: list[tuple[int, int]], periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None, zone: str = "Asia/Kolkata", compat: bool = False) -> DataFrame:
-    """Trades of all strategies in all windows at once. ``rules`` are the distinct entry rules, ``emas`` the pairs of averages, that the strategies use."""
+def backtest(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: list[tuple[int, int]], periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None, zone: str = "Asia/Kolkata", compat: bool = False, copies: int = 1, exits: bool = False) -> DataFrame:
+    """Trades of all strategies in all windows at once. ``rules`` are the distinct entry rules, ``emas`` the pairs of averages, that the strategies use.
+
+    ``copies``: over how many tasks the strategies of a series are spread; a few hundred strategies a
+    task are a good number. ``exits`` lets positions leave by the signal exits of their exit rules too.
+    A strategy with a rule that is not in ``rules`` or unknown has no trades and stops no other.
+    """
     ready = prepared(bars, periods, as_of, tuple(sorted({p for pair in emas for p in pair})))
     signals = with_levels(entries(ready, strategies, rules, emas, zone, compat))
-    return scan_trades(ready, signals)
+    if not exits:
+        return scan_trades(ready, signals, copies)
+    return scan_by_pair(ready, signals, emas, zone, copies)
+
+
+def scan_by_pair(ready: DataFrame, signals: DataFrame, emas: list[tuple[int, int]], zone: str, copies: int = 1) -> DataFrame:
+    """Trades that may also leave by signal exits, which depend on a strategy's pair of averages."""
+    found = None
+    for fast, slow in emas:
+        bars = ready.withColumn("_leaves", signal_exits(ready, f"ema_{fast}", f"ema_{slow}", zone))
+        own = scan_trades(bars, signals.filter(F.col("pair") == f"{fast}/{slow}"), copies, "_leaves")
+        found = own if found is None else found.unionAll(own)
+    return found
 
 
 def run_cycle(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: list[tuple[int, int]], periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None, limits: Limits | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(validated strategies, period results, screened strategies) of one research cycle."""
-    checked = validate(strategies)
-    good = checked.filter("valid")
+    """(validated strategies, period results, screened strategies) of one research cycle.
+
+    A sound strategy whose rules cannot all be evaluated is marked by ``unknown`` and left out.
+    """
+    checked = with_unknown(validate(strategies), rules)
+    good = checked.filter("valid AND size(unknown) = 0")
     results = period_metrics(backtest(bars, good, rules, emas, periods, as_of), good, periods)
     return checked, results, screen(results, limits)

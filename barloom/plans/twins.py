@@ -55,9 +55,43 @@ def _window_bars(periods: tuple[int, ...]) -> str:
     return f"SELECT b.*, p.d AS period_days FROM ({BARS_1H}) b, (SELECT unnest([{days}]) AS d) p WHERE b.ts > (SELECT max(ts) FROM ({BARS_1H})) + INTERVAL 1 microsecond - to_days(CAST(p.d AS INTEGER))"
 
 
-def _backtest(strategies, periods) -> str:
+RULES = {
+    "price_above_ema_fast": "close > f", "price_above_ema_slow": "close > w", "price_below_ema_slow": "close < w", "pullback_to_ema_fast": "low <= f AND f <= close", "rally_to_ema_fast": "close <= f AND f <= high",
+    "pullback_to_vwap": "low <= vwap AND vwap <= close", "rally_to_vwap": "close <= vwap AND vwap <= high", "price_within_0.5pct_of_vwap": "abs(close - vwap) <= 0.005 * close",
+    "close_above_vwap_upper_band": "close > vwap + 2 * sd", "close_below_vwap_lower_band": "close < vwap - 2 * sd", "rsi_oversold_bounce": "rsi <= 30", "rsi_crossed_above_30": "prsi <= 30 AND rsi > 30",
+    "rsi_crossed_below_70": "prsi >= 70 AND rsi < 70", "rsi_between_40_60": "rsi BETWEEN 40 AND 60", "breakout_below_20bar_low": "i >= 20 AND close < lo20", "price_near_support": "i >= 20 AND abs(close - lo20) <= 0.005 * close",
+    "price_near_resistance": "i >= 20 AND abs(close - hi20) <= 0.005 * close", "is_in_kill_zone": "strftime(ts, '%H:%M:%S') BETWEEN '09:15:00' AND '11:00:00' OR strftime(ts, '%H:%M:%S') BETWEEN '13:30:00' AND '15:00:00'",
+    "ema_fast_above_slow": "f > w", "ema_fast_below_slow": "f < w", "price_above_both_emas": "close > f AND close > w", "price_below_both_emas": "close < f AND close < w",
+    "price_above_vwap": "vwap IS NULL OR close > vwap", "price_below_vwap": "vwap IS NULL OR close < vwap", "rsi_above_30": "rsi > 30", "rsi_below_70": "rsi < 70", "breakout_above_20bar_high": "i >= 20 AND close > hi20",
+}
+
+
+def _tokens() -> str:
+    """Counts of RULES over ``ready``."""
+    flags = ", ".join(f'coalesce({c}, false) AS "{n}"' for n, c in RULES.items())
+    series = "PARTITION BY market, period_days ORDER BY ts"
+    return f""" SELECT market, period_days, rule, count(*) AS bars FROM (UNPIVOT (SELECT market, period_days, {flags} FROM (SELECT *, e9 AS f, e21 AS w, lag(rsi) OVER ({series}) AS prsi,
+        CASE WHEN i = 0 THEN 0 ELSE coalesce(stddev_pop(close - vwap) OVER ({series} ROWS UNBOUNDED PRECEDING), 0) END AS sd FROM ready)) ON COLUMNS(* EXCLUDE (market, period_days)) INTO NAME rule VALUE hit) WHERE hit GROUP BY ALL"""
+
+
+def _leaves(strategies, exits) -> tuple[str, str, str]:
+    """A CTE with the bars of signal exits, its join to the walk, and the condition under which a position leaves by them."""
+    if not exits:
+        return "", "", "false"
+    crossed = ", ".join(f"e{f} < e{s} AND lag(e{f}) OVER v >= lag(e{s}) OVER v AS down{f}, e{f} > e{s} AND lag(e{f}) OVER v <= lag(e{s}) OVER v AS up{f}" for f, s in sorted({(s[4], s[5]) for s in strategies}))
+    cte = f"""leaves AS MATERIALIZED (SELECT market, period_days, i, {crossed}, close < vwap AND lag(close) OVER v >= lag(vwap) OVER v AS below, close > vwap AND lag(close) OVER v <= lag(vwap) OVER v AS above,
+        lead(CAST(ts AS DATE)) OVER v <> CAST(ts AS DATE) AS ends FROM ready WINDOW v AS (PARTITION BY market, period_days ORDER BY ts)),"""
+    side = lambda long, short: f"CASE k.direction WHEN 'LONG' THEN x.{long} ELSE x.{short} END"
+    fast = {s[0]: s[4] for s in strategies}
+    when = {"ema_crossover_reversal": lambda s: side(f"down{fast[s]}", f"up{fast[s]}"), "price_crosses_vwap_opposite": lambda s: side("below", "above"), "end_of_session": lambda s: "x.ends"}
+    cases = " ".join(f"WHEN '{s}' THEN " + " OR ".join(f"coalesce({when[n](s)}, false)" for n in names) for s, names in exits.items())
+    return cte, "LEFT JOIN leaves x ON x.market = b.market AND x.period_days = b.period_days AND x.i = b.i", f"coalesce(CASE k.strategy_id {cases} END, false)"
+
+
+def _backtest(strategies, periods, exits=None) -> str:
     """CTEs ready, asked, signals and the walk over them, up to ``trades``."""
     keys = ("market", "period_days")
+    leaves, join_leaves, leave = _leaves(strategies, exits)
     rules = {
         "ema_fast_above_slow": "f > w", "ema_fast_below_slow": "f < w", "price_above_both_emas": "close > f AND close > w", "price_below_both_emas": "close < f AND close < w",
         "price_above_vwap": "vwap IS NULL OR close > vwap", "price_below_vwap": "vwap IS NULL OR close < vwap", "rsi_above_30": "rsi > 30", "rsi_below_70": "rsi < 70",
@@ -84,6 +118,7 @@ ready AS (SELECT s.*, a9.e AS e9, a13.e AS e13, a21.e AS e21, a34.e AS e34, CASE
        lag(open) OVER v AS po, lag(close) OVER v AS pc, lag(high) OVER v AS ph, lag(low) OVER v AS pl
     FROM s {" ".join(map(same, ("a9", "a13", "a21", "a34", "up", "down", "tr14")))} WINDOW v AS (PARTITION BY s.market, s.period_days ORDER BY ts)),
 signals AS (SELECT *, CASE direction WHEN 'LONG' THEN close - d ELSE close + d END AS stop, CASE direction WHEN 'LONG' THEN close + d * rr ELSE close - d * rr END AS target FROM ({asked})),
+{leaves}
 walk AS (
     SELECT p.strategy_id, p.market, p.period_days, 49 AS i, CAST(NULL AS BIGINT) AS since, CAST(NULL AS VARCHAR) AS direction, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS stop, CAST(NULL AS DOUBLE) AS target,
            CAST(NULL AS BIGINT) AS was_at, CAST(NULL AS VARCHAR) AS was, CAST(NULL AS DOUBLE) AS paid, CAST(NULL AS DOUBLE) AS got
@@ -93,12 +128,13 @@ walk AS (
            CASE WHEN left_ THEN NULL WHEN held THEN price ELSE s_close END, CASE WHEN left_ THEN NULL WHEN held THEN stop ELSE s_stop END, CASE WHEN left_ THEN NULL WHEN held THEN target ELSE s_target END,
            CASE WHEN left_ THEN since END, CASE WHEN left_ THEN direction END, CASE WHEN left_ THEN price END, CASE WHEN left_ THEN fetched END
     FROM (SELECT k.strategy_id, k.market, k.period_days, b.i, k.since, k.direction, k.price, k.stop, k.target, k.since IS NOT NULL AS held, g.i AS s_i, g.direction AS s_direction, g.close AS s_close, g.stop AS s_stop, g.target AS s_target,
-                 CASE WHEN k.since IS NULL THEN NULL WHEN k.direction = 'LONG' THEN CASE WHEN b.low <= k.stop THEN k.stop WHEN b.high >= k.target THEN k.target WHEN b.i = b.n - 1 THEN b.close END
-                      ELSE CASE WHEN b.high >= k.stop THEN k.stop WHEN b.low <= k.target THEN k.target WHEN b.i = b.n - 1 THEN b.close END END AS fetched, fetched IS NOT NULL AS left_
+                 CASE WHEN k.since IS NULL THEN NULL WHEN k.direction = 'LONG' THEN CASE WHEN b.low <= k.stop THEN k.stop WHEN b.high >= k.target THEN k.target WHEN {leave} OR b.i = b.n - 1 THEN b.close END
+                      ELSE CASE WHEN b.high >= k.stop THEN k.stop WHEN b.low <= k.target THEN k.target WHEN {leave} OR b.i = b.n - 1 THEN b.close END END AS fetched, fetched IS NOT NULL AS left_
           FROM walk k JOIN s b ON b.market = k.market AND b.period_days = k.period_days AND b.i = k.i + 1
+          {join_leaves}
           LEFT JOIN signals g ON g.strategy_id = k.strategy_id AND g.market = k.market AND g.period_days = k.period_days AND g.i = b.i)),
 trades AS (
-    SELECT strategy_id, market, period_days, entry_idx, exit_idx, direction, entry_price, exit_price, CASE direction WHEN 'LONG' THEN exit_price - entry_price ELSE entry_price - exit_price END AS pnl, pnl / entry_price * 100 AS pnl_percent
+    SELECT strategy_id, market, period_days, entry_idx, exit_idx, direction, entry_price, exit_price, CASE direction WHEN 'LONG' THEN exit_price - entry_price ELSE entry_price - exit_price END AS pnl, coalesce(pnl / nullif(entry_price, 0), 0) * 100 AS pnl_percent
     FROM (SELECT strategy_id, market, period_days, CAST(was_at AS INTEGER) AS entry_idx, CAST(i AS INTEGER) AS exit_idx, was AS direction, paid AS entry_price, got AS exit_price FROM walk WHERE got IS NOT NULL
           UNION ALL SELECT k.strategy_id, k.market, k.period_days, CAST(k.since AS INTEGER), CAST(k.i AS INTEGER), k.direction, k.price, k.price FROM walk k JOIN s b ON b.market = k.market AND b.period_days = k.period_days AND b.i = k.i WHERE k.since = k.i AND b.i = b.n - 1)),
 curve AS (
@@ -117,11 +153,17 @@ results AS (
 """
 
 
+_TEMPLATES = """template AS (SELECT k, CASE WHEN k % 10 < 5 THEN 'institutional' WHEN k % 10 < 8 THEN 'price_action' WHEN k % 10 = 8 THEN 'vwap' ELSE 'ema' END AS type, CASE WHEN k % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction,
+    'detect_' || k AS f1, CASE WHEN k % 3 = 0 THEN 'detect_discount_zone' ELSE 'price_above_vwap' END AS f2, f1 || '|' || f2 AS rules FROM t)"""
+_STOPS = "SELECT unnest(['1.5x_atr_from_entry', '2x_atr_from_entry', '0.5pct_from_entry', '1pct_from_entry', 'swing_point_stop', 'entry_candle_stop']) AS stop"
+_PAIRS = "SELECT * FROM (VALUES ('9', '21'), ('9', '34'), ('13', '21'), ('13', '34')) e(fast, slow)"
+
+
 def _rounded(columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns.split())
 
 
-def sql(strategies, periods, limits, concepts) -> dict[str, str]:
+def sql(strategies, periods, limits, concepts, exits) -> dict[str, str]:
     back = _backtest(strategies, periods)
     shape = "abs(close - open) AS body, high - low AS rng, high - greatest(open, close) AS upper_wick, least(open, close) - low AS lower_wick, (high + low) / 2 AS mid, (open + close) / 2 AS mid_body, least(open, close) AS min_body, greatest(open, close) AS max_body"
     numbers = "total_pnl total_pnl_percent largest_win largest_loss max_drawdown win_rate avg_win avg_loss largest_win_contribution profit_factor max_drawdown_percent expectancy"
@@ -166,6 +208,13 @@ def sql(strategies, periods, limits, concepts) -> dict[str, str]:
         "validate_strategies": f"SELECT {c} AS strategy_id, {faults} = '' AS valid, {faults} AS errors FROM customer",
         "rule_entries": back + "SELECT strategy_id, market, period_days, CAST(i AS INTEGER) AS bar_idx, direction, round(stop, 6) AS stop, round(target, 6) AS target FROM signals",
         "trades": back + "SELECT strategy_id, market, period_days, entry_idx, exit_idx, direction, " + _rounded("entry_price exit_price pnl pnl_percent") + " FROM trades",
+        "trades_with_exits": _backtest(strategies, periods, exits) + "SELECT strategy_id, market, period_days, entry_idx, exit_idx, direction, " + _rounded("entry_price exit_price pnl pnl_percent") + " FROM trades",
+        "rule_tokens": back.split("signals AS (")[0].rstrip().rstrip(",") + _tokens(),
+        "passing_strategies": back + f", {screen} SELECT strategy_id FROM screened WHERE n_failures <= 4",
+        "repo_documents": back + f""", {screen}, asked AS (SELECT unnest([{", ".join(f"'{s[0]}'" for s in strategies)}]) AS strategy_id, unnest([{", ".join("'" + "|".join(s[1]) + "'" for s in strategies)}]) AS rules, unnest([{", ".join(str(s[5]) for s in strategies)}]) AS ema_slow)
+            SELECT left(sha256(rules || '|stop_loss_hit|take_profit_hit'), 12) AS hash, '2024-01-01' AS stored_at, strategy_id, rules, ema_slow, all_periods_profitable, round(avg_win_rate, 6) AS avg_win_rate, round(worst_drawdown, 6) AS worst_drawdown, true AS no_windows,
+                   CAST(CASE WHEN total_trades + 1 > 10 THEN ceil((total_trades + 1) / ((total_trades + 1) // 10)) ELSE total_trades + 1 END AS INTEGER) AS points
+            FROM screened JOIN asked USING (strategy_id) JOIN (SELECT strategy_id, total_trades FROM results WHERE period_days = 30) USING (strategy_id)""",
         "equity": back + "SELECT strategy_id, period_days, CAST(trade_no AS INTEGER) AS trade_no, " + _rounded("equity drawdown") + " FROM curve",
         "period_metrics": back + "SELECT strategy_id, period_days, total_trades, winning_trades, losing_trades, " + _rounded(numbers) + " FROM results",
         "screened": back + f", {screen} SELECT strategy_id, all_periods_profitable, total_trades_per_year, low_drawdown, on_target, spread, n_failures, n_failures <= {limits.failures} AS passed, " + _rounded("worst_drawdown avg_win_rate avg_expectancy avg_profit_factor") + " FROM screened",
@@ -180,6 +229,22 @@ def sql(strategies, periods, limits, concepts) -> dict[str, str]:
         "dna_timeframes": f"WITH {stored} SELECT timeframe, round(count(*) / (SELECT count(*) FROM recent), 4) AS weight FROM recent GROUP BY timeframe",
         "dna_risk_reward": f"WITH {stored} SELECT CAST(round(avg(coalesce(risk_reward, 2.0)), 2) AS DOUBLE) AS rr_focus FROM recent",
         "dna_weights": f"WITH {stored}, {weights} SELECT keyword, round(1 + 2 * coalesce(weight, 0), 6) AS weight FROM (SELECT DISTINCT unnest(entry_rules) AS keyword FROM stored) LEFT JOIN weights USING (keyword)",
+        "dna_memory": f"WITH {stored}, {weights} SELECT 'keywords' AS kind, keyword AS name, round(weight, 6) AS weight FROM weights UNION ALL SELECT 'timeframes', timeframe, round(count(*) / (SELECT count(*) FROM recent), 4) FROM recent GROUP BY timeframe UNION ALL SELECT 'rr_focus', '', CAST(round(avg(coalesce(risk_reward, 2.0)), 2) AS DOUBLE) FROM recent",
+        "rules_described": f"WITH {stored} SELECT strategy_id, array_to_string(entry_rules, ' AND ') AS entry, 'stop_loss_hit' AS leave FROM stored",
+        "strategy_grid": f"""WITH t AS (SELECT DISTINCT p_partkey AS k FROM part), {_TEMPLATES}, kept AS (
+                SELECT *, CASE WHEN bool_or(direction = 'LONG') OVER o THEN count(*) OVER o / nullif(sum((direction = 'LONG')::int) OVER o, 0) ELSE 1 END AS share, bool_or(direction = 'LONG') OVER o AS biased FROM template WINDOW o AS (PARTITION BY type)),
+            cells AS (SELECT type, direction, timeframe, stop AS stop_loss_logic, rr || 'x_stop_distance' AS take_profit_logic, CAST(fast AS INTEGER) AS ema_fast, CAST(slow AS INTEGER) AS ema_slow, share / 288.0 AS p,
+                left(md5(concat_ws('~', rules, 'stop_loss_hit|take_profit_hit', stop, rr, timeframe, '*', fast, slow)), 16) AS id
+                FROM kept, (SELECT unnest(['1m', '5m', '15m']) AS timeframe), ({_STOPS}), (SELECT unnest(['1.8', '2.0', '2.5', '3.0']) AS rr), ({_PAIRS}) WHERE NOT biased OR direction = 'LONG')
+            SELECT type, direction, timeframe, stop_loss_logic, take_profit_logic, ema_fast, ema_slow, count(*) AS strategies, round(sum(p), 6) AS probability, min(id) AS first_id, max(id) AS last_id FROM cells GROUP BY ALL""",
+        "strategy_options": f"""WITH t AS (SELECT DISTINCT CAST(right(p_brand, 1) AS BIGINT) AS k FROM part), {_TEMPLATES}, cells AS (
+                SELECT type, v <> '' AS use_vwap, r <> '' AS use_rsi, leave, pv * pr * pz * pc * pl / 24.0 AS p,
+                    len(list_distinct(list_filter([f1, f2, CASE WHEN z AND type = 'institutional' THEN CASE direction WHEN 'LONG' THEN 'detect_discount_zone' ELSE 'detect_premium_zone' END END, nullif(v, ''), nullif(r, ''), CASE WHEN c THEN 'is_in_kill_zone' END], lambda x: x IS NOT NULL))) AS rules
+                FROM template, (VALUES ('', 0.5), ('price_above_vwap', 1.0 / 6), ('price_below_vwap', 1.0 / 6), ('price_within_0.5pct_of_vwap', 1.0 / 6)) a(v, pv),
+                    (VALUES ('', 0.7), ('rsi_below_70', 0.06), ('rsi_above_30', 0.06), ('rsi_crossed_above_30', 0.06), ('rsi_crossed_below_70', 0.06), ('rsi_between_40_60', 0.06)) b(r, pr),
+                    (VALUES (false, 0.5), (true, 0.5)) d(z, pz), (VALUES (false, 0.7), (true, 0.3)) e(c, pc), (VALUES ('', 0.5), ('ema_crossover_reversal', 1.0 / 6), ('price_crosses_vwap_opposite', 1.0 / 6), ('end_of_session', 1.0 / 6)) h(leave, pl), ({_STOPS}), ({_PAIRS})
+                WHERE type = 'institutional' OR NOT z)
+            SELECT type, use_vwap, use_rsi, CAST(rules AS INTEGER) AS rules, leave, count(*) AS strategies, round(CAST(sum(p) AS DOUBLE), 6) AS probability FROM cells GROUP BY ALL""",
         "part_grid": "SELECT p_brand, timeframe, stop, e.fast, e.slow, round(1.0 / 72, 6)::DOUBLE AS probability FROM (SELECT DISTINCT p_brand FROM part), (SELECT unnest(['1m', '5m', '15m']) AS timeframe), (SELECT unnest(['1.5x_atr_from_entry', '2x_atr_from_entry', '0.5pct_from_entry', '1pct_from_entry', 'swing_point_stop', 'entry_candle_stop']) AS stop), (VALUES (9, 21), (9, 34), (13, 21), (13, 34)) e(fast, slow)",
         "weighted_sample": "SELECT CAST(p_partkey AS VARCHAR) AS strategy_id FROM part ORDER BY -ln((CAST(concat('0x', left(md5('7~' || p_partkey), 8)) AS BIGINT) + 1) / 4294967297.0::DOUBLE) / p_retailprice, CAST(p_partkey AS VARCHAR) LIMIT 20",
     }
