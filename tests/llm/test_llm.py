@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import byte_bpe, chat, jaccard, pii, quality, toxicity, words
+from barloom.llm import byte_bpe, chat, jaccard, pii, quality, topk, toxicity, words
 from barloom.llm import queries as q
 from barloom.llm.components import components
 from barloom.llm.decontaminate import find_contamination
@@ -442,7 +442,10 @@ def test_long_texts_are_not_cut_before_control_characters():
     assert bpe.encode(text).tolist() == bpe.own.encode_ordinary(text)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("rows", [4_000, 40])
+def test_top_k(spark, rows, monkeypatch):
+    """Few rows a bucket: many buckets by length."""
+    monkeypatch.setattr(topk, "BUCKET_ROWS", rows)
     rng = np.random.default_rng(1)
     vectors = [(int(i), [float(x) for x in rng.normal(size=12) * 10 ** rng.uniform(-2, 1)]) for i in range(400)]
     vectors += [(400 + i, [1.0] * 12) for i in range(30)] + [(500, None), (501, [1.0, None] * 6), (502, [float("nan")] * 12), (503, [float("inf")] * 12), (504, []), (None, [1.0] * 12), (505, [0.0] * 12), (506, [3.0] * 5)]
@@ -456,6 +459,20 @@ def test_top_k(spark):
             want |= {(i, k): (j, -s) for k, (s, j) in enumerate(best, 1)}
     assert got == want
     assert top_k(df.limit(0), df.limit(0)).count() == 0
+    assert top_k(df, df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="2\\*\\*53"):
+        top_k(df, df, scale=2**30)
+
+
+def test_queries_go_only_where_they_can_find_better_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET_ROWS", 50)
+    sent, search = [], topk._search
+    monkeypatch.setattr(topk, "_search", lambda rows, asked, *more: sent.append(asked.count()) or search(rows, asked, *more))
+    vectors = [(i, [2.0 ** (-i / 50), 1e-3 * (i % 7)]) for i in range(500)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = top_k(df, df.filter("vec_id % 100 = 0"), 5).collect()
+    assert {(r.query_id, r.rank): r.vec_id for r in got if r.rank < 3} == {(q_, r): (r - 1 if q_ else r) for q_ in range(0, 500, 100) for r in (1, 2)}
+    assert sent[0] == 5 and sent[1] < 5 * 3
 
 
 CHATS = "conv_id long, turn long, role string, text string"
