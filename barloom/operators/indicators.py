@@ -3,7 +3,8 @@
 A recurrence e[i] = q e[i-1] + z[i] is not a window function. Cut into blocks of B bars, e is a running
 sum inside a block, scaled by powers of q, plus what the blocks before carry over; of those only the
 last few matter, as q**B is tiny. So a recurrence is three window aggregations, of which the one over
-all bars is partitioned by series and block: a single long series is spread over many tasks.
+all bars is partitioned by series and block, so the sums of a single long series are spread over many
+tasks. The numbering of its bars and what looks one bar back still sort a series in one task.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ from barloom.operators.rules import describe, entries, rule_hits, validate
 from barloom.operators.trades import scan_trades, with_levels
 from barloom.plans import detector_sql as ds
 from barloom.plans import twins
-from barloom.plans.research import prepared, scan_by_pair
+from barloom.plans.research import numbered, scan_by_pair
 from barloom.sources import bars as src
 from barloom.sources import repository as repo
 
@@ -203,8 +203,12 @@ def _customer_strategies(customer: DataFrame) -> DataFrame:
     )
 
 
+def _series(spark, sf_dir):
+    return numbered(hourly(spark, sf_dir), PERIODS)
+
+
 def _ready(spark, sf_dir):
-    return prepared(hourly(spark, sf_dir), PERIODS)
+    return ind.with_indicators(_series(spark, sf_dir))
 
 
 def _signals(spark, sf_dir, ready):
@@ -217,8 +221,8 @@ def rule_entries(spark, sf_dir):
 
 
 def _trades(spark, sf_dir):
-    ready = _ready(spark, sf_dir)
-    return scan_trades(ready, _signals(spark, sf_dir, ready))
+    series = _series(spark, sf_dir)
+    return scan_trades(series, _signals(spark, sf_dir, ind.with_indicators(series)))
 
 
 def trades(spark, sf_dir):
@@ -280,9 +284,9 @@ def concept_tags(spark, sf_dir):
 
 
 def trade_marks(spark, sf_dir):
-    ready = _ready(spark, sf_dir)
-    found = scan_trades(ready, _signals(spark, sf_dir, ready))
-    return shown(sc.trade_marks(ready, found).select("strategy_id", "market", "period_days", "bar_idx", "mark", "direction", "price"))
+    series = _series(spark, sf_dir)
+    found = scan_trades(series, _signals(spark, sf_dir, ind.with_indicators(series)))
+    return shown(sc.trade_marks(series, found).select("strategy_id", "market", "period_days", "bar_idx", "mark", "direction", "price"))
 
 
 def run_summary(spark, sf_dir):

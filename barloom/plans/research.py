@@ -16,11 +16,16 @@ from barloom.operators.trades import scan_trades, with_levels
 from barloom.sources.bars import PERIODS, end_of, with_periods
 
 
-def prepared(bars: DataFrame, periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None, emas: tuple[int, ...] = (9, 13, 21, 34)) -> DataFrame:
-    """Bars of every look-back window with their position and indicators."""
+def numbered(bars: DataFrame, periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None) -> DataFrame:
+    """Bars of every look-back window with their position."""
     as_of = as_of or end_of(bars)
     windows = with_periods(bars, as_of, periods) if as_of else bars.selectExpr("*", "30 AS period_days").limit(0)
-    return with_indicators(with_bar_idx(windows), emas)
+    return with_bar_idx(windows)
+
+
+def prepared(bars: DataFrame, periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None, emas: tuple[int, ...] = (9, 13, 21, 34)) -> DataFrame:
+    """Bars of every look-back window with their position and indicators."""
+    return with_indicators(numbered(bars, periods, as_of), emas)
 
 
 def backtest(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: list[tuple[int, int]], periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None, zone: str = "Asia/Kolkata", compat: bool = False, copies: int = 1, exits: bool = False) -> DataFrame:
@@ -30,10 +35,11 @@ def backtest(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: lis
     task are a good number. ``exits`` lets positions leave by the signal exits of their exit rules too.
     A strategy with a rule that is not in ``rules`` or unknown has no trades and stops no other.
     """
-    ready = prepared(bars, periods, as_of, tuple(sorted({p for pair in emas for p in pair})))
+    series = numbered(bars, periods, as_of)
+    ready = with_indicators(series, tuple(sorted({p for pair in emas for p in pair})))
     signals = with_levels(entries(ready, strategies, rules, emas, zone, compat))
-    if not exits:
-        return scan_trades(ready, signals, copies)
+    if not exits:  # the scan itself needs no indicators
+        return scan_trades(series, signals, copies)
     return scan_by_pair(ready, signals, emas, zone, copies)
 
 

@@ -6,10 +6,12 @@ from test_bars import START, series
 
 from barloom.operators import grid as g
 from barloom.operators import metrics
-from barloom.operators.rules import rule_column, validate
+from barloom.operators.indicators import with_indicators
+from barloom.operators.rules import rule_column, rule_hits, validate
 from barloom.operators.screen import screen, trade_marks
-from barloom.operators.trades import scan_trades, trades_in_catalyst, with_levels
+from barloom.operators.trades import scan_trades, trades_in_catalyst, with_levels, with_pnl
 from barloom.plans import queries as q
+from barloom.plans.research import run_cycle
 from barloom.sources import repository as repo
 
 STRATEGY = "strategy_id string, entry_rules array<string>, exit_rules array<string>, stop_loss_logic string, take_profit_logic string, risk_reward double, timeframe string"
@@ -161,3 +163,42 @@ def test_compat_keeps_the_accidents_of_dispatch(spark):
     assert count("detect_effort_vs_result_bullish") == 0
     assert count("detect_stops_hunt_bullish") == n
     assert count("detect_bullish_breaker") >= len(down)
+
+
+def test_a_price_of_zero_has_no_percentage(spark):
+    assert [r.pnl_percent for r in with_pnl(trades_of(spark, [5.0]).withColumn("entry_price", F.lit(0.0))).collect()] == [0.0]
+    bars = with_indicators(series(spark, [0.0] * 60))
+    hits = rule_hits(bars, list(q.TOKENS), [(9, 21)], "UTC")
+    assert hits.filter("array_contains(hits['9/21'], 'price_within_0.5pct_of_vwap')").count() == 0
+
+
+def test_positions_leave_by_signal_exits(spark):
+    c, h, low = flat(70)
+    bars, entries = scan(spark, c, h, low, [("s", "m", "5m", 30, i, "LONG", 90.0, 110.0) for i in (51, 58)])
+    bars = bars.withColumn("leaves", F.when(F.col("bar_idx").isin(51, 54), F.array(F.lit("x/LONG"))).when(F.col("bar_idx") == 60, F.array(F.lit("x/SHORT"))).otherwise(F.array().cast("array<string>")))
+    asked = entries.withColumn("exit_rules", F.array(F.lit("stop_loss_hit"), F.lit("x")))
+    got = sorted((r.entry_idx, r.exit_idx) for r in scan_trades(bars, asked, exits="leaves").collect())
+    assert got == [(51, 54), (58, 69)]  # not on the entry's own bar, nor by the other side's signal
+    assert sorted((r.entry_idx, r.exit_idx) for r in scan_trades(bars, asked, copies=3).collect()) == [(51, 69)]
+
+
+def test_a_strategy_with_an_unknown_rule_stops_no_other(spark, sf_dir):
+    rows = q.strategies(spark).withColumn("entry_rules", F.when(F.col("strategy_id") == "s01", F.array(F.lit("moon_phase"))).otherwise(F.col("entry_rules")))
+    rules = [*q.RULES, "moon_phase"]
+    checked, results, _ = run_cycle(q.hourly(spark, sf_dir), rows, rules, list(q.EMAS), q.PERIODS)
+    assert {r.strategy_id: r.unknown for r in checked.filter("size(unknown) > 0").collect()} == {"s01": ["moon_phase"]}
+    found = {r.strategy_id for r in results.select("strategy_id").distinct().collect()}
+    assert "s01" not in found and "s02" in found
+
+
+def test_templates_and_their_chances(spark):
+    from collections import Counter
+
+    table = g.template_table(spark, "institutional").collect()
+    assert Counter(r.type for r in table) == {"institutional": 164, "price_action": 8, "vwap": 4, "ema": 4}
+    of_type = Counter()
+    for r in table:
+        of_type[r.type] += r.share
+    assert all(abs(of_type[t] - p) < 1e-9 for t, p in {"institutional": 0.7, "price_action": 0.2, "vwap": 0.05, "ema": 0.05}.items())
+    biased = g.biased(g.template_table(spark), "BEARISH").collect()
+    assert {r.direction for r in biased} == {"SHORT"} and abs(sum(r.share for r in biased) - 1) < 1e-9

@@ -88,3 +88,11 @@ def test_kill_zone_clock(spark):
     rows = [("m", "1m", START + timedelta(hours=h, minutes=m), 1.0, 1.0, 1.0, 1.0, 1.0) for h, m in ((3, 44), (3, 45), (5, 30), (5, 31), (8, 0), (9, 30), (9, 31))]
     bars = with_bar_idx(spark.createDataFrame(rows, "market string, timeframe string, ts timestamp, open double, high double, low double, close double, volume double"))
     assert fired(with_detectors(bars, ["kill_zone"]), ["kill_zone"])["kill_zone"] == [1, 2, 4, 5]
+
+
+def test_series_of_zeros(spark):
+    """No detector divides by a price of 0; with a few other prices among them every guard is passed."""
+    closes = [1.0 if i % 9 == 3 else 0.0 for i in range(130)]
+    bars = with_bar_idx(series(spark, closes, lows=closes, highs=closes, opens=closes))
+    rows = with_detectors(bars, list(DETECTORS)).select(*(f"detect_{n}" for n in DETECTORS)).collect()
+    assert len(rows) == 130 and all(x is not None for r in rows for x in r)
