@@ -19,6 +19,103 @@ shaped AS (
 )"""
 
 
+# The first bar at which a detector may fire.
+GUARDS = {
+    0: (
+        "bullish_pin_bar", "macro_cycle_bullish", "macro_cycle_bearish", "psychological_level_rejection_bullish", "psychological_level_rejection_bearish",
+        "kill_zone",
+    ),
+    1: (
+        "bullish_engulfing", "bearish_engulfing", "inside_bar", "bullish_order_block", "bearish_order_block", "rejection_block_v1_bullish",
+        "rejection_block_v1_bearish", "volume_imbalance_v1_bullish", "volume_imbalance_v1_bearish", "quarterly_shift_bullish", "quarterly_shift_bearish",
+    ),
+    2: (
+        "morning_star", "bullish_imbalance", "bearish_imbalance", "silver_bullet_bullish", "institutional_swing_point_bullish",
+        "institutional_swing_point_bearish", "propulsion_candle_bullish", "propulsion_candle_bearish", "three_candle_reversal_bullish",
+        "three_candle_reversal_bearish",
+    ),
+    3: (
+        "propulsion_block_bullish", "propulsion_block_bearish", "balanced_price_range", "silver_bullet_bearish", "stops_hunt_bullish", "stops_hunt_bearish",
+    ),
+    4: (
+        "liquidity_run_bullish", "liquidity_run_bearish", "wick_consequent_encroachment_bullish", "wick_consequent_encroachment_bearish",
+    ),
+    5: (
+        "order_flow_entry_bullish", "order_flow_entry_bearish", "decoupled_ob_bullish", "decoupled_ob_bearish", "poor_high_low_bullish",
+        "poor_high_low_bearish", "inverted_fvg_bullish", "inverted_fvg_bearish", "mean_threshold_retest_bullish", "mean_threshold_retest_bearish",
+    ),
+    9: (
+        "rejection_block_bullish", "rejection_block_bearish", "sponsor_candle_bullish", "sponsor_candle_bearish",
+    ),
+    10: (
+        "reclaimed_block_bullish", "reclaimed_block_bearish", "fractal_expansion_bullish", "fractal_expansion_bearish", "swing_failure_pattern_bullish",
+        "swing_failure_pattern_bearish", "trendline_liquidity_build_bullish", "trendline_liquidity_build_bearish", "balanced_price_range_bullish",
+        "balanced_price_range_bearish", "inducement_v1_bullish", "inducement_v1_bearish", "choch_bullish", "choch_bearish", "mitigation_block_bullish",
+        "mitigation_block_bearish", "opening_gap_reclaim_bullish", "opening_gap_reclaim_bearish", "wyckoff_sos_bullish", "wyckoff_sow_bearish",
+        "effort_vs_result_bullish", "effort_vs_result_bearish", "stopping_volume_bullish", "stopping_volume_bearish", "vsa_no_supply_bullish",
+        "vsa_no_demand_bearish", "vsa_shakeout_bullish", "vsa_shakeout_bearish", "bullish_breaker", "bearish_breaker", "unicorn_model_bullish",
+        "unicorn_model_bearish", "liquidity_void_bullish", "liquidity_void_bearish", "volume_imbalance_bullish", "volume_imbalance_bearish",
+        "partial_void_fill_bullish", "partial_void_fill_bearish", "composite_operator_bullish", "composite_operator_bearish", "inducement_bullish",
+        "inducement_bearish",
+    ),
+    11: (
+        "inverse_fvg_bullish", "inverse_fvg_bearish",
+    ),
+    14: (
+        "single_prints_bullish", "single_prints_bearish",
+    ),
+    15: (
+        "amd_bullish", "amd_bearish", "smt_divergence_bullish", "smt_divergence_bearish", "wyckoff_lps_bullish", "wyckoff_lpsy_bearish",
+        "momentum_impulse_bullish", "momentum_impulse_bearish", "compression_liquidity_bullish", "compression_liquidity_bearish", "master_pattern_bullish",
+        "master_pattern_bearish", "judas_swing_bullish", "judas_swing_bearish", "mitigation_block_v1_bullish", "mitigation_block_v1_bearish",
+        "triple_tap_bullish", "triple_tap_bearish",
+    ),
+    20: (
+        "breakout_up", "breakout_down", "turtle_soup_v1_bullish", "turtle_soup_v1_bearish", "liquidity_sweep_low", "liquidity_sweep_high",
+        "range_rotation_bullish", "range_rotation_bearish", "failed_auction_bullish", "failed_auction_bearish", "amd_setup_bullish", "amd_setup_bearish",
+        "ote_entry_bullish", "ote_entry_bearish", "tails_bullish", "tails_bearish", "wyckoff_spring_bullish", "wyckoff_upthrust_bearish",
+        "volatility_squeeze", "snap_back_bullish", "snap_back_bearish", "selling_climax_bullish", "buying_climax_bearish", "engineered_liquidity_bullish",
+        "engineered_liquidity_bearish", "market_structure_shift_bullish", "market_structure_shift_bearish", "optimal_trade_entry_long",
+        "optimal_trade_entry_short", "dragon_pattern_bullish", "dragon_pattern_bearish",
+    ),
+    24: (
+        "volume_void_bullish", "volume_void_bearish",
+    ),
+    25: (
+        "turtle_soup_bullish", "turtle_soup_bearish", "quasimodo_pattern_bullish", "quasimodo_pattern_bearish",
+    ),
+    30: (
+        "power_of_3_swing_bullish", "power_of_3_swing_bearish", "standard_deviation_projection_bullish", "standard_deviation_projection_bearish",
+        "dist_accum_bullish", "dist_accum_bearish",
+    ),
+    31: (
+        "opening_range_breakout_bullish", "opening_range_breakout_bearish",
+    ),
+    50: (
+        "daily_open_rejection_bullish", "daily_open_rejection_bearish", "discount_zone", "premium_zone", "equilibrium_reclaimed_bullish",
+        "equilibrium_reclaimed_bearish", "value_area_bullish", "value_area_bearish", "nwog_bullish", "nwog_bearish",
+    ),
+    60: (
+        "cpr_range_bullish", "cpr_range_bearish",
+    ),
+    61: (
+        "initial_balance_breakout_bullish", "initial_balance_breakout_bearish",
+    ),
+    70: (
+        "defining_range_bullish", "defining_range_bearish",
+    ),
+    75: (
+        "pdh_pdl_sweep_bullish", "pdh_pdl_sweep_bearish",
+    ),
+    100: (
+        "poc_level_rejection_bullish", "poc_level_rejection_bearish",
+    ),
+    200: (
+        "pwh_pwl_sweep_bullish", "pwh_pwl_sweep_bearish",
+    ),
+}
+
+
 def some(low: int, high: int, text: str, joint: str = " OR ") -> str:
     """``text`` for k = low..high; {k}, {k1}, {k2}, {a} (k+1) and {b} (k+5) are filled in."""
     return "(" + joint.join(f"coalesce(({text.format(k=k, k1=k + 1, k2=k + 2, j=k - 1, a=k + 1, b=k + 5)}), false)" for k in range(low, high + 1)) + ")"

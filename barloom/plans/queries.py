@@ -408,10 +408,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    guards = {n: d.min_i for n, d in DETECTORS.items()}
+    guards = {name: first for first, names in ds.GUARDS.items() for name in names}
     simple = {f"det_{k}": ds.simple(names_of(k), guards, twins.BARS_1H) for k in ("lag", "minmax", "avg_std", "exists", "count")}
     frequency = ds.simple([*names_of("lag"), *names_of("minmax")], guards, twins.BARS_1H)
     return {
-        **twins.sql(STRATEGIES, PERIODS, LIMITS, sc.CONCEPTS, EXITS), **simple, "det_argmin": ds.positions(twins.BARS_1H), "det_array": ds.arrays(names_of("array"), guards, twins.BARS_1H),
+        **twins.sql(STRATEGIES, PERIODS, EXITS), **simple, "det_argmin": ds.positions(twins.BARS_1H), "det_array": ds.arrays(names_of("array"), guards, twins.BARS_1H),
         "det_frequency": f"SELECT market, replace(name, 'detect_', '') AS detector, count(*) FILTER (hit) AS hits FROM (UNPIVOT ({frequency}) ON COLUMNS('detect_.*') INTO NAME name VALUE hit) GROUP BY ALL",
     }
