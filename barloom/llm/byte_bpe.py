@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.words import slices
+
 #: Longer texts are encoded in pieces of about this many code points.
 PIECE = 50_000
 #: Bytes of text that are encoded before their ids are handed on.
@@ -98,16 +100,6 @@ def decoder(ranks: bytes) -> Decoder:
     return _kept("d" + hashlib.sha256(ranks).hexdigest(), lambda: Decoder(ranks))
 
 
-def _sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold BATCH_BYTES of the column or one row."""
-    sizes = np.cumsum([0, *(len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column))])
-    at = 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BATCH_BYTES, "right")) - 1)
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs(text, ...)`` with ``ids array<int>`` by the ranks in ``path`` (a local file of the driver).
 
@@ -124,7 +116,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         bpe = encoder(ranks.value, pattern)
         for batch in batches:
-            for part in _sliced(batch, "text"):
+            for part in slices(batch, "text", BATCH_BYTES):
                 ids = [bpe.encode(x.as_py() or "") for x in part.column("text")]
                 ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))], [*rest, "ids"])

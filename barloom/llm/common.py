@@ -18,12 +18,15 @@ HOT_KEYS = 50_000
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a local one is made only where none is set.
+    The folder is the cluster's ``spark.checkpoint.dir``; where none is set, a session in one process gets a
+    temporary one, and on a cluster that is an error, as its executors share no local folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not shared:
             shared = tempfile.mkdtemp(prefix="barloom-checkpoint-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)

@@ -18,7 +18,7 @@ from barloom.llm.common import attach, cut
 #: Rows that a task of a graph step takes, and the fewest tasks.
 TASK_ROWS, LEAST_TASKS = 25_000, 12
 #: Keys that a task of ``meetings`` holds at a time, and rows that it hands on at a time.
-TASK_KEYS, SENT = 2_000_000, 50_000
+TASK_KEYS, SENT = 500_000, 50_000
 
 
 class Forest:
@@ -101,24 +101,25 @@ def meetings(rows: DataFrame, size: int) -> DataFrame:
             ends = held.offsets.to_numpy() if len(held) else np.zeros(1, np.int32)
             keys.append(held.values.to_numpy()[ends[0] : ends[-1]])
             nodes.append(np.repeat(own, np.diff(ends)))
-        node, key = np.concatenate(nodes), np.concatenate(keys)
+        key = np.concatenate(keys)
+        names, node = np.unique(np.concatenate(nodes), return_inverse=True)
         del nodes, keys
-        order = np.lexsort((node, key))
+        order = np.argsort(key, kind="stable")
         node, key = node[order], key[order]
-        start = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        pairs = np.unique(np.stack([node[1:], node[:-1]], 1)[~start[1:]], axis=0) if len(key) else np.zeros((0, 2), np.int64)
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        low, high = np.minimum(node[1:], node[:-1]), np.maximum(node[1:], node[:-1])
+        pairs = np.unique((low * len(names) + high)[~first[1:] & (low != high)])
         forest = Forest()
-        for x, y in pairs.tolist():
-            if x != y:
-                forest.union(x, y)
-        inner = np.array([(x, r) for x in forest.parent if (r := forest.find(x)) != x], np.int64).reshape(-1, 2)
-        node, key = node[start], key[start]
-        if len(inner):
-            inner = inner[np.argsort(inner[:, 0])]
-            at = np.minimum(np.searchsorted(inner[:, 0], node), len(inner) - 1)
-            node = np.where(inner[at, 0] == node, inner[at, 1], node)
-        if len(inner):
-            yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(inner), pa.int64()), "a": pa.array(inner[:, 0]), "b": pa.array(inner[:, 1])})
+        for x, y in zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist(), strict=True):
+            forest.union(x, y)
+        root = np.arange(len(names))
+        for x in forest.parent:
+            root[x] = forest.find(x)
+        joined = np.flatnonzero(root != np.arange(len(names)))
+        if len(joined):
+            yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(joined), pa.int64()), "a": pa.array(names[joined]), "b": pa.array(names[root[joined]])})
+        key, node = key[first], names[root[node[first]]]
         for i in range(0, len(key), SENT):
             part = slice(i, i + SENT)
             yield pa.RecordBatch.from_pydict({"key": pa.array(key[part]), "a": pa.array(node[part]), "b": pa.nulls(len(key[part]), pa.int64())})

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import attach, cut
 from barloom.llm.components import components, few, meetings
-from barloom.llm.exchange import MANY, SENT, Layout, answered, answers, deal, distinct, pack
-from barloom.llm.words import Words, shingle_sets, split_words, utf8
+from barloom.llm.exchange import MANY, SENT, UNIT_BYTES, Layout, answered, answers, deal, distinct, pack
+from barloom.llm.words import Words, shingle_sets, slices, split_words, utf8
 
 #: Sets in a block of a family, and set bytes that a task joins.
 BLOCK, TASK_BYTES = 40, 4_000_000
@@ -257,12 +257,16 @@ def _sets(table: pa.Table, k: int, key: int) -> tuple[Words, np.ndarray, np.ndar
     return (words, *shingle_sets(words, k))
 
 
+PROFILE = "doc_id long, n_shingles long, mark binary, rare array<long>, shingles binary"
+
+
 def profile(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """(doc_id, n_shingles, mark, rare, shingles); the last three only where a partner is possible.
 
-    mark: 128 bits of the whole set; rare: the shingles by which partners are found.
+    mark: 128 bits of the whole set; rare: the shingles by which partners are found. Rows without a doc_id
+    link with nothing and are not dealt, so any number of them, equal or not, make no task large.
     """
-    dealt, layout = deal(docs)
+    dealt, layout = deal(docs.filter("doc_id is not null"))
     num, den = t.numerator, t.denominator
 
     def send(table: pa.Table) -> pa.Table:
@@ -290,10 +294,17 @@ def profile(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
             packed.append(own.tobytes())
         return _profiles(left.column("doc_id"), n, marks, rare, packed)
 
+    def alone(batches):
+        for batch in batches:
+            for part in slices(batch, "text", UNIT_BYTES):
+                n, none = np.diff(_sets(pa.Table.from_batches([part]), k, layout.key)[2]), [None] * part.num_rows
+                yield from _profiles(none, n, none, none, none).to_batches()
+
+    unknown = docs.filter("doc_id is null").select(F.col("text").cast("string").alias("text")).mapInArrow(alone, PROFILE)
     sent = dealt.groupBy("unit").applyInArrow(send, SENT)
     count = lambda values, starts: np.minimum(np.add.reduceat(values, starts), MANY)
     back = answers(0, sent, count)
-    return dealt.groupBy("unit").cogroup(back.groupBy("unit")).applyInArrow(judge, "doc_id long, n_shingles long, mark binary, rare array<long>, shingles binary")
+    return dealt.groupBy("unit").cogroup(back.groupBy("unit")).applyInArrow(judge, PROFILE).unionAll(unknown)
 
 
 def _profiles(ids, n, marks, rare, packed) -> pa.Table:
@@ -326,7 +337,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     texts = every.filter("doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("least"), F.max(mark).alias("most"), F.count(mark).alias("held"), F.count("*").alias("all"))
     versions = texts.filter("held > 0 AND (least != most OR held < all)").limit(1).count() > 0
     first = member.filter("doc_id = first").select("doc_id", "mark", "node", "copies").dropDuplicates(["doc_id", "mark"])
-    reps = cut(few(alive.join(first, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("node", "rare", "shingles", "copies"), total))
+    reps = cut(alive.join(first, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("node", "rare", "shingles", "copies"))
     n_keys = reps.agg(F.sum(F.size("rare"))).first()[0] or 0
     family = components(meetings(reps.select("node", F.col("rare").alias("keys")), n_keys), total)
     held = family.join(reps.select("node", "shingles", "copies"), "node")

@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barloom.llm.exchange import ANSWER, SENT, Layout, answered, answers, by_part, deal, distinct, pack, squeeze, swell
-from barloom.llm.words import Words, inside, split_words, utf8, windows, word_hashes
+from barloom.llm.exchange import ANSWER, SENT, UNIT_BYTES, Layout, answered, answers, by_part, deal, distinct, pack, squeeze, swell
+from barloom.llm.words import Words, inside, slices, split_words, utf8, windows, word_hashes
 
 FIRST = "part int, unit int, n int, hashes binary, rest binary"
 _OTHER = 0xA0761D6478BD642F
@@ -140,7 +140,10 @@ def _cut(unit: Unit, table: pa.Table, ids) -> pa.Table:
     edge = np.zeros(len(unit.words.hash) + 1, np.int64)
     np.add.at(edge, repeated, 1)
     np.add.at(edge, repeated + unit.span, -1)
-    gone = np.cumsum(edge[:-1]) > 0
+    return _result(unit, np.cumsum(edge[:-1]) > 0, ids)
+
+
+def _result(unit: Unit, gone: np.ndarray, ids) -> pa.Table:
     n = np.diff(unit.words.first)
     removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[unit.words.first])
     kept, ends = _kept(unit, ~gone)
@@ -189,7 +192,15 @@ def remove_repeats(docs: DataFrame, span: int = 20) -> DataFrame:
     """
     if span < 2:
         raise ValueError("span must be at least 2")
-    dealt, layout = deal(docs)
+    dealt, layout = deal(docs.filter("doc_id is not null"))
+
+    def alone(batches):  # rows that lose nothing and count for nothing; any number of them make no unit large
+        for batch in batches:
+            for part in slices(batch, "text", UNIT_BYTES):
+                unit = Unit(pa.Table.from_batches([part]), span, layout)
+                yield from _result(unit, np.zeros(len(unit.words.hash), bool), part.column("doc_id")).to_batches()
+
+    unknown = docs.filter("doc_id is null").select("doc_id", "text").mapInArrow(alone, RESULT)
 
     def probe(table: pa.Table) -> pa.Table:
         return pack(table.column("unit")[0].as_py(), *Unit(table, span, layout).asked(), layout)
@@ -206,4 +217,4 @@ def remove_repeats(docs: DataFrame, span: int = 20) -> DataFrame:
     hits = answers(0, dealt.groupBy("unit").applyInArrow(probe, SENT), found_twice)
     sent = dealt.groupBy("unit").cogroup(hits.groupBy("unit")).applyInArrow(send, FIRST)
     first = sent.groupBy("part").applyInArrow(_earliest, ANSWER)
-    return dealt.groupBy("unit").cogroup(hits.unionAll(first).groupBy("unit")).applyInArrow(cut, RESULT)
+    return dealt.groupBy("unit").cogroup(hits.unionAll(first).groupBy("unit")).applyInArrow(cut, RESULT).unionAll(unknown)

@@ -6,6 +6,7 @@ All functions work on the byte buffer of a whole column, so no Python object is
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold ``size`` bytes of a column, or one row."""
+    sizes = np.cumsum([0, *(len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column))])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + size, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
     """64 bits for the bytes of each word, taken in blocks of 8, each mixed in before the next.
 
