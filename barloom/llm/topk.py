@@ -23,6 +23,8 @@ from barloom.llm.common import cut, shuffle_partitions
 #: Rows and queries of a cell, at most, and the numbers of buckets by length over the whole table.
 ROWS, QUERIES = 50_000, 2_000
 BUCKET_ROWS, MOST_BUCKETS = 4_000, 64
+#: Fewer rows are not worth a cell of their own, as every cell returns k rows for each query.
+CELL_ROWS = 2_000
 BUCKET, COORDINATES, STEEP = 256, 8, 0.6
 FOUND = "query_id long, vec_id long, score long"
 #: Room for rounding when a product of lengths is compared with a score.
@@ -94,13 +96,13 @@ def _looked_up(values: dict[int, float], key: Column) -> Column:
     return F.get(F.array(*(F.lit(values.get(i, 0)) for i in range(max(values, default=0) + 1))), key)
 
 
-def _search(rows: DataFrame, asked: DataFrame, k: int, sizes: dict[int, int], least_cells: int) -> DataFrame:
+def _search(rows: DataFrame, asked: DataFrame, k: int, sizes: dict[int, int], tasks: int) -> DataFrame:
     """FOUND of ``rows(bucket, vec_id, v)`` and ``asked(bucket, vec_id, v, need)`` that meet in a bucket.
 
     A bucket is a grid of cells of at most about ROWS rows and QUERIES queries.
     """
     going = {int(r[0]): int(r[1]) for r in asked.groupBy("bucket").count().collect()}
-    across = {b: max(least_cells, -(-sizes[b] // ROWS)) for b in going}
+    across = {b: max(1, -(-sizes[b] // ROWS), min(tasks, sizes[b] // CELL_ROWS)) for b in going}
     down = {b: -(-n // QUERIES) for b, n in going.items()}
     if not going:
         return asked.sparkSession.createDataFrame([], FOUND)
