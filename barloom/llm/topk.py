@@ -127,16 +127,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
     whole = F.transform("embedding", lambda x: F.floor(scale * x.cast("double")).cast("double")).alias("v")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("length")
     rows = vectors.filter(F.col("vec_id").isNotNull() & real).select("vec_id", whole).select("vec_id", "v", length)
-    asked = queries.filter(F.col("vec_id").isNotNull() & real).select("vec_id", whole).dropDuplicates(["vec_id", "v"]).select("vec_id", "v", length)
-    n_rows, longest = rows.agg(F.count("*"), F.max("length")).first()
+    asked = cut(queries.filter(F.col("vec_id").isNotNull() & real).select("vec_id", whole).dropDuplicates(["vec_id", "v"]).select("vec_id", "v", length))
+    lengths = cut(rows.select("length"))
+    n_rows, longest = lengths.agg(F.count("*"), F.max("length")).first()
     reach = asked.agg(F.max("length")).first()[0]
     if n_rows and reach is not None and longest * reach >= 2.0**53:
         raise ValueError("inner products may reach 2**53; take a smaller scale")
     buckets = min(MOST_BUCKETS, max(1, n_rows // BUCKET_ROWS))
-    edges = sorted({*rows.approxQuantile("length", [i / buckets for i in range(1, buckets)], 0.5 / buckets)}, reverse=True) if n_rows and buckets > 1 else []
+    edges = sorted({*lengths.approxQuantile("length", [i / buckets for i in range(1, buckets)], 0.5 / buckets)}, reverse=True) if n_rows and buckets > 1 else []
     bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: F.col("length") < e)) if edges else F.lit(0)
     rows = rows.withColumn("bucket", bucket)
-    known = {int(r[0]): (int(r[1]), r[2]) for r in rows.groupBy("bucket").agg(F.count("*"), F.max("length")).collect()}
+    known = {int(r[0]): (int(r[1]), r[2]) for r in lengths.withColumn("bucket", bucket).groupBy("bucket").agg(F.count("*"), F.max("length")).collect()}
     if not known:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sizes, first = {b: n for b, (n, _) in known.items()}, min(known)
