@@ -15,13 +15,12 @@ HOT_ROWS = 100
 HOT_KEYS = 50_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; where none is set, a session in one process gets a
+    It is the cluster's ``spark.checkpoint.dir``; where none is set, a session in one process gets a
     temporary one, and on a cluster that is an error, as its executors share no local folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="barloom-checkpoint-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -48,8 +53,8 @@ def folded(text: Column) -> Column:
     return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1")))
 
 
-def attach(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, which has one row for each key and the key's number of rows in ``count``.
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``table``, which has one row for each key and the key's number of rows in ``count``.
 
     Keys with many rows are broadcast: of those there are at most ``total / limit`` <= HOT_KEYS. All
     other keys have too few rows to make a task large, and are shuffled.
@@ -61,4 +66,4 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total
     rows, names = rows.alias("r"), [F.col(f"r.{c}") for c in rows.columns]
     names += [F.col(f"t.{c}") for c in table.columns if c not in (*keys, count)]
     few = rows.join(F.broadcast(hot.alias("t")), same, "left_anti").alias("r")
-    return rows.join(F.broadcast(hot.alias("t")), same).select(*names).unionAll(few.join(cold.alias("t"), same).select(*names))
+    return rows.join(F.broadcast(hot.alias("t")), same).select(*names).unionAll(few.join(cold.alias("t"), same, how).select(*names))

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from barloom.llm import byte_bpe, chat
 from barloom.llm.decontaminate import find_contamination
+from barloom.llm.filter_audit import SPACES, audit_texts
 from barloom.llm.jaccard import near_duplicates
 from barloom.llm.line_dedup import drop_repeated_lines
 from barloom.llm.pii import BASE, find_pii
 from barloom.llm.quality import score_quality
+from barloom.llm.runs import periodic_runs
 from barloom.llm.sql import ORACLES
 from barloom.llm.substring import remove_repeats
 from barloom.llm.topk import top_k
 from barloom.llm.toxicity import score_toxicity
+from barloom.llm.url_filter import judge_urls
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Rows whose crc32(doc_id as text) leaves this remainder by 3 are never learned from.
@@ -96,8 +99,44 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` where a tenth of the texts, by the CRC-32 of their doc_id, goes on periodically to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split("text", SPACES), "")
+    rows = docs.select("doc_id", "text", F.when((h % 10 == 0) & (F.size(words) > 0), words).alias("w"), F.floor(h / 10).cast("long").alias("g"))
+    rows = rows.withColumn("a", F.col("g") % F.size("w"))
+    rows = rows.withColumn("p", 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    planted = F.array_join(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", at(i))), " ")
+    return rows.select("doc_id", F.when(F.col("w").isNull(), F.col("text")).otherwise(planted).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeats(_read(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("b.start"), F.col("b.length"), -F.col("b.period")
+    return rows.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels")
+    return audit_texts(_read(spark, sf_dir, "documents"), labels, {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
+
+
+#: Host and start of path, longest first where two fit; the rest is judged by words of the host.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "pattern string, action string")
+    return judge_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict:
-    own = (op1_line_dedup, op2_pii, op3_quality_classifier, op4_byte_bpe, op5_exact_top_k, op6_chat_formatting, op7_toxicity, op8_decontamination, op9_ngram_jaccard_join, op9_ngram_jaccard_links, op10_substring_dedup)
+    own = (op1_line_dedup, op2_pii, op3_quality_classifier, op4_byte_bpe, op5_exact_top_k, op6_chat_formatting, op7_toxicity, op8_decontamination, op9_ngram_jaccard_join, op9_ngram_jaccard_links, op10_substring_dedup, op11_periodic_runs, op12_filter_audit, op13_url_filter)
     return {f.__name__: f for f in own}
 
 

@@ -131,6 +131,65 @@ SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed,
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """
 
+OP12 = f"""
+WITH known AS (
+    SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), docs AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_SPACED.format("coalesce(text, '')")} AS w FROM documents
+), judged AS (
+    SELECT part, coalesce(k.good, false) AS good, coalesce(k.toxic, false) AS toxic,
+           [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+            100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+            regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+    FROM docs LEFT JOIN known k USING (doc_id)
+), counted AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM judged GROUP BY part, fails
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+    SELECT filter_order, step, filter_order[step] AS f,
+           list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) AS before
+    FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)
+), seen AS (
+    SELECT part, filter_order, step, f, n, good, toxic, fails[ascii(f) - 64] AS failing,
+           len(list_filter(before, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS n_fails
+    FROM counted, steps
+), summed AS (
+    SELECT part, filter_order, step, f, sum(n) FILTER (NOT failing AND NOT gone) AS kept, sum(n) FILTER (failing AND NOT gone) AS removed,
+           sum(n) FILTER (failing AND gone) AS redundant, sum(n) FILTER (failing AND n_fails = 1) AS unique_fails,
+           sum(good) FILTER (failing AND NOT gone) AS good_lost, sum(toxic) FILTER (failing AND NOT gone) AS toxic_lost
+    FROM seen GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed
+"""
+
+OP13 = """
+WITH parts AS (
+    SELECT page_id, translate(regexp_extract(u, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(u, '^([^/?#]*)([^?#]*)', 2) AS path
+    FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages)
+), rules(rule, host, path, verdict) AS (
+    VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+           ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+), best AS (
+    SELECT p.page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+    FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.page_id
+)
+SELECT p.page_id, p.host, p.path, b.rule, CASE
+    WHEN b.rule IS NOT NULL THEN b.verdict
+    WHEN list_has_any(string_split_regex(p.host, '[.-]'), ['ads', 'adult', 'bet', 'bets', 'betting', 'casino', 'escort', 'gambling', 'pills',
+        'poker', 'porn', 'sex', 'slots', 'spam', 'viagra', 'warez', 'xxx']) THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM parts p LEFT JOIN best b USING (page_id)
+"""
+
 ORACLES = {
     "op1_line_dedup": OP1,
     "op5_exact_top_k": OP5,
@@ -138,4 +197,6 @@ ORACLES = {
     "op8_decontamination": OP8,
     "op9_ngram_jaccard_join": OP9,
     "op10_substring_dedup": OP10,
+    "op12_filter_audit": OP12,
+    "op13_url_filter": OP13,
 }

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barloom.llm.exchange import ANSWER, SENT, UNIT_BYTES, Layout, answered, answers, by_part, deal, distinct, pack, squeeze, swell
-from barloom.llm.words import Words, inside, slices, split_words, utf8, windows, word_hashes
+from barloom.llm.words import Words, inside, join_words, slices, split_words, utf8, windows, word_hashes
 
 FIRST = "part int, unit int, n int, hashes binary, rest binary"
 _OTHER = 0xA0761D6478BD642F
@@ -146,7 +146,7 @@ def _cut(unit: Unit, table: pa.Table, ids) -> pa.Table:
 def _result(unit: Unit, gone: np.ndarray, ids) -> pa.Table:
     n = np.diff(unit.words.first)
     removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[unit.words.first])
-    kept, ends = _kept(unit, ~gone)
+    kept, ends = join_words(unit.data, unit.words, ~gone)
     spans = []
     for a, b in zip(unit.words.first[:-1], unit.words.first[1:], strict=True):
         flags = np.concatenate([[False], gone[a:b], [False]]).astype(np.int8)
@@ -156,29 +156,6 @@ def _result(unit: Unit, gone: np.ndarray, ids) -> pa.Table:
     return pa.table({"doc_id": ids, "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(kept.tobytes())]), "repeats": pa.array(spans, kind)})
 
 
-def _kept(unit: Unit, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The kept words of each text joined by one space: bytes and the ends of the texts."""
-    w = unit.words
-    size = w.end - w.begin
-    letters = np.zeros(len(unit.data) + 1, np.int8)
-    letters[w.begin] += 1
-    np.add.at(letters, w.end, -1)
-    solid = unit.data[np.cumsum(letters[:-1]).astype(bool)]
-    text = unit.text_of
-    last = np.full(len(unit.ids), -1)
-    last[text[keep]] = np.flatnonzero(keep)
-    gap = np.ones(len(size), np.int64)
-    gap[last[last >= 0]] = 0
-    room = np.where(keep, size + gap, 0)
-    ends = np.concatenate([[0], np.cumsum(room)])
-    out = np.full(int(ends[-1]), 32, np.uint8)
-    word = np.repeat(np.arange(len(size)), size)
-    chosen = keep[word]
-    within = np.arange(len(solid)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64), size)
-    out[(ends[word] + within)[chosen]] = solid[chosen]
-    return out, ends[w.first]
-
-
 def remove_repeats(docs: DataFrame, span: int = 20) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept, repeats)`` for each row of ``docs(doc_id, text)``.
 

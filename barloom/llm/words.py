@@ -120,6 +120,26 @@ def split_words(data: np.ndarray, offsets: np.ndarray, fold: bool, key: int = FI
     return Words(join(begins, np.int64), join(ends, np.int64), join(hashes, np.uint64), first)
 
 
+def join_words(data: np.ndarray, words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept words of each text joined by one space: bytes and the ends of the texts."""
+    size, n = words.end - words.begin, len(words.first) - 1
+    letters = np.zeros(len(data) + 1, np.int8)
+    letters[words.begin] += 1
+    np.add.at(letters, words.end, -1)
+    solid = data[np.cumsum(letters[:-1]).astype(bool)]
+    last = np.full(n, -1)
+    last[np.repeat(np.arange(n), np.diff(words.first))[keep]] = np.flatnonzero(keep)
+    gap = np.ones(len(size), np.int64)
+    gap[last[last >= 0]] = 0
+    ends = np.concatenate([[0], np.cumsum(np.where(keep, size + gap, 0))])
+    out = np.full(int(ends[-1]), 32, np.uint8)
+    word = np.repeat(np.arange(len(size)), size)
+    within = np.arange(len(solid)) - np.repeat(np.cumsum(size) - size, size)
+    chosen = keep[word]
+    out[(ends[word] + within)[chosen]] = solid[chosen]
+    return out, ends[words.first]
+
+
 def windows(hashes: np.ndarray, k: int, step: int = int(_STEP)) -> np.ndarray:
     """A 64-bit hash of each k consecutive word hashes (windows over the edge of a text are there too)."""
     n = len(hashes) - k + 1
