@@ -153,7 +153,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, words: tuple[str, ...] = BLOC
     rows = rows.withColumn("_keys", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.concat(asked, spoken)))
     rows = rows.withColumn("_digests", F.transform("_keys", lambda k: F.xxhash64(k)))
     found = [_looked_up(F.col("_digests"), F.col("_keys"), n) for n in names]
-    rows = rows.withColumn("_found", reduce(lambda a, b: F.zip_with(a, b, F.greatest), found) if found else F.transform("_keys", lambda k: F.lit(0)))
+    rows = rows.withColumn("_found", reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)), found) if found else F.transform("_keys", lambda k: F.lit(0)))
     hits = F.filter(F.zip_with("_keys", "_found", lambda k, a: F.struct(F.length(k).alias("length"), F.length(F.substring_index(k, "/", 1)).alias("host"), k.alias("key"), a.alias("action"))), lambda h: h["action"] > 0)
     best = F.array_max(F.filter("_hits", lambda h: ~F.startswith(h["key"], F.lit(WORD))))
     word = F.array_max(F.filter("_hits", lambda h: F.startswith(h["key"], F.lit(WORD))))
