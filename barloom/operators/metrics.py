@@ -57,13 +57,13 @@ def period_metrics(trades: DataFrame, strategies: DataFrame | None = None, perio
     return rows.withColumn("expectancy", share * F.col("avg_win") - (1 - share) * F.col("avg_loss"))
 
 
-def overall(results: DataFrame) -> DataFrame:
-    """Over the windows of each strategy: all profitable, worst drawdown, means, and trades of a year."""
+def overall(results: DataFrame, *more: Column) -> DataFrame:
+    """Over the windows of each strategy: all profitable, worst drawdown, means, and trades of a year; ``more`` aggregates in the same pass."""
     n = lambda days, times: times * F.max(F.when(F.col("period_days") == days, F.col("total_trades")))
     factor = F.avg(F.when(F.col("profit_factor") > 0, F.col("profit_factor")))
     return results.groupBy("strategy_id").agg(
         F.bool_and(F.col("total_pnl") > 0).alias("all_periods_profitable"), F.max("max_drawdown_percent").alias("worst_drawdown"), F.avg("win_rate").alias("avg_win_rate"),
-        F.avg("expectancy").alias("avg_expectancy"), F.coalesce(factor, F.lit(0.0)).alias("avg_profit_factor"), F.coalesce(n(365, 1), n(180, 2), n(60, 6), F.lit(0)).alias("total_trades_per_year"),
+        F.avg("expectancy").alias("avg_expectancy"), F.coalesce(factor, F.lit(0.0)).alias("avg_profit_factor"), F.coalesce(n(365, 1), n(180, 2), n(60, 6), F.lit(0)).alias("total_trades_per_year"), *more,
     )
 
 

@@ -28,12 +28,12 @@ def screen(results: DataFrame, limits: Limits | None = None) -> DataFrame:
     limits = limits or Limits()
     target = F.create_map(*(F.lit(x) for pair in limits.targets.items() for x in pair))
     wanted = F.element_at(target, F.col("period_days"))
-    by_window = results.groupBy("strategy_id").agg(
+    rows = overall(
+        results,
         F.bool_and(F.col("max_drawdown_percent") <= limits.drawdown).alias("low_drawdown"),
         F.bool_and(wanted.isNull() | (F.col("total_pnl_percent") >= wanted)).alias("on_target"),
         F.bool_and(F.col("largest_win_contribution") <= limits.single_trade).alias("spread"),
     )
-    rows = overall(results).join(by_window, "strategy_id")
     text = lambda name, value, digits=2: F.concat(F.lit(f"{name}: "), F.format_number(value, digits))
     failures = F.array_compact(F.array(
         F.when(~F.col("all_periods_profitable"), F.lit("not profitable in every period")),

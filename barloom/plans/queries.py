@@ -17,7 +17,7 @@ from barloom.operators.rules import describe, entries, rule_hits, validate
 from barloom.operators.trades import scan_trades, with_levels
 from barloom.plans import detector_sql as ds
 from barloom.plans import twins
-from barloom.plans.research import numbered, scan_by_pair
+from barloom.plans.research import numbered, scan_with_exits
 from barloom.sources import bars as src
 from barloom.sources import repository as repo
 
@@ -235,7 +235,7 @@ def trades_with_exits(spark, sf_dir):
     leave = F.create_map(*(x for k, v in EXITS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     asked = strategies(spark).withColumn("exit_rules", F.coalesce(F.element_at(leave, F.col("strategy_id")), F.array().cast("array<string>")))
     signals = with_levels(entries(ready, asked, list(RULES), list(EMAS), "UTC"))
-    return shown(scan_by_pair(ready, signals, list(EMAS), "UTC", copies=2).drop("timeframe", "entry_time", "exit_time"))
+    return shown(scan_with_exits(ready, signals, list(EMAS), "UTC").drop("timeframe", "entry_time", "exit_time"))
 
 
 def rule_tokens(spark, sf_dir):

@@ -28,29 +28,25 @@ def prepared(bars: DataFrame, periods: tuple[int, ...] = PERIODS, as_of: datetim
     return with_indicators(numbered(bars, periods, as_of), emas)
 
 
-def backtest(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: list[tuple[int, int]], periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None, zone: str = "Asia/Kolkata", compat: bool = False, copies: int = 1, exits: bool = False) -> DataFrame:
+def backtest(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: list[tuple[int, int]], periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None, zone: str = "Asia/Kolkata", compat: bool = False, exits: bool = False) -> DataFrame:
     """Trades of all strategies in all windows at once. ``rules`` are the distinct entry rules, ``emas`` the pairs of averages, that the strategies use.
 
-    ``copies``: over how many tasks the strategies of a series are spread; a few hundred strategies a
-    task are a good number. ``exits`` lets positions leave by the signal exits of their exit rules too.
-    A strategy with a rule that is not in ``rules`` or unknown has no trades and stops no other.
+    ``exits`` lets positions leave by the signal exits of their exit rules too. A strategy with a rule that
+    is not in ``rules`` or unknown has no trades and stops no other.
     """
     series = numbered(bars, periods, as_of)
     ready = with_indicators(series, tuple(sorted({p for pair in emas for p in pair})))
     signals = with_levels(entries(ready, strategies, rules, emas, zone, compat))
     if not exits:  # the scan itself needs no indicators
-        return scan_trades(series, signals, copies)
-    return scan_by_pair(ready, signals, emas, zone, copies)
-
-
-def scan_by_pair(ready: DataFrame, signals: DataFrame, emas: list[tuple[int, int]], zone: str, copies: int = 1) -> DataFrame:
-    """Trades that may also leave by signal exits, which depend on a strategy's pair of averages."""
-    found = None
-    for fast, slow in emas:
-        bars = ready.withColumn("_leaves", signal_exits(ready, f"ema_{fast}", f"ema_{slow}", zone))
-        own = scan_trades(bars, signals.filter(F.col("pair") == f"{fast}/{slow}"), copies, "_leaves")
-        found = own if found is None else found.unionAll(own)
-    return found
+        return scan_trades(series, signals)
+    return scan_with_exits(ready, signals, emas, zone)
+
+
+def scan_with_exits(ready: DataFrame, signals: DataFrame, emas: list[tuple[int, int]], zone: str) -> DataFrame:
+    """Trades that may also leave by signal exits; as these depend on a strategy's pair of averages, their names carry it."""
+    own = lambda pair, names: F.transform(names, lambda n: F.concat_ws(":", pair, n))
+    leaves = [own(F.lit(f"{fast}/{slow}"), signal_exits(ready, f"ema_{fast}", f"ema_{slow}", zone)) for fast, slow in emas]
+    return scan_trades(ready.withColumn("_leaves", F.concat(*leaves)), signals.withColumn("exit_rules", own(F.col("pair"), F.col("exit_rules"))), "_leaves")
 
 
 def run_cycle(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: list[tuple[int, int]], periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None, limits: Limits | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +10,7 @@ from barloom.operators import metrics
 from barloom.operators.indicators import with_indicators
 from barloom.operators.rules import rule_column, rule_hits, validate
 from barloom.operators.screen import screen, trade_marks
-from barloom.operators.trades import scan_trades, trades_in_catalyst, with_levels, with_pnl
+from barloom.operators.trades import WARM_UP, one_at_a_time, scan_trades, with_levels, with_pnl
 from barloom.plans import queries as q
 from barloom.plans.research import run_cycle
 from barloom.sources import repository as repo
@@ -20,7 +21,7 @@ STRATEGY = "strategy_id string, entry_rules array<string>, exit_rules array<stri
 def scan(spark, closes, highs, lows, signals):
     bars = series(spark, closes, highs=highs, lows=lows).withColumn("period_days", F.lit(30))
     entries = spark.createDataFrame(signals, "strategy_id string, market string, timeframe string, period_days int, bar_idx int, direction string, stop double, target double")
-    return bars, entries
+    return bars, entries.join(bars.select("bar_idx", "ts", "close"), "bar_idx")
 
 
 def flat(n):
@@ -49,11 +50,73 @@ def test_no_entry_on_the_bar_of_an_exit(spark):
     assert [r.entry_idx for r in scan_trades(bars, entries).orderBy("entry_idx").collect()] == [51, 56]
 
 
-def test_two_scans_agree(spark, sf_dir):
-    ready = q._ready(spark, sf_dir)
-    signals = q._signals(spark, sf_dir, ready)
-    order = ["strategy_id", "market", "period_days", "entry_idx"]
-    assert scan_trades(ready, signals).orderBy(*order).select(*order, "exit_idx", "pnl").collect() == trades_in_catalyst(ready, signals).orderBy(*order).select(*order, "exit_idx", "pnl").collect()
+def walk(signals, bars, leaves=None):
+    """Trades (entry bar, exit bar, exit price) of one strategy over one series, bar by bar. Signals (bar, direction, stop, target, names), bars (high, low, close)."""
+    out, free = [], WARM_UP
+    for at, direction, stop, target, names in sorted(signals):
+        if at < free:
+            continue
+        end, price, left = len(bars) - 1, bars[-1][2], False
+        for i in range(at + 1, len(bars)):
+            high, low, close = bars[i]
+            stopped, reached = (low <= stop, high >= target) if direction == "LONG" else (high >= stop, low <= target)
+            named = any(f"{n}/{direction}" in (leaves or {}).get(i, ()) for n in names)
+            if stopped or reached or named:
+                end, price, left = i, stop if stopped else target if reached else close, True
+                break
+        out.append((at, end, price))
+        if not left:
+            break
+        free = end + 1
+    return out
+
+
+@pytest.mark.parametrize(("block", "group", "segment", "exits"), [(128, 128, 256, False), (4, 3, 16, False), (4, 3, 16, True), (5, 2, 7, True)])
+def test_scan_equals_a_walk_bar_by_bar(spark, block, group, segment, exits):
+    """Small blocks, groups and segments send signals through every level."""
+    rng = random.Random(block + segment)
+    n, closes = 400, [100.0]
+    for _ in range(n - 1):
+        closes.append(closes[-1] * (1 + rng.gauss(0, 0.004)))
+    rows = [(c + rng.random(), c - rng.random(), c) for c in closes]
+    held = {i: [rng.choice(("x/LONG", "x/SHORT", "y/LONG"))] for i in range(n) if rng.random() < 0.02}
+    frame = series(spark, closes, highs=[r[0] for r in rows], lows=[r[1] for r in rows]).withColumn("period_days", F.lit(30))
+    leave = F.create_map(*(y for k, v in held.items() for y in (F.lit(k), F.array(*map(F.lit, v)))))
+    frame = frame.withColumn("leaves", F.coalesce(F.element_at(leave, F.col("bar_idx")), F.array().cast("array<string>")))
+    asked, want = [], []
+    for s in range(12):
+        width, dense = rng.choice((0.3, 2.0, 12.0, 1e6)), rng.choice((0.02, 0.3, 1.0))
+        names = [["stop"], ["x"], ["x", "y"]][s % 3]
+        own = []
+        for i in range(n):
+            if rng.random() < dense:
+                side = rng.choice((1, -1))
+                own.append((i, "LONG" if side > 0 else "SHORT", closes[i] - side * width, closes[i] + side * width * rng.choice((1, 2.5)), names))
+        asked += [(f"s{s}", "m", "5m", 30, i, d, lo, up, x) for i, d, lo, up, x in own]
+        want += [(f"s{s}", *t) for t in walk(own, rows, held if exits else None)]
+    entries = spark.createDataFrame(asked, "strategy_id string, market string, timeframe string, period_days int, bar_idx int, direction string, stop double, target double, exit_rules array<string>")
+    entries = entries.join(frame.select("bar_idx", "ts", "close"), "bar_idx")
+    got = scan_trades(frame, entries, "leaves" if exits else None, block, group, segment)
+    assert sorted((r.strategy_id, r.entry_idx, r.exit_idx, r.exit_price) for r in got.collect()) == sorted(want)
+    assert got.filter("entry_time >= exit_time AND entry_idx < 399").count() == 0
+
+
+def test_no_python_in_trades(spark, sf_dir):
+    plan = q._trades(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_one_position_at_a_time_over_many_segments(spark):
+    rng = random.Random(3)
+    for dense in (0.05, 0.9):
+        own = [(i, min(i + rng.choice((1, 2, 7, 90)), 4999)) for i in range(5000) if rng.random() < dense]
+        rows = spark.createDataFrame([("s", "m", "1m", 1, i, e + 1, str(i)) for i, e in own], "strategy_id string, market string, timeframe string, period_days int, at int, free int, trade string")
+        free, want = 0, []
+        for i, e in own:
+            if i >= free:
+                want.append(i)
+                free = e + 1
+        assert sorted(r.at for r in one_at_a_time(rows, 64).collect()) == want
 
 
 def trades_of(spark, pnls):
@@ -179,7 +242,7 @@ def test_positions_leave_by_signal_exits(spark):
     asked = entries.withColumn("exit_rules", F.array(F.lit("stop_loss_hit"), F.lit("x")))
     got = sorted((r.entry_idx, r.exit_idx) for r in scan_trades(bars, asked, exits="leaves").collect())
     assert got == [(51, 54), (58, 69)]  # not on the entry's own bar, nor by the other side's signal
-    assert sorted((r.entry_idx, r.exit_idx) for r in scan_trades(bars, asked, copies=3).collect()) == [(51, 69)]
+    assert sorted((r.entry_idx, r.exit_idx) for r in scan_trades(bars, asked).collect()) == [(51, 69)]
 
 
 def test_a_strategy_with_an_unknown_rule_stops_no_other(spark, sf_dir):
