@@ -15,12 +15,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import in_order, series_keys, with_bar_idx
+from barloom.functions.columns import at_home, in_order, in_pieces, series_keys, with_bar_idx
 
 Rule = Callable[["Bars"], Column]
+#: Bars from the start of a series whose range a detector asks for.
+FIRST_BARS = 60
 
 
 def any_of(conditions) -> Column:
@@ -36,7 +38,7 @@ class Bars:
     """Expressions over a bar and the bars before it; ``k`` counts back from the current bar (0)."""
 
     def __init__(self, frame: DataFrame, mirrored: bool = False):
-        self.w, self.keys, self.mirrored = in_order(frame), series_keys(frame), mirrored
+        self.w, self.mirrored = in_order(frame), mirrored
 
     # Columns of a bar.
     @property
@@ -104,6 +106,11 @@ class Bars:
     def low_before(self) -> Column:
         return -F.col("_high_1") if self.mirrored else F.col("_low_1")
 
+    # Of the first bars of the series.
+    @property
+    def first_high(self) -> Column:
+        return -F.col("_first_low") if self.mirrored else F.col("_first_high")
+
     # Other bars.
     def back(self, value: Column, k: int) -> Column:
         return F.lag(value, k).over(self.w) if k else value
@@ -166,15 +173,37 @@ def pair(name: str) -> tuple[str, str]:
     return f"{name}_bullish", f"{name}_bearish"
 
 
-def with_detectors(bars: DataFrame, names: list[str], batch: int = 40) -> DataFrame:
-    """Adds ``detect_<name>`` columns in batches, so that no generated method grows too large."""
+def reach_of(names: list[str]) -> int:
+    """How many bars back these detectors look at most; one of them is asked of the bar before too."""
+    return max((DETECTORS[n].min_i for n in names), default=0) + 1
+
+
+def with_first_bars(bars: DataFrame) -> DataFrame:
+    """Adds the highest high and lowest low of the first FIRST_BARS bars of each series, as far as they are there."""
+    keys = [k for k in series_keys(bars) if k != "_piece"]
+    first = bars.filter(F.col("bar_idx") < FIRST_BARS).groupBy(*keys).agg(F.max("high").alias("_first_high"), F.min("low").alias("_first_low"))
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    return bars.alias("b").join(first.alias("f"), same, "left").select("b.*", "f._first_high", "f._first_low")
+
+
+def with_detectors(bars: DataFrame, names: list[str], batch: int = 40, piece: int | None = None) -> DataFrame:
+    """Adds ``detect_<name>`` columns in batches, so that no generated method grows too large.
+
+    Bars are worked on in pieces, each with as many bars before it as the detectors look back, unless they
+    are in pieces already.
+    """
     rows = bars if "bar_idx" in bars.columns else with_bar_idx(bars)
     kept = [*rows.columns, *(f"detect_{n}" for n in names)]
+    if "_first_high" not in rows.columns and {*pair("defining_range")} & {*names}:
+        rows = with_first_bars(rows)
+    whole = "_piece" not in rows.columns
+    if whole:
+        rows = in_pieces(rows, reach_of(names), size=piece)
     b = Bars(rows)
     rows = rows.withColumns({"_close_1": b.back(F.col("close"), 1), "_low_1": b.back(F.col("low"), 1), "_high_1": b.back(F.col("high"), 1), "_body_5": b.mean(b.body, -5, -1)})
     for at in range(0, len(names), batch):
         rows = rows.withColumns({f"detect_{n}": DETECTORS[n].column(rows) for n in names[at : at + batch]})
-    return rows.select(*kept)
+    return (at_home(rows, piece) if whole else rows).select(*kept)
 
 
 # --- Earlier bars at fixed distances -------------------------------------------------------------
@@ -467,8 +496,7 @@ def _ote_entry(b):
 
 @detector("minmax", 70, *pair("defining_range"))
 def _defining_range(b):
-    start = F.max(F.when(b.i < 60, b.h)).over(Window.partitionBy(*b.keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1))
-    return (b.c > start) & (b.back(b.c, 1) <= start)
+    return (b.c > b.first_high) & (b.back(b.c, 1) <= b.first_high)
 
 
 @detector("minmax", 60, *pair("cpr_range"))

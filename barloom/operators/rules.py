@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.detectors import DETECTORS, Bars, in_kill_zone, with_detectors
+from barloom.functions.columns import at_home, in_pieces
+from barloom.operators.detectors import DETECTORS, Bars, in_kill_zone, reach_of, with_detectors, with_first_bars
 
 # Fixed values of the validator: what makes a rule algorithmic, and terms that no rule may hold.
 KEYWORDS = (
@@ -156,24 +157,31 @@ def with_unknown(strategies: DataFrame, rules: list[str]) -> DataFrame:
     return strategies.withColumn("unknown", F.array_except(F.coalesce("entry_rules", F.array().cast("array<string>")), known))
 
 
+#: How many bars back rules that are no detectors look.
+TOKEN_REACH = 20
 #: Exits beside stop and target, at the close of the bar on which they hold.
 SIGNAL_EXITS = ("ema_crossover_reversal", "price_crosses_vwap_opposite", "end_of_session")
 
 
-def signal_exits(frame: DataFrame, fast: str, slow: str, zone: str = "Asia/Kolkata") -> Column:
-    """The names of SIGNAL_EXITS that hold at a bar, each with the side that leaves: ``array<string>`` of ``name/LONG`` and ``name/SHORT``.
+def with_signal_exits(bars: DataFrame, emas: list[tuple[int, int]], zone: str = "Asia/Kolkata", piece: int | None = None) -> DataFrame:
+    """Adds ``leaves``: the names of SIGNAL_EXITS that hold at a bar, as ``array<string>`` of ``<fast>/<slow>:<name>/<side>``.
 
     A long position leaves when the fast average falls below the slow one after it was not below, or the
     close falls below the volume-weighted price after it was not below; a short one when they rise
     above. Both leave on the last bar of a local day, which the next bar's date shows.
     """
-    b = Bars(frame)
-    f, s, c, v = F.col(fast), F.col(slow), F.col("close"), F.col("vwap")
+    rows = in_pieces(bars, 1, 1, piece)
+    b = Bars(rows)
+    c, v = F.col("close"), F.col("vwap")
     falls = lambda x, y: (x < y) & (b.back(x, 1) >= b.back(y, 1))
     day = F.to_date(F.from_utc_timestamp("ts", zone))
     last = F.lead(day).over(b.w) != day
-    held = {"ema_crossover_reversal/LONG": falls(f, s), "ema_crossover_reversal/SHORT": falls(s, f), "price_crosses_vwap_opposite/LONG": falls(c, v), "price_crosses_vwap_opposite/SHORT": falls(v, c), "end_of_session/LONG": last, "end_of_session/SHORT": last}
-    return F.array_compact(F.array(*(F.when(x, F.lit(k)) for k, x in held.items())))
+    held = {}
+    for fast, slow in emas:
+        f, s = F.col(f"ema_{fast}"), F.col(f"ema_{slow}")
+        own = {"ema_crossover_reversal/LONG": falls(f, s), "ema_crossover_reversal/SHORT": falls(s, f), "price_crosses_vwap_opposite/LONG": falls(c, v), "price_crosses_vwap_opposite/SHORT": falls(v, c), "end_of_session/LONG": last, "end_of_session/SHORT": last}
+        held |= {f"{fast}/{slow}:{k}": x for k, x in own.items()}
+    return at_home(rows.withColumn("leaves", F.array_compact(F.array(*(F.when(x, F.lit(k)) for k, x in held.items())))), piece)
 
 
 def detectors_of(rules: list[str]) -> list[str]:
@@ -182,19 +190,21 @@ def detectors_of(rules: list[str]) -> list[str]:
     return [n for n in dict.fromkeys(names) if n in DETECTORS]
 
 
-def rule_hits(bars: DataFrame, rules: list[str], emas: list[tuple[int, int]], zone: str = "Asia/Kolkata", compat: bool = False) -> DataFrame:
+def rule_hits(bars: DataFrame, rules: list[str], emas: list[tuple[int, int]], zone: str = "Asia/Kolkata", compat: bool = False, piece: int | None = None) -> DataFrame:
     """Bars with ``hits``: for each (fast, slow) pair the names of the rules that hold, as ``map<string,array<string>>``.
 
     Rules are turned into columns once for the whole set of strategies, not once for each strategy. Rules
     that nothing can evaluate hold nowhere, so they stop the strategies that have them and no others.
     """
     rules = [r for r in rules if compat or known_rule(r)]
-    rows = with_detectors(bars, detectors_of(rules))
+    names = detectors_of(rules)
+    rows = bars if "_first_high" in bars.columns or not any(n.startswith("defining_range") for n in names) else with_first_bars(bars)
+    rows = with_detectors(in_pieces(rows, max(TOKEN_REACH, reach_of(names)), size=piece), names)
     own = {}
     for fast, slow in emas:
         held = F.array_compact(F.array(*(F.when(rule_column(r, rows, f"ema_{fast}", f"ema_{slow}", zone, compat), F.lit(r)) for r in rules))) if rules else F.array().cast("array<string>")
         own[f"{fast}/{slow}"] = held
-    return rows.withColumn("hits", F.create_map(*(x for k, v in own.items() for x in (F.lit(k), v))))
+    return at_home(rows.withColumn("hits", F.create_map(*(x for k, v in own.items() for x in (F.lit(k), v)))), piece)
 
 
 def entries(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: list[tuple[int, int]], zone: str = "Asia/Kolkata", compat: bool = False) -> DataFrame:

@@ -162,28 +162,46 @@ def one_at_a_time(signals: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return rows.drop("_in").join(path, [*keys, "_seg"]).select(*keys, F.inline(_taken("_s", F.col("_from"), kind)))
 
 
-def scan_trades(bars: DataFrame, entries: DataFrame, exits: str | None = None, block: int = BLOCK, group: int = GROUP, segment: int = SEGMENT) -> DataFrame:
-    """Trades of ``entries`` (with stop and target) over ``bars``, both with bar_idx and the series keys.
+def positions(bars: DataFrame, signals: DataFrame, exits: str | None = None, block: int = BLOCK, group: int = GROUP, segment: int = SEGMENT) -> DataFrame:
+    """The signals that one position at a time enters, with ``exit`` (null while open) and ``last``, the last bar of the series, as (at, ts, price).
 
-    One position at a time for each strategy and series, entered at the close of a signal bar after the warm-up
-    and tested from the next bar on; no entry on the bar of an exit; a position open at the end leaves at the
-    last close. ``exits`` names a column of ``bars`` with the signal exits that hold at a bar; entries then leave
-    by those of their ``exit_rules`` too.
+    ``signals`` has strategy_id, the series keys, direction, stop, target, ``bar_idx``, after which an exit is looked
+    for, and ``entry``, whatever is known of the entry. ``exits`` names a column of ``bars`` with the signal exits that
+    hold at a bar; those in ``exit_rules`` of a signal count.
     """
     series = series_keys(bars)
     # Both sides may stem from one frame; aliases tell their columns apart.
     named = lambda df, *columns: df.select(*(F.col(c).alias(c) for c in columns))
     bars = named(bars, *series, "bar_idx", "ts", "high", "low", "close", *([exits] if exits else []))
-    signals = named(entries.filter(F.col("bar_idx") >= WARM_UP), "strategy_id", *series, "bar_idx", "direction", "stop", "target", "ts", "close", *(["exit_rules"] if exits else []))
+    signals = named(signals, "strategy_id", *series, "bar_idx", "direction", "stop", "target", "entry", *(["exit_rules"] if exits else []))
     found = with_exits(bars, signals, exits, block, group)
-    end = F.coalesce("_exit", F.struct(F.col("_last.at").alias("at"), F.col("_last.ts").alias("ts"), F.col("_last.close").alias("price")))
-    trade = F.struct(
-        F.col("bar_idx").alias("entry_idx"), end["at"].alias("exit_idx"), F.col("ts").alias("entry_time"), end["ts"].alias("exit_time"),
-        "direction", F.col("close").alias("entry_price"), end["price"].alias("exit_price"),
-    )
+    last = F.struct(F.col("_last.at").alias("at"), F.col("_last.ts").alias("ts"), F.col("_last.close").alias("price"))
     free = F.when(F.col("_exit").isNull(), F.lit(NEVER)).otherwise(F.col("_exit.at") + 1)
+    trade = F.struct("direction", "stop", "target", "entry", F.col("_exit").alias("exit"), last.alias("last"))
     taken = one_at_a_time(found.select(*TRADE_KEYS, F.col("bar_idx").alias("at"), free.alias("free"), trade.alias("trade")), segment)
-    return with_pnl(taken.select(*TRADE_KEYS, *(F.col(f"trade.{c}").alias(c) for c in COLUMNS)))
+    return taken.select(*TRADE_KEYS, "trade.*")
+
+
+def entry_of(signals: DataFrame) -> DataFrame:
+    """Signals after the warm-up with ``entry``, the bar, time and price of an entry at their close."""
+    return signals.filter(F.col("bar_idx") >= WARM_UP).withColumn("entry", F.struct(F.col("bar_idx").alias("at"), "ts", F.col("close").alias("price")))
+
+
+def as_trades(taken: DataFrame) -> DataFrame:
+    """Positions as trades; one that is open leaves at the last close."""
+    end = F.coalesce("exit", "last")
+    values = (F.col("entry.at"), end["at"], F.col("entry.ts"), end["ts"], F.col("direction"), F.col("entry.price"), end["price"])
+    return with_pnl(taken.select(*TRADE_KEYS, *(v.alias(c) for c, v in zip(COLUMNS, values, strict=True))))
+
+
+def scan_trades(bars: DataFrame, entries: DataFrame, exits: str | None = None, block: int = BLOCK, group: int = GROUP, segment: int = SEGMENT) -> DataFrame:
+    """Trades of ``entries`` (with stop and target) over ``bars``, both with bar_idx and the series keys.
+
+    One position at a time for each strategy and series, entered at the close of a signal bar after the warm-up
+    and tested from the next bar on; no entry on the bar of an exit; a position open at the end leaves at the
+    last close. ``exits``: see ``positions``.
+    """
+    return as_trades(positions(bars, entry_of(entries), exits, block, group, segment))
 
 
 def with_pnl(trades: DataFrame) -> DataFrame:

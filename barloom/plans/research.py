@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import with_bar_idx
+from barloom.functions.lineage import cut
 from barloom.operators.indicators import with_indicators
 from barloom.operators.metrics import period_metrics
-from barloom.operators.rules import entries, signal_exits, validate, with_unknown
+from barloom.operators.rules import entries, validate, with_signal_exits, with_unknown
 from barloom.operators.screen import Limits, screen
 from barloom.operators.trades import scan_trades, with_levels
 from barloom.sources.bars import PERIODS, end_of, with_periods
 
 
 def numbered(bars: DataFrame, periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None) -> DataFrame:
-    """Bars of every look-back window with their position."""
+    """Bars of every look-back window with their position. The bars are written down first, as several passes read them."""
+    bars = cut(bars)
     as_of = as_of or end_of(bars)
     windows = with_periods(bars, as_of, periods) if as_of else bars.selectExpr("*", "30 AS period_days").limit(0)
     return with_bar_idx(windows)
@@ -44,9 +46,8 @@ def backtest(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: lis
 
 def scan_with_exits(ready: DataFrame, signals: DataFrame, emas: list[tuple[int, int]], zone: str) -> DataFrame:
     """Trades that may also leave by signal exits; as these depend on a strategy's pair of averages, their names carry it."""
-    own = lambda pair, names: F.transform(names, lambda n: F.concat_ws(":", pair, n))
-    leaves = [own(F.lit(f"{fast}/{slow}"), signal_exits(ready, f"ema_{fast}", f"ema_{slow}", zone)) for fast, slow in emas]
-    return scan_trades(ready.withColumn("_leaves", F.concat(*leaves)), signals.withColumn("exit_rules", own(F.col("pair"), F.col("exit_rules"))), "_leaves")
+    names = F.transform("exit_rules", lambda n: F.concat_ws(":", F.col("pair"), n))
+    return scan_trades(with_signal_exits(ready, emas, zone), signals.withColumn("exit_rules", names), "leaves")
 
 
 def run_cycle(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: list[tuple[int, int]], periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None, limits: Limits | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import no_nan, with_bar_idx
+from barloom.functions.columns import at_home, in_pieces, no_nan, with_bar_idx
 from barloom.operators import indicators as ind
 from barloom.plans.queries import candle_payloads
 from barloom.sources import bars as src
@@ -93,3 +93,17 @@ def test_unknown_timeframe_counts_as_five_minutes(spark):
 
 def test_nan_becomes_null(spark):
     assert column(no_nan(series(spark, [1.0, float("nan"), 3.0])), "close") == [1.0, None, 3.0]
+
+
+def test_numbers_over_many_spans_of_time(spark):
+    rows = [(m, "1d", START + timedelta(days=3 * i + (i * 7) % 2)) for m, n in (("a", 40), ("b", 3)) for i in range(n)] + [("b", "1d", None)]
+    got = with_bar_idx(spark.createDataFrame(rows, "market string, timeframe string, ts timestamp").repartition(4)).orderBy("market", "bar_idx").collect()
+    assert [(r.market, r.bar_idx) for r in got] == [*(("a", i) for i in range(40)), *(("b", i) for i in range(4))]
+    assert got[40].ts is None and [r.ts for r in got[:40]] == sorted(r.ts for r in got[:40])
+
+
+def test_pieces_hold_their_neighbours(spark):
+    bars = series(spark, list(range(25)))
+    rows = in_pieces(bars, 3, 1, 10)
+    assert {(r._piece, r.bar_idx) for r in rows.collect()} == {(p, i) for p in range(3) for i in range(p * 10 - 3, p * 10 + 11) if 0 <= i < 25} | ({(2, i) for i in range(17, 25)})
+    assert sorted(r.bar_idx for r in at_home(rows, 10).collect()) == list(range(25))

@@ -96,3 +96,10 @@ def test_series_of_zeros(spark):
     bars = with_bar_idx(series(spark, closes, lows=closes, highs=closes, opens=closes))
     rows = with_detectors(bars, list(DETECTORS)).select(*(f"detect_{n}" for n in DETECTORS)).collect()
     assert len(rows) == 130 and all(x is not None for r in rows for x in r)
+
+
+def test_pieces_give_what_whole_series_give(spark):
+    bars = noisy(spark, 450)
+    columns = [f"detect_{n}" for n in ALL]
+    found = [with_detectors(bars, ALL, piece=p).orderBy("bar_idx").select("bar_idx", *columns).collect() for p in (90, None)]
+    assert found[0] == found[1] and len(found[0]) == 450
