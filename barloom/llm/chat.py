@@ -30,19 +30,21 @@ def _read_role(role: Column) -> Column:
 
 
 def prefix_examples(conversations: DataFrame, trainable: str = "assistant") -> DataFrame:
-    """``(conv_id, example, prompt, reply)`` from ``conversations(conv_id, turn, role, text)``.
+    """``(conv_id, alone, example, prompt, reply)`` from ``conversations(conv_id, turn, role, text)``.
 
     One row for each turn whose role is ``trainable``: prompt is the context with the header of the
     reply, reply the escaped text with its end mark; the loss covers the reply's text. Turns after the
     last such turn make one more row with an empty reply, so that no turn is lost. Turns are ordered by
-    turn, then role and text; a null turn comes first, null role and text count as empty. Rows without
-    conv_id form a conversation of their own. Other columns are not read; an empty table stays empty.
+    turn, then role and text; a null turn comes first, null role and text count as empty. A row without
+    conv_id is a conversation of its own, told from others by ``alone``, which is null for all other rows. Other
+    columns are not read; an empty table stays empty.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = conversations.select("conv_id", row.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    chats = conversations.select("conv_id", alone, row.alias("t")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     header = lambda t: F.concat(F.lit(BEGIN), _role(t["role"]), F.lit("\n"))
     chats = chats.select(
-        "conv_id",
+        "conv_id", "alone",
         F.transform("turns", header).alias("heads"),
         F.transform("turns", lambda t: F.concat(escape(t["text"]), F.lit(END))).alias("bodies"),
         F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (F.element_at("turns", i)["role"] == trainable) | (i == F.size("turns"))).alias("ends"),
@@ -53,7 +55,7 @@ def prefix_examples(conversations: DataFrame, trainable: str = "assistant") -> D
     head, body = F.element_at("heads", F.col("end")), F.element_at("bodies", F.col("end"))
     learns = F.element_at("roles", F.col("end")) == trainable
     prompt = F.concat(before, head, F.when(learns, F.lit("")).otherwise(body))
-    return marked.select("conv_id", "example", prompt.alias("prompt"), F.when(learns, body).otherwise(F.lit("")).alias("reply"))
+    return marked.select("conv_id", "alone", "example", prompt.alias("prompt"), F.when(learns, body).otherwise(F.lit("")).alias("reply"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -75,7 +77,7 @@ def digest(examples: DataFrame) -> DataFrame:
     last = F.max(F.struct("example", F.concat("prompt", "reply").alias("whole")))["whole"]
     loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", read_loss(F.col("reply")).alias("loss")))), lambda x: x["loss"]), "")
     chars = F.sum(F.length("prompt") + F.length("reply"))
-    rows = examples.groupBy("conv_id").agg(last.alias("whole"), loss.alias("loss"), chars.alias("formatted_chars"))
+    rows = examples.groupBy("conv_id", "alone").agg(last.alias("whole"), loss.alias("loss"), chars.alias("formatted_chars"))
     rows = rows.select("conv_id", read_turns(F.col("whole")).alias("turns"), "loss", "formatted_chars")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.col("formatted_chars").cast("long").alias("formatted_chars"))

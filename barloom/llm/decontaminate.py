@@ -43,10 +43,11 @@ def benchmark_windows(benchmark: DataFrame, span: int) -> DataFrame:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, share: tuple[int, int] = (1, 20)) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text)``: ``(doc_id, n_words, n_hit, items, contaminated)``.
+    """One row for each row of ``docs(doc_id, text)``: ``(doc_id, n_words, n_hit, items, contaminated, ident)``.
 
     n_hit counts words inside any occurrence of a benchmark window, items is the sorted list of
-    item_ids with a window that occurs, contaminated means n_hit > 0 and n_hit / n_words >= share.
+    item_ids with a window that occurs, contaminated means n_hit > 0 and n_hit / n_words >= share, ident
+    is ``xxhash64`` of the text, which tells rows of one doc_id apart.
     Null and empty texts have no words; items without words or id take no part. Rows that are equal
     in doc_id and text each have their row. Other columns are not read; empty tables are fine.
     """
@@ -66,7 +67,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, span: int = 13, sh
     per_doc = per_word.groupBy("doc_id", "ident").agg(sizes.alias("n_words"), n_hit.alias("n_hit"), F.max("times").alias("times"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     hit = (F.col("n_hit") > 0) & (share[1] * F.col("n_hit") >= share[0] * F.col("n_words"))
     rows = per_doc.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return rows.select("doc_id", "n_words", "n_hit", F.array_sort("items").alias("items"), hit.alias("contaminated"))
+    return rows.select("doc_id", "n_words", "n_hit", F.array_sort("items").alias("items"), hit.alias("contaminated"), "ident")
 
 
 def _tokens(docs: DataFrame, lengths: list[int], *columns: str) -> DataFrame:

@@ -6,14 +6,15 @@
 3. Equal sets form classes, of which one representative goes on.
 4. Prefix filter: ordered from rare to frequent, two sets with similarity t share one of their first
    ``n - ceil(t n) + 1`` shingles. Sharing one puts representatives into one family; no pairs are made.
-5. Each family is joined by signature trees: nodes hold the OR of their members' token bitmaps and the
-   range of sizes; two nodes are opened together only while the largest overlap that their bitmaps and
-   sizes allow can reach the threshold. Pairs that a tree cannot rule out are verified on the sets.
-   For classes alone, members already connected are not compared again.
+5. Each family is joined by signature trees (``Tree`` for classes alone, ``Pairs`` with links): nodes
+   hold the OR of their members' token bitmaps and the range of sizes; two nodes are opened together only
+   while the largest overlap that their bitmaps and sizes allow can reach the threshold. Pairs that a tree
+   cannot rule out are verified on the sets. For classes alone, members already connected are not
+   compared again.
 6. For classes alone, a family too large for a task is dealt in blocks: first every block against one
    pivot block, then only what is not in the family's largest component against everything. So a large
    group of copies costs about twice its size.
-7. With links, every pair of a family that sizes and bitmaps cannot rule out is verified and counted;
+7. With links, every pair of leaves that the trees cannot rule out is verified and counted;
    a family too large for a task meets as pairs of blocks. That is of order n squared for n different
    sets that are near each other, but no row is made for a pair.
 """
@@ -38,6 +39,8 @@ BLOCK, TASK_BYTES = 40, 4_000_000
 FANOUT = 4
 #: With links: sets in a block of a family, set bytes in it, and sets below a node.
 PAIR_BLOCK, PAIR_BYTES, NODE = 1_500, 4_000_000, 16
+#: Nodes below a node of a tree of pairs, and pairs of nodes whose bitmaps are compared at once.
+SPAN, PAIRS_AT_ONCE = 4, 256
 
 
 def needed(t: Fraction, a, b):
@@ -100,7 +103,10 @@ class Tree:
 
 
 class Pairs:
-    """All links between sets: what sizes and OR bitmaps of nodes leave is verified by its whole overlap.
+    """All links between sets in a signature tree: pairs of leaves that dual traversal leaves are verified by their whole overlap.
+
+    A leaf holds NODE sets, and each further level a node for SPAN nodes below, with the OR of their bitmaps,
+    the range of their sizes, and the most shingles of a set that fall on a bit which another of its shingles has.
 
     Sets are compared by what sets them apart from ``base``, the shingles that most of them have: with a
     set's shingles outside and its gaps inside the base as d, the overlap of x and y is
@@ -127,30 +133,66 @@ class Pairs:
         order = np.argsort(owner, kind="stable")
         self.d = d[order]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))])
-        bits = min(65_536, max(256, 1 << int(4 * self.sizes.max() - 1).bit_length()))
+        # So wide that the union of many sets leaves most bits of a node free.
+        bits = min(65_536, max(256, 1 << int(32 * self.sizes.max() - 1).bit_length()))
         bit = (every % np.uint64(bits)).astype(np.int64)
         at = np.arange(0, len(sets), NODE)
         maps = np.zeros((len(at), bits), bool)
         maps[own // NODE, bit] = True
         distinct_bits = np.bincount(np.unique(own * bits + bit) // bits, minlength=len(sets))
-        self.nodes = np.packbits(maps, axis=1).view(np.uint64), np.minimum.reduceat(self.sizes, at), np.maximum.reduceat(self.sizes, at), np.maximum.reduceat(self.sizes - distinct_bits, at)
+        self.levels = [(np.packbits(maps, axis=1).view(np.uint64), np.minimum.reduceat(self.sizes, at), np.maximum.reduceat(self.sizes, at), np.maximum.reduceat(self.sizes - distinct_bits, at))]
+        while len(self.levels[-1][0]) > 1:
+            maps, low, high, more = self.levels[-1]
+            at = np.arange(0, len(maps), SPAN)
+            self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(more, at)))
+        #: Pairs of nodes that were looked at, on all levels.
+        self.opened = 0
 
-    def open(self, t: Fraction, node: int) -> np.ndarray:
-        """Which nodes may hold a partner of a set of ``node``."""
-        maps, low, high, more = self.nodes
-        most = np.bitwise_count(maps[node] & maps).sum(1, dtype=np.int64) + np.minimum(more[node], more)
-        most = np.minimum(most, np.minimum(high[node], high))
+    def meet(self, t: Fraction, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of these pairs of nodes of a level can hold sets that are linked."""
+        maps, low, high, more = self.levels[level]
         n, m = t.numerator, t.denominator
-        ok = (most >= needed(t, low[node], low)) & (n * low[node] <= m * high) & (n * low <= m * high[node])
-        ok[node] = True
+        ok = (n * low[a] <= m * high[b]) & (n * low[b] <= m * high[a])
+        some = np.flatnonzero(ok & (a != b))
+        for at in range(0, len(some), PAIRS_AT_ONCE):
+            x, y = a[some[at : at + PAIRS_AT_ONCE]], b[some[at : at + PAIRS_AT_ONCE]]
+            most = np.bitwise_count(maps[x] & maps[y]).sum(1, dtype=np.int64) + np.minimum(more[x], more[y])
+            ok[some[at : at + PAIRS_AT_ONCE]] = np.minimum(most, np.minimum(high[x], high[y])) >= needed(t, low[x], low[y])
+        self.opened += len(a)
         return ok
 
+    def leaves(self, t: Fraction, split: int | None) -> list[np.ndarray]:
+        """For each leaf the leaves from it on that may hold partners, by traversing the tree against itself from the root.
+
+        With ``split`` only pairs of nodes that hold sets of both sides are opened.
+        """
+        a = b = np.zeros(1, np.int64)
+        for level in reversed(range(len(self.levels))):
+            if level < len(self.levels) - 1:
+                below = len(self.levels[level][0])
+                i, j = np.divmod(np.arange(SPAN * SPAN), SPAN)
+                a, b = ((x[:, None] * SPAN + y).ravel() for x, y in ((a, i), (b, j)))
+                inside = (a <= b) & (b < below)
+                a, b = a[inside], b[inside]
+            if split is not None:
+                width = NODE * SPAN**level
+                both = (a * width < split) & ((b + 1) * width > split)
+                a, b = a[both], b[both]
+            ok = self.meet(t, level, a, b)
+            a, b = a[ok], b[ok]
+        order = np.lexsort((b, a))
+        edges = np.searchsorted(a[order], np.arange(len(self.levels[0][0]) + 1))
+        return [b[order][x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+
     def links(self, t: Fraction, split: int | None = None):
         """(a, partners) for each set a that has partners after it, or from ``split`` on for those before ``split``."""
         flag = np.zeros(self.n_values, np.int32)
+        near = self.leaves(t, split)
         for a in range(len(self.sizes) if split is None else split):
             if a % NODE == 0:
-                ok = np.repeat(self.open(t, a // NODE), NODE)[: len(self.sizes)]
+                ok = np.zeros(len(self.levels[0][0]), bool)
+                ok[near[a // NODE]] = True
+                ok = np.repeat(ok, NODE)[: len(self.sizes)]
             first = a + 1 if split is None else split
             turns = np.flatnonzero(np.diff(np.concatenate([[False], ok[first:], [False]]).astype(np.int8))) + first
             mine = self.d[self.starts[a] : self.starts[a + 1]]

@@ -29,7 +29,7 @@ CONTEXT = {
     "ip": ("ip", "host", "server", "address", "adresse"),
     "card": ("card", "visa", "mastercard", "credit", "carte", "karte", "tarjeta"),
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon"),
-    "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
+    "iban": ("iban", "bank", "account", "konto", "compte", "cuenta", "bic", "swift"),
     "ssn": ("ssn", "social", "security"),
     "secret": ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api", "auth", "bearer", "credential", "credentials", "private", "contraseña", "passwort", "clave"),
 }
@@ -52,7 +52,17 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=\x20?[A-Z0-9])")
+# Characters of an account number by its country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22,
+    "VG": 24, "XK": 20,
+}
+_IBAN_REST = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in {*IBAN_LENGTHS.values()}}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 # Runs of characters of tokens; a match can't begin inside a run.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
@@ -133,8 +143,9 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
         if 9 <= len(_DIGIT.findall(m[0])) <= 15:
             yield "phone", m.start(), m.end(), 0.0
     for m in _IBAN.finditer(text):
-        if 15 <= len(account := m[0].replace(" ", "")) <= 34 and mod97(account):
-            yield "iban", m.start(), m.end(), CONFIRMED
+        rest = _IBAN_REST[IBAN_LENGTHS[m[1]]].match(text, m.end()) if m[1] in IBAN_LENGTHS else None
+        if rest and mod97(text[m.start() : rest.end()].replace(" ", "")):
+            yield "iban", m.start(), rest.end(), CONFIRMED
     for m in _SSN.finditer(text):
         yield "ssn", m.start(), m.end(), 0.0
     yield from _secrets(text)

@@ -36,11 +36,13 @@ _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1]
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """At most ``per_class`` labelled texts of each class, by a hash of the id, and the size of each class.
 
-    An id with several texts or labels gives each label one text. Texts of more than FIT_BYTES are left
-    out, so the driver gets ``2 * per_class * FIT_BYTES`` at most.
+    An id with several texts or labels gives each label one text. Labels without a text of at most FIT_BYTES
+    are left out before any are taken, so the driver gets ``2 * per_class * FIT_BYTES`` at most.
     """
     labels = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     sizes = {int(r[0]): int(r[1]) for r in labels.groupBy("label").count().collect()}
+    short = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES).select("doc_id").distinct()
+    labels = labels.join(short, "doc_id")
     chosen = None
     for label in (0, 1):
         part = labels.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)

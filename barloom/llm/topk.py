@@ -106,7 +106,8 @@ def _search(rows: DataFrame, asked: DataFrame, k: int, sizes: dict[int, int], ta
     down = {b: -(-n // QUERIES) for b, n in going.items()}
     if not going:
         return asked.sparkSession.createDataFrame([], FOUND)
-    mine = lambda n: F.pmod(F.xxhash64("vec_id"), _looked_up(n, F.col("bucket"))).cast("int")
+    # The number of the row too, so that rows that share a vec_id, or are equal, share no cell by that.
+    mine = lambda n: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), _looked_up(n, F.col("bucket"))).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), _looked_up(n, F.col("bucket")) - 1))
     left = rows.filter(F.col("bucket").isin(*going)).select("bucket", mine(across).alias("i"), each(down).alias("j"), F.lit(False).alias("asks"), "vec_id", "v", F.lit(0.0).alias("need"))
     right = asked.select("bucket", each(across).alias("i"), mine(down).alias("j"), F.lit(True).alias("asks"), "vec_id", "v", "need")
@@ -120,7 +121,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
     A query's own vec_id is no answer to it; ties go to the smaller vec_id; fewer rows give fewer
     answers. Vectors that are null, empty, or hold a null or non-finite component, and rows with a null
     vec_id, take no part; vectors of unlike dimension don't meet. Equal rows of a query count once,
-    repeated rows of ``vectors`` each have their place. A ValueError says if products may reach 2**53,
+    query rows of one vec_id with different vectors ask together, and repeated rows of ``vectors`` each have their place. A ValueError says if products may reach 2**53,
     from where on they would not be exact. Other columns are not read.
     """
     real = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

@@ -6,7 +6,9 @@ near      keep one document of each group of near duplicates
 benchmark drop documents that hold benchmark passages
 encode    byte-level BPE ids of what is left, decoded again
 
-Every stage takes (spark, docs, sf_dir) and all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and all but the last return the columns of documents. Null texts count as
+empty and stay what they are until ``lines`` makes them empty; repeated rows stay repeated; other columns are left
+out; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -45,15 +47,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates."""
-    first = near_duplicates(docs).filter("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return _whole(docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi"))
+    """The smallest doc_id of each group of near duplicates, with all its rows, and rows without doc_id, which are in no group.
+
+    The join has no aggregation above it, so Spark can split a doc_id that many rows share.
+    """
+    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    stay = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
+    return _whole(stay.select(*docs.columns).unionAll(docs.filter("doc_id IS NULL")))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in benchmark windows."""
-    bad = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id").distinct()
-    return _whole(docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti"))
+    """Rows of which less than a twentieth of the words lies in benchmark windows, each judged by its own text."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("_id"), "ident").distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_ident"))
+    return _whole(rows.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_ident") == F.col("ident")), "left_anti"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -522,3 +522,54 @@ def test_isotonic_pools_ties_and_never_falls():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(name, spark, sf_dir, same):
     same(q.queries()[name](spark, sf_dir), ORACLES[name])
+
+
+def test_trees_open_only_nodes_that_can_meet():
+    """Sets of eight vocabularies: pairs of nodes of different ones are ruled out from above."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for c in range(8):
+        base = rng.integers(0, 2**62, 120, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(120) > 0.03], rng.integers(0, 2**62, 3, dtype=np.uint64)])) for _ in range(64)]
+    for split in (None, 200):
+        pairs = jaccard.Pairs(sets)
+        got = {(a, int(b)) for a, bs in pairs.links(jaccard.Fraction(4, 5), split) for b in bs}
+        alike = lambda a, b: 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))
+        near = [(a, b) for c in range(8) for a, b in combinations(range(c * 64, c * 64 + 64), 2)]
+        assert got == {(a, b) for a, b in near if (split is None or a < split <= b) and alike(a, b)}
+        leaves = -(-len(sets) // jaccard.NODE)
+        assert len(pairs.levels) == 4 and pairs.opened < leaves * (leaves + 1) // 2 and got
+
+
+def test_account_numbers_end_where_their_country_says():
+    for text, want in (("IBAN GB82 WEST 1234 5698 7654 32 EUR", (5, 32)), ("bank DE89370400440532013000 BIC COBADEFF", (5, 27)), ("Konto: DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", (7, 34)), ("DE89 3704 0044 0532 0130 00", (0, 27))):
+        assert [(s.start, s.end) for s in pii.spans(text) if s.kind == "iban"] == [want]
+    for text in ("DE89 3704 0044 0532 0130 01", "XX89 3704 0044 0532 0130 00", "DE89370400440532013000X", "DE89"):
+        assert not [s for s in pii.spans(text) if s.kind == "iban"]
+
+
+def test_rows_without_conversation_stay_apart(spark):
+    """A third of all rows without conv_id: each is an example of its own."""
+    rows = [(None, i, "assistant", f"t{i}") for i in range(300)] + [(i // 2, i % 2, ("user", "assistant")[i % 2], "x") for i in range(600)]
+    found = chat.prefix_examples(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    own = found.filter("conv_id IS NULL").collect()
+    assert len(own) == 300 and len({r.alone for r in own}) == 300 and max(len(r.prompt) + len(r.reply) for r in own) < 60
+    told = chat.digest(found)
+    assert told.filter("conv_id IS NULL AND n_turns = 1").count() == 300 and told.count() == 600
+
+
+def test_rows_of_one_vec_id_are_dealt_to_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL_ROWS", 100)
+    rows = [(0 if i % 3 == 0 else i, [float(i % 7), 1.0]) for i in range(900)]
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = top_k(frame_, frame_.filter("vec_id = 1"), k=3)
+    assert [(r.rank, r.score) for r in got.orderBy("rank").collect()] == [(1, (6 * 1 + 1) * 256 * 256), (2, (6 * 1 + 1) * 256 * 256), (3, (6 * 1 + 1) * 256 * 256)]
+    cells = frame_.select(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(4)).alias("i")).groupBy("i").count().collect()
+    assert max(r["count"] for r in cells) < 300
+
+
+def test_sample_takes_labels_that_have_texts(spark):
+    docs = spark.createDataFrame([(i, "t" * (10 if i % 10 == 0 else quality.FIT_BYTES + 1)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 10 % 2) for i in range(1000)], "doc_id long, label int")
+    texts, sizes = quality.sample(docs, labels, 2)
+    assert sorted(y for _, y in texts) == [0, 0, 1, 1] and sizes == {0: 500, 1: 500}
