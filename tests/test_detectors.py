@@ -100,6 +100,7 @@ def test_series_of_zeros(spark):
 
 def test_pieces_give_what_whole_series_give(spark):
     bars = noisy(spark, 450)
-    columns = [f"detect_{n}" for n in ALL]
-    found = [with_detectors(bars, ALL, piece=p).orderBy("bar_idx").select("bar_idx", *columns).collect() for p in (90, None)]
+    some = [*ALL[::4], "defining_range_bullish", "defining_range_bearish", "pwh_pwl_sweep_bullish"]
+    columns = [f"detect_{n}" for n in dict.fromkeys(some)]
+    found = [with_detectors(bars, [*dict.fromkeys(some)], piece=p).orderBy("bar_idx").select("bar_idx", *columns).collect() for p in (90, None)]
     assert found[0] == found[1] and len(found[0]) == 450
