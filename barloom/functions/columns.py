@@ -28,14 +28,18 @@ def in_order(df: DataFrame):
 SPAN_DAYS, PIECE = 7, 8192
 
 
+def span_of_time() -> Column:
+    """The number of the span that a bar's time lies in; bars without time come first."""
+    return F.coalesce(F.floor(F.unix_seconds("ts") / (86_400 * SPAN_DAYS)), F.lit(-(2**40)))
+
+
 def with_bar_idx(df: DataFrame) -> DataFrame:
     """Adds the 0-based position of each bar in its series: that in its span of time, after the bars of the spans before.
 
     Bars that lack a key of their series are left out.
     """
     keys = series_keys(df)
-    span = F.coalesce(F.floor(F.unix_seconds("ts") / (86_400 * SPAN_DAYS)), F.lit(-(2**40)))  # bars without time come first
-    rows = df.withColumn("_span", span)
+    rows = df.withColumn("_span", span_of_time())
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
     spans = rows.groupBy(*keys, "_span").agg(F.count("*").alias("_n")).select(*keys, "_span", F.coalesce(before, F.lit(0)).alias("_before"))
     rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_span").orderBy("ts")))

@@ -7,6 +7,9 @@ read from before the series) and wherever a comparison meets a null. None reads
 Where bullish and bearish are mirror images, one function serves both: on ``Bars(mirrored=True)`` the
 prices are negated and high and low change places, so a low is a high, up is down, and above is below.
 Thresholds that are a share of a price are written with ``share``, which keeps its sign.
+
+``array_detector(reach, ...)`` registers a function of numpy arrays instead, for what no expression can say. All such
+detectors of a call run in one pass over the pieces of a series, and mix freely with the others.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from barloom.functions.columns import at_home, in_order, in_pieces, series_keys, with_bar_idx
+from barloom.functions.columns import PRICES, at_home, in_order, in_pieces, series_keys, with_bar_idx
 
 Rule = Callable[["Bars"], Column]
 #: Bars from the start of a series whose range a detector asks for.
@@ -169,6 +173,52 @@ def detector(kind: str, min_i: int, *names: str):
     return register
 
 
+#: Kind of the detectors that are functions of numpy arrays.
+ARRAYS = "python"
+
+
+def array_detector(reach: int, *names: str):
+    """Registers ``rule(bars)`` under one name, or under a bullish and its mirrored bearish name.
+
+    ``bars`` holds numpy arrays of consecutive bars, oldest first: open, high, low, close and volume as doubles (NaN
+    where null), ts, and bar_idx. The result is a boolean array, one for each bar. A bar's value may depend on
+    it and up to ``reach`` bars before it: a long series comes in pieces with that many bars before each, and
+    bars whose number is below ``reach`` are false whatever the rule says.
+    """
+    return detector(ARRAYS, reach, *names)
+
+
+def _arrays_of(table, mirrored: bool) -> dict:
+    """The columns of a piece as numpy arrays; mirrored prices are negated, and high and low change places."""
+    import pyarrow.compute as pc
+
+    own = {c: pc.fill_null(table[c].cast("double"), float("nan")).to_numpy() for c in PRICES}
+    if mirrored:
+        own |= {"open": -own["open"], "close": -own["close"], "high": -own["low"], "low": -own["high"]}
+    return own | {"ts": table["ts"].to_numpy(), "bar_idx": table["bar_idx"].to_numpy()}
+
+
+def _with_arrays(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Adds the array detectors to bars in pieces; a piece is a group of bounded size."""
+    found = {n: DETECTORS[n] for n in names}
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by("bar_idx")
+        late = table["bar_idx"].to_numpy()
+        for name, d in found.items():
+            fired = np.asarray(d.rule(_arrays_of(table, d.mirrored)))
+            if fired.dtype != bool or fired.shape != late.shape:
+                raise TypeError(f"detector {name} must give {late.size} booleans, not {fired.dtype} of shape {fired.shape}")
+            table = table.append_column(f"detect_{name}", pa.array(fired & (late >= d.min_i)))
+        return table
+
+    schema = StructType([*rows.schema.fields, *(StructField(f"detect_{n}", BooleanType()) for n in names)])
+    return rows.groupBy(*series_keys(rows)).applyInArrow(run, schema)
+
+
 def pair(name: str) -> tuple[str, str]:
     return f"{name}_bullish", f"{name}_bearish"
 
@@ -199,6 +249,10 @@ def with_detectors(bars: DataFrame, names: list[str], batch: int = 40, piece: in
     whole = "_piece" not in rows.columns
     if whole:
         rows = in_pieces(rows, reach_of(names), size=piece)
+    arrays = [n for n in names if DETECTORS[n].kind == ARRAYS]
+    if arrays:
+        rows = _with_arrays(rows, arrays)
+    names = [n for n in names if n not in arrays]
     b = Bars(rows)
     rows = rows.withColumns({"_close_1": b.back(F.col("close"), 1), "_low_1": b.back(F.col("low"), 1), "_high_1": b.back(F.col("high"), 1), "_body_5": b.mean(b.body, -5, -1)})
     for at in range(0, len(names), batch):

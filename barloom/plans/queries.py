@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import with_bar_idx, with_shape
 from barloom.operators import grid as g
 from barloom.operators import indicators as ind
-from barloom.operators import learning, metrics
+from barloom.operators import learning, metrics, profile
 from barloom.operators import screen as sc
-from barloom.operators.detectors import DETECTORS, with_detectors
+from barloom.operators.detectors import DETECTORS, array_detector, with_detectors
 from barloom.operators.rules import describe, entries, rule_hits, validate
 from barloom.operators.trades import scan_trades, with_levels
 from barloom.plans import detector_sql as ds
@@ -183,6 +183,45 @@ def det_frequency(spark, sf_dir):
     return rows.selectExpr("market", f"stack({len(names)}, {', '.join(f"'{n}', {n}" for n in names)}) AS (detector, hits)")
 
 
+@array_detector(20, "regression_break_up", "regression_break_down")
+def _regression_break(bars):
+    """Whether the close is more than two deviations above the line through the 20 closes before it."""
+    import numpy as np
+
+    n, c = 20, bars["close"]
+    fired = np.zeros(c.size, dtype=bool)
+    if c.size > n:
+        x = np.arange(n) - (n - 1) / 2
+        before = np.lib.stride_tricks.sliding_window_view(c, n)[:-1]
+        mean = before.mean(axis=1)
+        slope = (before - mean[:, None]) @ x / (x @ x)
+        off = before - mean[:, None] - slope[:, None] * x
+        fired[n:] = c[n:] > mean + slope * (n + 1) / 2 + 2 * np.sqrt((off**2).mean(axis=1))
+    return fired
+
+
+def det_python(spark, sf_dir):
+    """A detector written with numpy, in both directions, beside one that is an expression."""
+    names = ["regression_break_up", "inside_bar", "regression_break_down"]
+    return shown(with_detectors(_indexed(spark, sf_dir), names).select("market", "ts", *(f"detect_{n}" for n in names)))
+
+
+def _sessions(spark, sf_dir):
+    """The 5-minute bars of each market with the day of their exchange."""
+    return src.bars_from_events(_read(spark, sf_dir, "events"), "5m").withColumn("session", F.date_format(F.from_utc_timestamp("ts", "Asia/Kolkata"), "yyyy-MM-dd"))
+
+
+def price_bins(spark, sf_dir):
+    """How many closes of each market lie in each bin of its whole range."""
+    return shown(profile.price_profile(src.bars_from_events(_read(spark, sf_dir, "events"), "5m"), ["market"]))
+
+
+def session_profile(spark, sf_dir):
+    """Point of control and value area of each market and session, by volume."""
+    keys = ["market", "session"]
+    return shown(profile.value_area(profile.price_profile(_sessions(spark, sf_dir), keys, weight="volume"), keys))
+
+
 # --- Strategies ----------------------------------------------------------------------------------
 
 
@@ -401,7 +440,7 @@ def weighted_sample(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         bars_1h, bars_5m, bars_daily, bars_lineitem, candles_decoded, lookback_windows, bar_shape, ind_sma, ind_ema, ind_rsi, ind_atr, ind_vwap, ind_vwap_session, ind_bands,
-        *(_detected(k) for k in ("lag", "minmax", "avg_std", "exists", "count", "argmin", "array")), det_frequency, validate_strategies, rule_entries, rule_tokens, trades, trades_with_exits, equity, period_metrics,
+        *(_detected(k) for k in ("lag", "minmax", "avg_std", "exists", "count", "argmin", "array")), det_frequency, det_python, price_bins, session_profile, validate_strategies, rule_entries, rule_tokens, trades, trades_with_exits, equity, period_metrics,
         screened, passing_strategies, report_pivot, concept_tags, trade_marks, run_summary, repo_dedup, repo_latest, repo_count, repo_documents, dna_keywords, dna_timeframes, dna_risk_reward, dna_weights, dna_memory, rules_described, strategy_grid, strategy_options, part_grid, weighted_sample,
     )
     return {q.__name__: q for q in own}

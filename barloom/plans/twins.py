@@ -175,6 +175,24 @@ def _rounded(columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns.split())
 
 
+def _profile(keys: str, rows: str, amount: str) -> str:
+    """CTEs up to ``bins``: (keys, low, width, bin, amount) over 20 equal bins of closes."""
+    return f"""rows AS ({rows}), spread AS (SELECT {keys}, min(close) AS low, (max(close) - min(close)) / 20 AS width FROM rows GROUP BY {keys}),
+        bins AS (SELECT {keys}, spread.low AS low, width, CASE WHEN width = 0 THEN 0 ELSE CAST(least(floor((close - spread.low) / width), 19) AS INTEGER) END AS bin, CAST(sum({amount}) AS DOUBLE) AS amount FROM rows JOIN spread USING ({keys}) GROUP BY ALL)"""
+
+
+def _value_area(keys: str) -> str:
+    """Grows from the fullest bin, a bin a step, to 0.7 of the total."""
+    both = lambda a: " AND ".join(f"{a}.{k.strip()} = g.{k.strip()}" for k in keys.split(","))
+    return f"""whole AS (SELECT {keys}, low, width, sum(amount) AS total, min_by(bin, (-amount, bin)) AS poc, max(amount) AS most FROM bins GROUP BY ALL),
+        grown AS (SELECT {keys}, poc AS a, poc AS z, most AS held FROM whole
+            UNION ALL SELECT {", ".join("g." + k.strip() for k in keys.split(","))}, CASE WHEN below > above THEN a - 1 ELSE a END, CASE WHEN below > above THEN z ELSE z + 1 END, held + greatest(below, above)
+            FROM (SELECT g.*, CASE WHEN g.a > 0 THEN coalesce(d.amount, 0) ELSE -1 END AS below, CASE WHEN g.z < 19 THEN coalesce(u.amount, 0) ELSE -1 END AS above, w.total
+                  FROM grown g JOIN whole w ON {both("w")} LEFT JOIN bins d ON {both("d")} AND d.bin = g.a - 1 LEFT JOIN bins u ON {both("u")} AND u.bin = g.z + 1) g WHERE held < total * 0.7::DOUBLE AND (below >= 0 OR above >= 0)),
+        best AS (SELECT {keys}, min(a) AS a, max(z) AS z, max(held) AS held FROM grown GROUP BY {keys})
+        SELECT {keys}, round(low, 6) AS low, round(width, 6) AS width, round(total, 6) AS total, round(low + poc * width, 6) AS poc, round(low + a * width, 6) AS value_low, round(low + (z + 1) * width, 6) AS value_high, round(held, 6) AS value_amount FROM whole JOIN best USING ({keys})"""
+
+
 def sql(strategies, periods, exits) -> dict[str, str]:
     back = _backtest(strategies, periods)
     shape = "abs(close - open) AS body, high - low AS rng, high - greatest(open, close) AS upper_wick, least(open, close) - low AS lower_wick, (high + low) / 2 AS mid, (open + close) / 2 AS mid_body, least(open, close) AS min_body, greatest(open, close) AS max_body"
@@ -217,6 +235,12 @@ def sql(strategies, periods, exits) -> dict[str, str]:
         "ind_vwap_session": f"WITH {_series(BARS_1H)} SELECT market, {_EPOCH}, round({_VWAP.format(w=_RUN.format(k='market, CAST(ts + INTERVAL 330 minutes AS DATE)'))}, 6) AS vwap FROM s",
         "ind_bands": f"""WITH {_series(BARS_1H)}, v AS (SELECT *, {_VWAP.format(w=_RUN.format(k='market'))} AS vwap FROM s), d AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE coalesce(stddev_pop(close - vwap) OVER (PARTITION BY market ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) END AS sd FROM v)
             SELECT market, {_EPOCH}, round(vwap + 2 * sd, 6) AS vwap_upper, round(vwap - 2 * sd, 6) AS vwap_lower FROM d""",
+        "det_python": f"""WITH {_series(BARS_1H)}, line AS (SELECT *, avg(close) OVER w AS mean, regr_slope(close, i) OVER w AS slope, regr_sxx(close, i) OVER w AS sxx, regr_syy(close, i) OVER w AS syy, lag(high) OVER v AS ph, lag(low) OVER v AS pl
+                FROM s WINDOW w AS (PARTITION BY market ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), v AS (PARTITION BY market ORDER BY ts)),
+            off AS (SELECT *, mean + slope * 10.5 AS expected, 2 * sqrt((syy - slope * slope * sxx) / 20) AS far FROM line)
+            SELECT market, {_EPOCH}, coalesce(i >= 20 AND close > expected + far, false) AS detect_regression_break_up, coalesce(i >= 20 AND close < expected - far, false) AS detect_regression_break_down, coalesce(high < ph AND low > pl, false) AS detect_inside_bar FROM off""",
+        "price_bins": f"WITH {_profile('market', BARS_5M, '1')} SELECT market, round(low, 6) AS low, round(width, 6) AS width, bin, round(amount, 6) AS amount FROM bins",
+        "session_profile": f"""WITH RECURSIVE {_profile("market, session", f"SELECT *, strftime(ts + INTERVAL 330 minutes, '%Y-%m-%d') AS session FROM ({BARS_5M})", "volume")}, {_value_area("market, session")}""",
         "validate_strategies": f"SELECT {c} AS strategy_id, {faults} = '' AS valid, {faults} AS errors FROM customer",
         "rule_entries": back + "SELECT strategy_id, market, period_days, CAST(i AS INTEGER) AS bar_idx, direction, round(stop, 6) AS stop, round(target, 6) AS target FROM signals",
         "trades": back + "SELECT strategy_id, market, period_days, entry_idx, exit_idx, direction, " + _rounded("entry_price exit_price pnl pnl_percent") + " FROM trades",

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from test_bars import START, series
 
 from barloom.functions.columns import with_bar_idx
-from barloom.operators.detectors import DETECTORS, with_detectors
+from barloom.operators.detectors import DETECTORS, array_detector, with_detectors
+from barloom.operators.indicators import with_indicators
+from barloom.operators.rules import entries
 
 ALL = list(DETECTORS)
 
@@ -104,3 +106,62 @@ def test_pieces_give_what_whole_series_give(spark):
     columns = [f"detect_{n}" for n in dict.fromkeys(some)]
     found = [with_detectors(bars, [*dict.fromkeys(some)], piece=p).orderBy("bar_idx").select("bar_idx", *columns).collect() for p in (90, None)]
     assert found[0] == found[1] and len(found[0]) == 450
+
+
+@pytest.fixture
+def numpy_twins():
+    """A sweep, an engulfing and an inside bar, written with numpy."""
+    import numpy as np
+
+    def before(x, k):
+        return np.concatenate([np.full(k, np.nan), x[: max(x.size - k, 0)]])[: x.size]
+
+    @array_detector(20, "own_sweep", "own_sweep_high")
+    def _sweep(b):
+        lowest = np.nanmin(np.vstack([before(b["low"], k) for k in range(1, 21)] + [np.full(b["low"].size, np.inf)]), axis=0)
+        return (b["low"] < lowest) & (b["close"] > lowest)
+
+    @array_detector(1, "own_inside")
+    def _inside(b):
+        return (b["high"] < before(b["high"], 1)) & (b["low"] > before(b["low"], 1))
+
+    yield {"own_sweep": "liquidity_sweep_low", "own_sweep_high": "liquidity_sweep_high", "own_inside": "inside_bar"}
+    for name in ("own_sweep", "own_sweep_high", "own_inside"):
+        del DETECTORS[name]
+
+
+@pytest.mark.parametrize("piece", [None, 32])
+def test_array_detectors_equal_their_column_twins(spark, numpy_twins, piece):
+    bars = noisy(spark).unionByName(noisy(spark, 40).withColumn("market", F.lit("short")))
+    rows = with_detectors(bars.orderBy(F.rand(1)), [x for both in numpy_twins.items() for x in both], piece=piece)
+    assert rows.count() == 300
+    for own, twin in numpy_twins.items():
+        assert rows.filter(F.col(f"detect_{own}") != F.col(f"detect_{twin}")).count() == 0
+        assert rows.filter(f"detect_{own}").count() > 0
+
+
+def test_array_detectors_in_a_rule(spark, numpy_twins):
+    bars = with_indicators(noisy(spark))
+    asked = lambda rules: spark.createDataFrame([("s", rules, [], "1pct_from_entry", 2.0, "5m", "*", 9, 21)], "strategy_id string, entry_rules array<string>, exit_rules array<string>, stop_loss_logic string, risk_reward double, timeframe string, market string, ema_fast int, ema_slow int")
+    found = [sorted(r.bar_idx for r in entries(bars, asked([rule, "price_below_both_emas"]), [rule, "price_below_both_emas"], [(9, 21)]).collect()) for rule in ("detect_own_sweep", "detect_liquidity_sweep_low")]
+    assert found[0] == found[1] and found[0]
+
+
+@pytest.mark.parametrize("wrong", [lambda b: b["close"], lambda b: b["close"][1:] > 0])
+def test_an_array_detector_must_give_a_boolean_for_each_bar(spark, wrong):
+    array_detector(0, "own_wrong")(wrong)
+    try:
+        with pytest.raises(Exception, match="own_wrong must give 5 booleans"):
+            with_detectors(series(spark, [1, 2, 3, 2, 1]), ["own_wrong"]).collect()
+    finally:
+        del DETECTORS["own_wrong"]
+
+
+def test_array_detectors_see_nan_for_null_and_may_have_no_bars(spark):
+    array_detector(0, "own_gap")(lambda b: b["close"] != b["close"])
+    try:
+        bars = series(spark, [1, 2, 3, 2, 1]).withColumn("close", F.expr("CASE WHEN bar_idx = 2 THEN NULL ELSE close END"))
+        assert fired(with_detectors(bars, ["own_gap"]), ["own_gap"]) == {"own_gap": [2]}
+        assert with_detectors(bars.limit(0), ["own_gap", "inside_bar"]).count() == 0
+    finally:
+        del DETECTORS["own_gap"]
