@@ -1,15 +1,20 @@
 """Strategies as a grid: every template with every timeframe, filter, pair of averages, stop, exit and risk-reward.
 
-Drawing from the grid by weight is a sort by a key from a hash of the strategy's id, so a run can be
-repeated anywhere. Unlike drawing one at a time, no strategy is drawn twice.
+Drawing from the grid by weight (``sample``) is a sort by a key from a hash of the strategy's id, so a run can be
+repeated anywhere; no strategy is drawn twice. ``Space`` draws without building the grid: a strategy is a number
+whose digits, one for each axis, are drawn by prefix sums of the axis' weights.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import accumulate
+from math import fsum, prod
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators.detectors import DETECTORS
+from barloom.operators.detectors import ARRAYS, DETECTORS
 
 TIMEFRAMES = ("1m", "5m", "15m")
 # Entry templates that join several rules, as (type, direction, rules).
@@ -65,20 +70,25 @@ MIX = {"balanced": (0.5, 0.3, 0.2), "institutional": (0.7, 0.2, 0.1), "price_act
 def templates() -> list[tuple[str, str, tuple[str, ...]]]:
     """The stated templates, and each directed detector alone but for NOT_ALONE and first versions."""
     alone = []
-    for name in DETECTORS:
+    for name in (n for n, d in DETECTORS.items() if d.kind != ARRAYS):
         up, down = name.endswith(("_bullish", "_long")) or name.startswith("bullish_"), name.endswith(("_bearish", "_short")) or name.startswith("bearish_")
         if (up or down) and name not in NOT_ALONE and "_v1" not in name:
             alone.append(("institutional", "LONG" if up else "SHORT", (f"detect_{name}",)))
     return [*TEMPLATES, *alone]
 
 
-def template_table(spark: SparkSession, focus: str = "balanced") -> DataFrame:
-    """(template, type, direction, rules, share): the chance of each template; those of a type add up to the type's."""
+def shares(focus: str = "balanced") -> list[tuple[str, str, tuple[str, ...], float]]:
+    """(type, direction, rules, share) of each template; the shares of a type add up to the type's."""
     institutional, action, technical = MIX[focus]
     of_type = {"institutional": institutional, "price_action": action, "vwap": technical / 2, "ema": technical / 2}
     times = lambda rules: 2 if len(rules) == 1 and rules[0].removeprefix("detect_") in TWICE else 1
     all_of = {t: sum(times(r) for k, _, r in templates() if k == t) for t in of_type}
-    rows = [(i, t, d, list(r), of_type[t] * times(r) / all_of[t]) for i, (t, d, r) in enumerate(templates())]
+    return [(t, d, r, of_type[t] * times(r) / all_of[t]) for t, d, r in templates()]
+
+
+def template_table(spark: SparkSession, focus: str = "balanced") -> DataFrame:
+    """(template, type, direction, rules, share): the chance of each template."""
+    rows = [(i, t, d, list(r), share) for i, (t, d, r, share) in enumerate(shares(focus))]
     return spark.createDataFrame(rows, "template int, type string, direction string, rules array<string>, share double")
 
 
@@ -96,9 +106,26 @@ def biased(table: DataFrame, sentiment: str = "NEUTRAL") -> DataFrame:
     return rows.withColumn("share", F.when(F.col("_any"), F.col("share") * F.col("_all") / F.col("_own")).otherwise(F.col("share"))).drop("_any", "_all", "_own")
 
 
+def _sql(value) -> str:
+    """A value as a SQL literal; long lists of literals are built from text, in one call to the JVM."""
+    if isinstance(value, tuple):
+        return f"array({', '.join(map(_sql, value))})"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else f"{value}L" if abs(value) >= 2**31 else str(value)
+
+
 def _axis(name: str, values: dict) -> Column:
     """A dimension as an array of (value, probability)."""
-    return F.array(*(F.struct((F.array(*map(F.lit, k)) if isinstance(k, tuple) else F.lit(k)).alias("value"), F.lit(float(p)).alias("p")) for k, p in values.items())).alias(name)
+    return F.expr(f"array({', '.join(f"named_struct('value', {_sql(k)}, 'p', {_sql(float(p))})" for k, p in values.items())})").alias(name)
+
+
+def _axes(risk_rewards: tuple[float, ...], timeframes: tuple[str, ...], small: bool = False) -> dict[str, dict]:
+    """Every dimension but the template, with the chance of each value."""
+    none = lambda axis, empty: {empty: 1.0} if small else axis
+    return {"timeframe": dict.fromkeys(timeframes, 1 / len(timeframes)), "vwap": none(FILTERS, ""), "rsi": none(RSI, ""), "zone": none(ZONE, False), "clock": none(KILL_ZONE, False), "emas": EMAS, "stop": STOPS, "exit": none(EXITS, ""), "rr": dict.fromkeys(risk_rewards, 1 / len(risk_rewards))}
 
 
 def grid(spark: SparkSession, table: DataFrame, risk_rewards: tuple[float, ...] = (1.8, 2.0, 2.5, 3.0), market: str = "*", timeframes: tuple[str, ...] = TIMEFRAMES, small: bool = False) -> DataFrame:
@@ -106,30 +133,128 @@ def grid(spark: SparkSession, table: DataFrame, risk_rewards: tuple[float, ...]
 
     The dimensions are a few constants each, so the product is an explode and not a join.
     """
-    none = lambda axis, empty: {empty: 1.0} if small else axis
-    axes = {"timeframe": dict.fromkeys(timeframes, 1 / len(timeframes)), "vwap": none(FILTERS, ""), "rsi": none(RSI, ""), "zone": none(ZONE, False), "clock": none(KILL_ZONE, False), "emas": EMAS, "stop": STOPS, "exit": none(EXITS, ""), "rr": dict.fromkeys(risk_rewards, 1 / len(risk_rewards))}
+    axes = _axes(risk_rewards, timeframes, small)
     rows = table
     for name, values in axes.items():
         rows = rows.withColumn(name, F.explode(_axis(name, values)))
     value = {n: F.col(f"{n}.value") for n in axes}
+    institutional = F.col("type") == "institutional"
+    probability = F.col("share")
+    for n in axes:
+        # Other types never ask for a zone, so what they have without one is certain.
+        probability = probability * (F.when(institutional, F.col(f"{n}.p")).otherwise(F.lit(1.0)) if n == "zone" else F.col(f"{n}.p"))
+    return _strategies(rows.filter(institutional | ~value["zone"]), value, market, probability.alias("probability"))
+
+
+def _strategies(rows: DataFrame, value: dict[str, Column], market: str, *more: Column) -> DataFrame:
+    """Strategies of rows that have type, direction, template and rules, and the value of each axis."""
     zone = F.when(F.col("direction") == "LONG", F.lit("detect_discount_zone")).otherwise(F.lit("detect_premium_zone"))
     optional = F.array_compact(F.array(
         F.when(value["zone"] & (F.col("type") == "institutional") & ~F.array_contains("rules", zone), zone),
         F.when(value["vwap"] != "", value["vwap"]), F.when(value["rsi"] != "", value["rsi"]), F.when(value["clock"], F.lit("is_in_kill_zone")),
     ))
-    probability = F.col("share")
-    for n in axes:
-        probability = probability * F.col(f"{n}.p")
-    rows = rows.filter((F.col("type") == "institutional") | ~value["zone"] | F.lit(small)).select(
+    rows = rows.select(
         F.array_distinct(F.concat("rules", optional)).alias("entry_rules"),
         F.concat(F.array(F.lit("stop_loss_hit"), F.lit("take_profit_hit")), F.when(value["exit"] != "", F.array(value["exit"])).otherwise(F.array().cast("array<string>"))).alias("exit_rules"),
         value["stop"].alias("stop_loss_logic"), F.concat(value["rr"].cast("string"), F.lit("x_stop_distance")).alias("take_profit_logic"), value["rr"].cast("double").alias("risk_reward"),
         value["timeframe"].alias("timeframe"), F.lit(market).alias("market"), value["emas"][0].alias("ema_fast"), value["emas"][1].alias("ema_slow"),
-        (value["vwap"] != "").alias("use_vwap"), (value["rsi"] != "").alias("use_rsi"), "type", "direction", "template", probability.alias("probability"),
+        (value["vwap"] != "").alias("use_vwap"), (value["rsi"] != "").alias("use_rsi"), "type", "direction", "template", *more,
     )
     return rows.withColumn("strategy_id", strategy_id()).withColumn("name", F.concat_ws("_", "type", "template", "timeframe"))
 
 
+#: Bits of a drawn number, against which prefix sums of weights are held.
+BITS = 32
+
+
+@dataclass(frozen=True)
+class Space:
+    """All strategies of a list of templates as numbers 0..size - 1: mixed-radix, the template first.
+
+    ``templates`` are (type, direction, rules, share); ``axes`` map a name to its values with their weights. Both are
+    short lists of the program. How many strategies there are matters to nothing here.
+    """
+
+    templates: tuple[tuple[str, str, tuple[str, ...], float], ...]
+    axes: dict[str, dict]
+
+    @classmethod
+    def of(cls, focus: str = "balanced", risk_rewards: tuple[float, ...] = (1.8, 2.0, 2.5, 3.0), timeframes: tuple[str, ...] = TIMEFRAMES) -> Space:
+        """The templates with the chances of a focus, and the axes of ``grid``."""
+        return cls(tuple(shares(focus)), _axes(risk_rewards, timeframes))
+
+    @property
+    def radix(self) -> dict[str, int]:
+        return {"template": len(self.templates)} | {n: len(v) for n, v in self.axes.items()}
+
+    @property
+    def size(self) -> int:
+        return prod(self.radix.values())
+
+    def bounds(self) -> dict[str, list[int]]:
+        """Prefix sums of each digit's weights without the last, as parts of 2**BITS."""
+        weights = {"template": [t[3] for t in self.templates]} | {n: list(v.values()) for n, v in self.axes.items()}
+        return {n: [round(part / fsum(w) * 2**BITS) for part in list(accumulate(w))[:-1]] for n, w in weights.items()}
+
+    def at_number(self, numbers: DataFrame, market: str = "*") -> DataFrame:
+        """The strategies of the column ``number``; other columns stay. A number outside the space gives no row."""
+        if self.size >= 2**63:
+            raise ValueError(f"{self.size} strategies are too many to number")
+        rest, digit = F.col("number"), {}
+        for name, n in reversed(self.radix.items()):
+            digit[name] = (rest % n).cast("int")
+            rest = F.call_function("div", rest, F.lit(n))
+        rows = numbers.filter(F.col("number").between(0, self.size - 1))
+        known = F.expr(f"array({', '.join(f"named_struct('type', {_sql(t)}, 'direction', {_sql(d)}, 'rules', {_sql(tuple(r))})" for t, d, r, _ in self.templates)})")
+        rows = rows.select(*numbers.columns, digit["template"].alias("template"), F.get(known, digit["template"]).alias("_t"), *(F.get(_axis(n, v), digit[n])["value"].alias(f"_{n}") for n, v in self.axes.items()))
+        rows = rows.select("*", "_t.*")
+        return _strategies(rows, {n: F.col(f"_{n}") for n in self.axes}, market, *numbers.columns)
+
+    def draw(self, rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
+        """Adds ``number``, a strategy drawn by weight with replacement, which ``key`` and seed alone decide.
+
+        A zone that a template's type or rules have no use for is not drawn, so equal strategies get equal numbers.
+        """
+        hexes = [F.md5(F.concat_ws("~", F.lit(str(seed)), F.col(key).cast("string"), F.lit(str(k)))) for k in range(-(-len(self.radix) // 4))]
+        number = F.lit(0).cast("long")
+        for at, (name, bounds) in enumerate(self.bounds().items()):
+            u = F.conv(F.substring(hexes[at // 4], at % 4 * 8 + 1, 8), 16, 10).cast("long")
+            digit = _passed(bounds, u) if bounds else F.lit(0)
+            if name == "template":
+                first = digit
+            if name == "zone":
+                digit = F.when(F.get(F.expr(_sql(tuple(_takes_zone(t, d, r) for t, d, r, _ in self.templates))), first), digit).otherwise(list(self.axes[name]).index(False))
+            number = number * self.radix[name] + digit
+        return rows.withColumn("number", number)
+
+    def draw_distinct(self, spark: SparkSession, n: int, seed: int = 0, market: str = "*") -> DataFrame:
+        """n different strategies, drawn one after the other and each kept the first time; ``drawn`` is its place in that order.
+
+        That is drawing without replacement. Draws are doubled until n differ; where 128 draws for each do not
+        give n, the space is nearly used up, and ``sample`` of the whole grid is the way.
+        """
+        if n > self.size:
+            raise ValueError(f"there are no {n} different strategies among {self.size}")
+        draws = n
+        while draws <= 128 * max(n, 1):
+            found = self.draw(spark.range(draws), "id", seed).groupBy("number").agg(F.min("id").alias("drawn"))
+            found = self.at_number(found, market)
+            found = found.groupBy("strategy_id").agg(F.min_by(F.struct(*found.columns), "drawn").alias("s")).select("s.*")
+            if found.count() >= n:
+                return found.orderBy("drawn").limit(n).drop("number")
+            draws *= 2
+        raise ValueError(f"{n} different strategies did not turn up in {draws // 2} draws")
+
+
+def _passed(bounds: list[int], u: Column) -> Column:
+    """How many of the bounds ``u`` has reached."""
+    return F.size(F.filter(F.expr(_sql(tuple(bounds))).cast("array<bigint>"), lambda b: b <= u))
+
+
+def _takes_zone(kind: str, direction: str, rules: tuple[str, ...]) -> bool:
+    return kind == "institutional" and ("detect_discount_zone" if direction == "LONG" else "detect_premium_zone") not in rules
+
+
 def strategy_id() -> Column:
     """16 hex digits that all settings of a strategy decide."""
     parts = [F.array_join("entry_rules", "|"), F.array_join("exit_rules", "|"), "stop_loss_logic", F.col("risk_reward").cast("string"), "timeframe", "market", F.col("ema_fast").cast("string"), F.col("ema_slow").cast("string")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from barloom.operators.rules import describe, entries, rule_hits, validate
 from barloom.operators.trades import scan_trades, with_levels
 from barloom.plans import detector_sql as ds
 from barloom.plans import twins
-from barloom.plans.research import numbered, scan_with_exits
+from barloom.plans.research import backtest, numbered, scan_with_exits
 from barloom.sources import bars as src
 from barloom.sources import repository as repo
 
@@ -48,6 +49,14 @@ TOKENS = (
     "close_above_vwap_upper_band", "close_below_vwap_lower_band", "rsi_oversold_bounce", "rsi_above_30", "rsi_below_70", "rsi_crossed_above_30", "rsi_crossed_below_70",
     "rsi_between_40_60", "breakout_above_20bar_high", "breakout_below_20bar_low", "price_near_support", "price_near_resistance", "is_in_kill_zone",
 )
+#: Look-back windows for the years of orders, and the sorts of strategies that are drawn.
+LONG_PERIODS = (30, 60, 180, 365)
+FOCUSES = ("balanced", "institutional", "price_action")
+# Strategies whose rules the dispatch of ``compat`` takes as met or sees with high and low exchanged.
+COMPAT_STRATEGIES = (
+    ("c1", ("detect_mitigation_block_bullish", "price_above_vwap"), "1pct_from_entry", 2.0, 9, 21),
+    ("c2", ("detect_stopping_volume_bullish",), "1.5x_atr_from_entry", 2.0, 13, 34),
+)
 LIMITS = sc.Limits(targets={7: 1.06, 14: 1.5, 21: 2.75, 30: 4.50})
 
 
@@ -63,8 +72,8 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.aggregate_bars(src.order_ticks(_read(spark, sf_dir, "orders")), "1d")
 
 
-def strategies(spark: SparkSession) -> DataFrame:
-    rows = [(i, i, list(e), ["stop_loss_hit", "take_profit_hit"], s, f"{rr}x_stop_distance", rr, "1h", "*", f, w) for i, e, s, rr, f, w in STRATEGIES]
+def strategies(spark: SparkSession, timeframe: str = "1h", more: tuple = ()) -> DataFrame:
+    rows = [(i, i, list(e), ["stop_loss_hit", "take_profit_hit"], s, f"{rr}x_stop_distance", rr, timeframe, "*", f, w) for i, e, s, rr, f, w in (*STRATEGIES, *more)]
     return spark.createDataFrame(rows, "strategy_id string, name string, entry_rules array<string>, exit_rules array<string>, stop_loss_logic string, take_profit_logic string, risk_reward double, timeframe string, market string, ema_fast int, ema_slow int")
 
 
@@ -259,6 +268,21 @@ def rule_entries(spark, sf_dir):
     return shown(rows.select("strategy_id", "market", "period_days", "bar_idx", "direction", "stop", "target"))
 
 
+def rule_entries_compat(spark, sf_dir):
+    """Entries as the dispatch with its accidents finds them."""
+    rules = [*RULES, *dict.fromkeys(r for s in COMPAT_STRATEGIES for r in s[1] if r not in RULES)]
+    rows = entries(_ready(spark, sf_dir), strategies(spark, more=COMPAT_STRATEGIES), rules, list(EMAS), "UTC", compat=True)
+    return shown(with_levels(rows).select("strategy_id", "market", "period_days", "bar_idx", "direction", "stop", "target"))
+
+
+def screened_long(spark, sf_dir):
+    """The screen over windows of up to a year of daily bars, with the texts of its failures in their order."""
+    asked = strategies(spark, "1d")
+    found = backtest(daily(spark, sf_dir), asked, list(RULES), list(EMAS), LONG_PERIODS, zone="UTC")
+    rows = sc.screen(metrics.period_metrics(found, asked, LONG_PERIODS))
+    return shown(rows.withColumn("failures", F.array_join("failures", "; ")))
+
+
 def _trades(spark, sf_dir):
     series = _series(spark, sf_dir)
     return scan_trades(series, _signals(spark, sf_dir, ind.with_indicators(series)))
@@ -422,6 +446,17 @@ def strategy_options(spark, sf_dir):
     return shown(found)
 
 
+def drawn_strategies(spark, sf_dir):
+    """A strategy drawn for each customer from all templates, with the shares of a focus that its nation decides."""
+    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    parts = []
+    for k, focus in enumerate(FOCUSES):
+        space = g.Space.of(focus)
+        parts.append(space.at_number(space.draw(customer.filter(F.col("c_nationkey") % len(FOCUSES) == k), "c_custkey", seed=11)))
+    rows = reduce(DataFrame.unionAll, parts)
+    return shown(rows.select("c_custkey", "number", "strategy_id", "type", "direction", "template", F.array_join("entry_rules", "|").alias("entry"), F.array_join("exit_rules", "|").alias("leave"), "stop_loss_logic", "risk_reward", "timeframe", "ema_fast", "ema_slow"))
+
+
 def part_grid(spark, sf_dir):
     """A grid of parts' brands with timeframes, stops and pairs of averages."""
     brands = _read(spark, sf_dir, "part").select("p_brand").distinct()
@@ -440,8 +475,8 @@ def weighted_sample(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         bars_1h, bars_5m, bars_daily, bars_lineitem, candles_decoded, lookback_windows, bar_shape, ind_sma, ind_ema, ind_rsi, ind_atr, ind_vwap, ind_vwap_session, ind_bands,
-        *(_detected(k) for k in ("lag", "minmax", "avg_std", "exists", "count", "argmin", "array")), det_frequency, det_python, price_bins, session_profile, validate_strategies, rule_entries, rule_tokens, trades, trades_with_exits, equity, period_metrics,
-        screened, passing_strategies, report_pivot, concept_tags, trade_marks, run_summary, repo_dedup, repo_latest, repo_count, repo_documents, dna_keywords, dna_timeframes, dna_risk_reward, dna_weights, dna_memory, rules_described, strategy_grid, strategy_options, part_grid, weighted_sample,
+        *(_detected(k) for k in ("lag", "minmax", "avg_std", "exists", "count", "argmin", "array")), det_frequency, det_python, price_bins, session_profile, validate_strategies, rule_entries, rule_entries_compat, rule_tokens, trades, trades_with_exits, equity, period_metrics,
+        screened, screened_long, passing_strategies, report_pivot, concept_tags, trade_marks, run_summary, repo_dedup, repo_latest, repo_count, repo_documents, dna_keywords, dna_timeframes, dna_risk_reward, dna_weights, dna_memory, rules_described, strategy_grid, strategy_options, drawn_strategies, part_grid, weighted_sample,
     )
     return {q.__name__: q for q in own}
 
@@ -451,6 +486,6 @@ def oracle_sql() -> dict[str, str]:
     simple = {f"det_{k}": ds.simple(names_of(k), guards, twins.BARS_1H) for k in ("lag", "minmax", "avg_std", "exists", "count")}
     frequency = ds.simple([*names_of("lag"), *names_of("minmax")], guards, twins.BARS_1H)
     return {
-        **twins.sql(STRATEGIES, PERIODS, EXITS), **simple, "det_argmin": ds.positions(twins.BARS_1H), "det_array": ds.arrays(names_of("array"), guards, twins.BARS_1H),
+        **twins.sql(STRATEGIES, PERIODS, EXITS), **twins.variants(STRATEGIES, COMPAT_STRATEGIES, PERIODS, LONG_PERIODS), "drawn_strategies": twins.drawn(g.templates(), g.TWICE), **simple, "det_argmin": ds.positions(twins.BARS_1H), "det_array": ds.arrays(names_of("array"), guards, twins.BARS_1H),
         "det_frequency": f"SELECT market, replace(name, 'detect_', '') AS detector, count(*) FILTER (hit) AS hits FROM (UNPIVOT ({frequency}) ON COLUMNS('detect_.*') INTO NAME name VALUE hit) GROUP BY ALL",
     }

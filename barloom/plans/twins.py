@@ -50,9 +50,9 @@ _VWAP = "CASE WHEN sum(volume) OVER {w} > 0 THEN sum(tp * volume) OVER {w} / sum
 _RUN = "(PARTITION BY {k} ORDER BY ts ROWS UNBOUNDED PRECEDING)"
 
 
-def _window_bars(periods: tuple[int, ...]) -> str:
+def _window_bars(periods: tuple[int, ...], bars: str = BARS_1H) -> str:
     days = ", ".join(map(str, periods))
-    return f"SELECT b.*, p.d AS period_days FROM ({BARS_1H}) b, (SELECT unnest([{days}]) AS d) p WHERE b.ts > (SELECT max(ts) FROM ({BARS_1H})) + INTERVAL 1 microsecond - to_days(CAST(p.d AS INTEGER))"
+    return f"SELECT b.*, p.d AS period_days FROM ({bars}) b, (SELECT unnest([{days}]) AS d) p WHERE b.ts > (SELECT max(ts) FROM ({bars})) + INTERVAL 1 microsecond - to_days(CAST(p.d AS INTEGER))"
 
 
 # What a rule's text must hold for a concept.
@@ -100,7 +100,7 @@ def _leaves(strategies, exits) -> tuple[str, str, str]:
     return cte, "LEFT JOIN leaves x ON x.market = b.market AND x.period_days = b.period_days AND x.i = b.i", f"coalesce(CASE k.strategy_id {cases} END, false)"
 
 
-def _backtest(strategies, periods, exits=None) -> str:
+def _backtest(strategies, periods, exits=None, bars: str = BARS_1H, compat: bool = False) -> str:
     """CTEs ready, asked, signals and the walk over them, up to ``trades``."""
     keys = ("market", "period_days")
     leaves, join_leaves, leave = _leaves(strategies, exits)
@@ -111,6 +111,9 @@ def _backtest(strategies, periods, exits=None) -> str:
         "detect_bullish_engulfing": "i >= 1 AND pc < po AND close > open AND open < pc AND close > po", "detect_bearish_engulfing": "i >= 1 AND pc > po AND close < open AND open > pc AND close < po",
         "detect_inside_bar": "i >= 1 AND high < ph AND low > pl", "detect_discount_zone": "i >= 50 AND close < (hi50 + lo50) / 2",
     }
+    if compat:  # rules that the dispatch does not test count as met; one sees high and low exchanged
+        rules |= dict.fromkeys(("rsi_above_30", "rsi_below_70", "breakout_above_20bar_high", "detect_mitigation_block_bullish"), "true")
+        rules["detect_stopping_volume_bullish"] = "i >= 10 AND po - pc > 2 * rng8 AND low - high < 0.5 * (pl - ph) AND high >= ph AND close > open"
     stops = {
         "1.5x_atr_from_entry": "coalesce(1.5 * atr, 0.01 * close)", "2x_atr_from_entry": "coalesce(2.0 * atr, 0.01 * close)", "0.5pct_from_entry": "0.005 * close", "1pct_from_entry": "0.01 * close",
         "entry_candle_stop": "greatest(abs(close - low), abs(high - close))", "swing_point_stop": "coalesce(1.5 * atr, 0.01 * close)",
@@ -121,13 +124,13 @@ def _backtest(strategies, periods, exits=None) -> str:
         + " AND ".join(f"coalesce({rules[r]}, false)" for r in entry)
         for sid, entry, stop, rr, fast, slow in strategies
     )
-    return f"""WITH RECURSIVE {_series(_window_bars(periods), "market, period_days")},
+    return f"""WITH RECURSIVE {_series(_window_bars(periods, bars), "market, period_days")},
 {_ema(9, "a9", keys)}, {_ema(13, "a13", keys)}, {_ema(21, "a21", keys)}, {_ema(34, "a34", keys)},
 {_recurrence("up", "gain", "(13.0 / 14)", 1, 14, keys)}, {_recurrence("down", "loss", "(13.0 / 14)", 1, 14, keys)}, {_recurrence("tr14", "tr", "(13.0 / 14)", 0, 13, keys)},
 ready AS (SELECT s.*, a9.e AS e9, a13.e AS e13, a21.e AS e21, a34.e AS e34, CASE WHEN down.e = 0 THEN 100 ELSE 100 - 100 / (1 + up.e / down.e) END AS rsi, CASE WHEN n > 14 THEN tr14.e END AS atr,
        {_VWAP.format(w=_RUN.format(k="s.market, s.period_days"))} AS vwap, max(high) OVER (v ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS hi20, min(low) OVER (v ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS lo20,
        max(high) OVER (v ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS hi50, min(low) OVER (v ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS lo50,
-       lag(open) OVER v AS po, lag(close) OVER v AS pc, lag(high) OVER v AS ph, lag(low) OVER v AS pl
+       avg(low - high) OVER (v ROWS BETWEEN 10 PRECEDING AND 3 PRECEDING) AS rng8, lag(open) OVER v AS po, lag(close) OVER v AS pc, lag(high) OVER v AS ph, lag(low) OVER v AS pl
     FROM s {" ".join(map(same, ("a9", "a13", "a21", "a34", "up", "down", "tr14")))} WINDOW v AS (PARTITION BY s.market, s.period_days ORDER BY ts)),
 signals AS (SELECT *, CASE direction WHEN 'LONG' THEN close - d ELSE close + d END AS stop, CASE direction WHEN 'LONG' THEN close + d * rr ELSE close - d * rr END AS target FROM ({asked})),
 {leaves}
@@ -193,16 +196,63 @@ def _value_area(keys: str) -> str:
         SELECT {keys}, round(low, 6) AS low, round(width, 6) AS width, round(total, 6) AS total, round(low + poc * width, 6) AS poc, round(low + a * width, 6) AS value_low, round(low + (z + 1) * width, 6) AS value_high, round(held, 6) AS value_amount FROM whole JOIN best USING ({keys})"""
 
 
+def _screened(targets: dict[int, float]) -> str:
+    """A CTE with each strategy's overall figures and flags."""
+    wanted = " ".join(f"WHEN {d} THEN {t}" for d, t in targets.items())
+    return f"""screened AS (
+    SELECT *, (NOT all_periods_profitable)::int + (NOT low_drawdown)::int + (avg_expectancy < 0.5)::int + (avg_win_rate < 54)::int + (avg_profit_factor < 1.8)::int + (NOT on_target)::int + (NOT spread)::int AS n_failures
+    FROM (SELECT strategy_id, bool_and(total_pnl > 0) AS all_periods_profitable, max(max_drawdown_percent) AS worst_drawdown, avg(win_rate) AS avg_win_rate, avg(expectancy) AS avg_expectancy, coalesce(avg(profit_factor) FILTER (profit_factor > 0), 0) AS avg_profit_factor,
+                 CAST(coalesce(max(total_trades) FILTER (period_days = 365), 2 * max(total_trades) FILTER (period_days = 180), 6 * max(total_trades) FILTER (period_days = 60), 0) AS BIGINT) AS total_trades_per_year,
+                 bool_and(max_drawdown_percent <= 22) AS low_drawdown, bool_and(total_pnl_percent >= CASE period_days {wanted} END) AS on_target, bool_and(largest_win_contribution <= 35) AS spread FROM results GROUP BY strategy_id))"""
+
+
+def variants(strategies, accidental, periods, long_periods) -> dict[str, str]:
+    """The screen over daily bars with its texts, and entries with the accidents of dispatch."""
+    texts = "CASE WHEN NOT all_periods_profitable THEN 'not profitable in every period' END, CASE WHEN NOT low_drawdown THEN format('drawdown: {:,.2f}', worst_drawdown) END, CASE WHEN avg_expectancy < 0.5 THEN format('expectancy: {:,.2f}', avg_expectancy) END, CASE WHEN avg_win_rate < 54 THEN format('win rate: {:,.1f}', avg_win_rate) END, CASE WHEN avg_profit_factor < 1.8 THEN format('profit factor: {:,.2f}', avg_profit_factor) END, CASE WHEN NOT on_target THEN 'below the return target' END, CASE WHEN NOT spread THEN 'rests on a single trade' END"
+    return {
+        "screened_long": _backtest(strategies, long_periods, bars=BARS_1D) + f", {_screened({30: 1.06, 60: 1.5, 180: 2.75, 365: 4.50})} SELECT strategy_id, all_periods_profitable, total_trades_per_year, low_drawdown, on_target, spread, n_failures <= 1 AS passed, concat_ws('; ', {texts}) AS failures, " + _rounded("worst_drawdown avg_win_rate avg_expectancy avg_profit_factor") + " FROM screened",
+        "rule_entries_compat": _backtest((*strategies, *accidental), periods, compat=True) + "SELECT strategy_id, market, period_days, CAST(i AS INTEGER) AS bar_idx, direction, round(stop, 6) AS stop, round(target, 6) AS target FROM signals",
+    }
+
+
+# Dimensions of the grid after the template, as (name, values, weights).
+_AXES = (
+    ("timeframe", ("1m", "5m", "15m"), (1, 1, 1)), ("vwap", ("", "price_above_vwap", "price_below_vwap", "price_within_0.5pct_of_vwap"), (3, 1, 1, 1)),
+    ("rsi", ("", "rsi_below_70", "rsi_above_30", "rsi_crossed_above_30", "rsi_crossed_below_70", "rsi_between_40_60"), (70, 6, 6, 6, 6, 6)), ("zone", ("", "zone"), (1, 1)), ("clock", ("", "is_in_kill_zone"), (7, 3)),
+    ("emas", ("9/21", "9/34", "13/21", "13/34"), (1, 1, 1, 1)), ("stop", ("1.5x_atr_from_entry", "2x_atr_from_entry", "0.5pct_from_entry", "1pct_from_entry", "swing_point_stop", "entry_candle_stop"), (1, 1, 1, 1, 1, 1)),
+    ("leave", ("", "ema_crossover_reversal", "price_crosses_vwap_opposite", "end_of_session"), (3, 1, 1, 1)), ("rr", ("1.8", "2.0", "2.5", "3.0"), (1, 1, 1, 1)),
+)
+
+
+def drawn(templates, twice) -> str:
+    """A strategy for each customer, by 32-bit numbers from MD5 against prefix sums of weights."""
+    mixes = ((0.5, 0.3, 0.1, 0.1), (0.7, 0.2, 0.05, 0.05), (0.2, 0.7, 0.05, 0.05))
+    types = ("institutional", "price_action", "vwap", "ema")
+    times = [2 if len(r) == 1 and r[0][len("detect_") :] in twice else 1 for _, _, r in templates]
+    rows = ", ".join(f"({i}, '{t}', '{d}', {list(r)!r}, {n})" for i, ((t, d, r), n) in enumerate(zip(templates, times, strict=True)))
+    shares = ", ".join(f"({f}, '{t}', {w}::DOUBLE)" for f, mix in enumerate(mixes) for t, w in zip(types, mix, strict=True))
+    u = lambda k: f"CAST(concat('0x', substr(md5('11~' || c_custkey || '~{k // 4}'), {k % 4 * 8 + 1}, 8)) AS BIGINT)"
+    digits = ", ".join(f"len(list_filter({[round(sum(w[: j + 1]) / sum(w) * 2**32) for j in range(len(w) - 1)]}, lambda b: b <= {u(k)})) AS {n}_" for k, (n, _, w) in enumerate(_AXES, 1))
+    values = ", ".join(f"({list(v)!r})[{n}_ + 1] AS {n}" for n, v, _ in _AXES if n != "zone")
+    number = "template"
+    for n, v, _ in _AXES:
+        number = f"({number}) * {len(v)} + {'CASE WHEN zoned THEN 1 ELSE 0 END' if n == 'zone' else n + '_'}"
+    return f"""WITH t AS (SELECT * FROM (VALUES {rows}) t(template, type, direction, rules, times)), mix AS (SELECT * FROM (VALUES {shares}) m(focus, type, share)),
+        part AS (SELECT focus, t.*, share * times / sum(times) OVER (PARTITION BY focus, type) AS p FROM t JOIN mix USING (type)),
+        bound AS (SELECT *, coalesce(round(sum(p) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / sum(p) OVER a * 4294967296), 0) AS low, CASE WHEN template = {len(templates) - 1} THEN 4294967296 ELSE round(sum(p) OVER (o ROWS UNBOUNDED PRECEDING) / sum(p) OVER a * 4294967296) END AS top
+            FROM part WINDOW o AS (PARTITION BY focus ORDER BY template), a AS (PARTITION BY focus)),
+        c AS (SELECT c_custkey, c_nationkey % 3 AS focus, {u(0)} AS u, {digits} FROM customer),
+        d AS (SELECT *, CASE direction WHEN 'LONG' THEN 'detect_discount_zone' ELSE 'detect_premium_zone' END AS side, zone_ = 1 AND type = 'institutional' AND NOT list_contains(rules, side) AS zoned, {values} FROM c JOIN bound ON bound.focus = c.focus AND u >= low AND u < top),
+        e AS (SELECT *, array_to_string(list_concat(rules, list_filter([CASE WHEN zoned THEN side END, nullif(vwap, ''), nullif(rsi, ''), nullif(clock, '')], lambda x: x IS NOT NULL AND NOT list_contains(rules, x))), '|') AS entry,
+            concat_ws('|', 'stop_loss_hit', 'take_profit_hit', nullif(leave, '')) AS leaves, CAST(split_part(emas, '/', 1) AS INTEGER) AS fast, CAST(split_part(emas, '/', 2) AS INTEGER) AS slow FROM d)
+        SELECT c_custkey, CAST({number} AS BIGINT) AS number, left(md5(concat_ws('~', entry, leaves, stop, rr, timeframe, '*', fast, slow)), 16) AS strategy_id, type, direction, CAST(template AS INTEGER) AS template, entry, leaves AS leave, stop AS stop_loss_logic, CAST(rr AS DOUBLE) AS risk_reward, timeframe, fast AS ema_fast, slow AS ema_slow FROM e"""
+
+
 def sql(strategies, periods, exits) -> dict[str, str]:
     back = _backtest(strategies, periods)
     shape = "abs(close - open) AS body, high - low AS rng, high - greatest(open, close) AS upper_wick, least(open, close) - low AS lower_wick, (high + low) / 2 AS mid, (open + close) / 2 AS mid_body, least(open, close) AS min_body, greatest(open, close) AS max_body"
     numbers = "total_pnl total_pnl_percent largest_win largest_loss max_drawdown win_rate avg_win avg_loss largest_win_contribution profit_factor max_drawdown_percent expectancy"
-    targets = " ".join(f"WHEN {d} THEN {t}" for d, t in {7: 1.06, 14: 1.5, 21: 2.75, 30: 4.50}.items())
-    screen = f"""screened AS (
-    SELECT *, (NOT all_periods_profitable)::int + (NOT low_drawdown)::int + (avg_expectancy < 0.5)::int + (avg_win_rate < 54)::int + (avg_profit_factor < 1.8)::int + (NOT on_target)::int + (NOT spread)::int AS n_failures
-    FROM (SELECT strategy_id, bool_and(total_pnl > 0) AS all_periods_profitable, max(max_drawdown_percent) AS worst_drawdown, avg(win_rate) AS avg_win_rate, avg(expectancy) AS avg_expectancy, coalesce(avg(profit_factor) FILTER (profit_factor > 0), 0) AS avg_profit_factor,
-                 CAST(coalesce(max(total_trades) FILTER (period_days = 365), 2 * max(total_trades) FILTER (period_days = 180), 6 * max(total_trades) FILTER (period_days = 60), 0) AS BIGINT) AS total_trades_per_year,
-                 bool_and(max_drawdown_percent <= 22) AS low_drawdown, bool_and(total_pnl_percent >= CASE period_days {targets} END) AS on_target, bool_and(largest_win_contribution <= 35) AS spread FROM results GROUP BY strategy_id))"""
+    screen = _screened({7: 1.06, 14: 1.5, 21: 2.75, 30: 4.50})
     pivot = " UNION ALL ".join(
         f"SELECT strategy_id, '{m}' AS metric, " + ", ".join(f"round(max(CAST({m} AS DOUBLE)) FILTER (period_days = {d}), 6) AS days_{d}" for d in periods) + " FROM results GROUP BY strategy_id"
         for m in ("total_pnl_percent", "win_rate", "profit_factor", "max_drawdown_percent", "total_trades")
@@ -274,7 +324,7 @@ def sql(strategies, periods, exits) -> dict[str, str]:
                 FROM kept, (SELECT unnest(['1m', '5m', '15m']) AS timeframe), ({_STOPS}), (SELECT unnest(['1.8', '2.0', '2.5', '3.0']) AS rr), ({_PAIRS}) WHERE NOT biased OR direction = 'LONG')
             SELECT type, direction, timeframe, stop_loss_logic, take_profit_logic, ema_fast, ema_slow, count(*) AS strategies, round(sum(p), 6) AS probability, min(id) AS first_id, max(id) AS last_id FROM cells GROUP BY ALL""",
         "strategy_options": f"""WITH t AS (SELECT DISTINCT CAST(right(p_brand, 1) AS BIGINT) AS k FROM part), {_TEMPLATES}, cells AS (
-                SELECT type, v <> '' AS use_vwap, r <> '' AS use_rsi, leave, pv * pr * pz * pc * pl / 24.0 AS p,
+                SELECT type, v <> '' AS use_vwap, r <> '' AS use_rsi, leave, pv * pr * CASE WHEN type = 'institutional' THEN pz ELSE 1 END * pc * pl / 24.0 AS p,
                     len(list_distinct(list_filter([f1, f2, CASE WHEN z AND type = 'institutional' THEN CASE direction WHEN 'LONG' THEN 'detect_discount_zone' ELSE 'detect_premium_zone' END END, nullif(v, ''), nullif(r, ''), CASE WHEN c THEN 'is_in_kill_zone' END], lambda x: x IS NOT NULL))) AS rules
                 FROM template, (VALUES ('', 0.5), ('price_above_vwap', 1.0 / 6), ('price_below_vwap', 1.0 / 6), ('price_within_0.5pct_of_vwap', 1.0 / 6)) a(v, pv),
                     (VALUES ('', 0.7), ('rsi_below_70', 0.06), ('rsi_above_30', 0.06), ('rsi_crossed_above_30', 0.06), ('rsi_crossed_below_70', 0.06), ('rsi_between_40_60', 0.06)) b(r, pr),

@@ -94,8 +94,11 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Overwrites the (market, timeframe) folders that ``bars`` has and leaves others alone."""
-    bars.select(*BAR_COLUMNS).repartition("market", "timeframe").sortWithinPartitions("ts").write.option("partitionOverwriteMode", "dynamic").partitionBy("market", "timeframe").mode("overwrite").parquet(path)
+    """Overwrites the (market, timeframe) folders that ``bars`` has and leaves others alone.
+
+    Tasks take ranges of time, so a long series is written by many, each a file of its own.
+    """
+    bars.select(*BAR_COLUMNS).repartitionByRange("market", "timeframe", "ts").sortWithinPartitions("market", "timeframe", "ts").write.option("partitionOverwriteMode", "dynamic").partitionBy("market", "timeframe").mode("overwrite").parquet(path)
 
 
 def lookback(bars: DataFrame, as_of: datetime | Column, days: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_bars import START, series
 
 from barloom.operators import grid as g
-from barloom.operators import metrics
+from barloom.operators import learning, metrics
 from barloom.operators.indicators import with_indicators
 from barloom.operators.rules import rule_column, rule_hits, validate
 from barloom.operators.screen import screen, trade_marks
@@ -265,3 +265,61 @@ def test_templates_and_their_chances(spark):
     assert all(abs(of_type[t] - p) < 1e-9 for t, p in {"institutional": 0.7, "price_action": 0.2, "vwap": 0.05, "ema": 0.05}.items())
     biased = g.biased(g.template_table(spark), "BEARISH").collect()
     assert {r.direction for r in biased} == {"SHORT"} and abs(sum(r.share for r in biased) - 1) < 1e-9
+
+
+def test_numbers_stand_for_the_strategies_of_the_grid(spark):
+    short = [x for x in g.shares() if x[0] != "institutional"][:3] + [x for x in g.shares() if x[0] == "institutional"][:2] + [("institutional", "LONG", ("detect_discount_zone",), 0.1)]
+    space = g.Space(tuple(short), g._axes((2.0,), ("5m",)))
+    table = spark.createDataFrame([(i, t, d, list(r), p) for i, (t, d, r, p) in enumerate(short)], "template int, type string, direction string, rules array<string>, share double")
+    whole = g.grid(spark, table, (2.0,), timeframes=("5m",))
+    numbered = space.at_number(spark.range(-5, space.size + 5).withColumnRenamed("id", "number"))
+    assert numbered.count() == space.size == numbered.select("number").distinct().count()
+    key = ["strategy_id", "type", "template", "use_vwap", "use_rsi"]
+    assert {tuple(r) for r in numbered.select(*key).distinct().collect()} == {tuple(r) for r in whole.select(*key).distinct().collect()}
+    assert whole.agg(F.sum("probability")).first()[0] == pytest.approx(sum(x[3] for x in short))
+
+
+@pytest.mark.parametrize("focus", ["institutional", "price_action"])
+def test_drawn_shares_follow_the_mix(spark, focus):
+    n, space = 20_000, g.Space.of(focus, risk_rewards=tuple(1.5 + k / 1000 for k in range(1000)))
+    assert space.size > 10**9
+    rows = space.at_number(space.draw(spark.range(n), "id", seed=5))
+    asked = {"institutional": "type = 'institutional'", "action": "type = 'price_action'", "technical": "type IN ('vwap', 'ema')", "vwap": "use_vwap", "rsi": "use_rsi", "wrong": "type <> 'institutional' AND exists(entry_rules, r -> r LIKE 'detect_%_zone')"}
+    found = rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), *(F.expr(f"count_if({c})").alias(k) for k, c in asked.items())).first()
+    institutional, action, technical = g.MIX[focus]
+    want = {"institutional": institutional, "action": action, "technical": technical, "vwap": 0.5, "rsi": 0.3}
+    assert {k: found[k] / n for k in want} == pytest.approx(want, abs=0.02)
+    assert (found.n, found.ids, found.wrong) == (n, n, 0)
+    assert space.draw(spark.range(9), "id", 5).collect() == space.draw(spark.range(9), "id", 5).collect() != space.draw(spark.range(9), "id", 6).collect()
+
+
+def test_distinct_draws(spark):
+    space = g.Space.of()
+    rows = space.draw_distinct(spark, 300, seed=2)
+    drawn = [(r.strategy_id, r.drawn) for r in rows.collect()]
+    assert len({s for s, _ in drawn}) == 300 and [k for _, k in drawn] == sorted(k for _, k in drawn)
+    assert drawn[:50] == [(r.strategy_id, r.drawn) for r in space.draw_distinct(spark, 50, seed=2).collect()]
+    assert validate(rows).filter("NOT valid").count() == 0
+    few = g.Space((("vwap", "LONG", ("price_above_vwap",), 1.0),), g._axes((2.0,), ("5m",), small=True))
+    assert few.draw_distinct(spark, 24).count() == 24 == few.size
+    with pytest.raises(ValueError, match="no 25 different"):
+        few.draw_distinct(spark, 25)
+
+
+def test_memory_and_store_round_trips(spark, tmp_path):
+    path = str(tmp_path / "memory")
+    empty = learning.read_memory(spark, path).first()
+    assert (empty.keywords, empty.timeframes, empty.rr_focus) == ({}, {}, 2.0)
+    strategies = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["a"], "5m", 2.5, f"{i:03}") for i in range(60)], "strategy_id int, entry_rules array<string>, timeframe string, risk_reward double, stored_at string")
+    learning.write_memory(learning.memory(strategies), path)
+    found = learning.read_memory(spark, path).first()
+    assert found.keywords == {"a": 0.6667, "b": 0.3333} and found.timeframes == {"5m": 1.0} and found.rr_focus == 2.5
+    learning.write_memory(learning.memory(strategies.filter("strategy_id % 2 = 0")), path)
+    assert learning.read_memory(spark, path).first().keywords == {"a": 1.0}
+    store, copy = str(tmp_path / "store"), str(tmp_path / "copy")
+    rows = spark.createDataFrame([("h1", "2024", None, None), ("h2", None, None, None)], repo.STORED)
+    repo.append(spark, store, rows)
+    repo.export(spark, store, copy)
+    assert sorted(r.hash for r in repo.read(spark, copy).collect()) == ["h1", "h2"]
+    repo.clear(spark, store)
+    assert repo.read(spark, store).count() == 0 and repo.read(spark, copy).count() == 2
