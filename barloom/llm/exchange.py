@@ -1,7 +1,8 @@
 """Counting of 64-bit hashes over the whole corpus, with the answers brought back to the texts.
 
-Texts are dealt to *units* of a few megabytes by a hash of id and text, so that neither a null id nor
-one that many rows share makes a unit large; hashes are dealt to *parts* by their leading bits. A
+Texts are dealt to *units* of a few megabytes by a hash of id and text, so that no id that many rows share
+makes a unit large. Rows equal in both are one row with their number (``gathered``) and are
+made again at the end (``repeated``). Hashes are dealt to *parts* by their leading bits. A
 unit sends each part that it has hashes for one packed row; the part adds up what all units sent and
 answers in the same order. So rows are at most the distinct hashes of all units, however many units
 and parts there are. A hash that occurs a million times in a unit is sent
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import shuffle_partitions
+from barloom.llm.common import HOT_KEYS, HOT_ROWS, cut, shuffle_partitions
 
 UNIT_BYTES, PART_BYTES = 4_000_000, 12_000_000
 _ZSTD = pa.Codec("zstd", 1)
@@ -27,6 +28,8 @@ ANSWER = "unit int, part int, kind int, n int, answer binary"
 MANY = 255
 #: Fewer bytes are not compressed.
 SMALL = 64
+#: Copies of a row that one task makes.
+COPIES = 100_000
 
 
 @dataclass(frozen=True)
@@ -45,13 +48,41 @@ class Layout:
         return (hashes >> np.uint64(32 - self.bits)).astype(np.uint32)
 
 
-def deal(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Layout]:
-    """(unit, doc_id, text) and the layout; their numbers follow the bytes of text."""
+def gathered(docs: DataFrame, text: str = "text") -> tuple[DataFrame, bool]:
+    """(doc_id, text, times), and whether any row stands for several.
+
+    Rows that are equal in id and text and many become one. They are found by a 64-bit hash of both,
+    of which at most HOT_KEYS are broadcast, and told by id and text themselves; each task that reads some sends one.
+    """
+    rows = docs.select("doc_id", F.col(text).alias("text"))
+    same = F.xxhash64("doc_id", "text").alias("_same")
+    sizes = rows.groupBy(same).agg(F.count("*").alias("n"))
+    limit = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = cut(sizes.filter(F.col("n") >= limit).select("_same"))
+    if not hot.limit(1).count():
+        return rows.withColumn("times", F.lit(1).cast("long")), False
+    tagged, one = rows.withColumn("_same", same), F.lit(1).cast("long").alias("times")
+    others = tagged.join(F.broadcast(hot), "_same", "left_anti").select("doc_id", "text", one)
+    return others.unionAll(tagged.join(F.broadcast(hot), "_same").groupBy("doc_id", "text").agg(F.count("*").alias("times"))), True
+
+
+def repeated(rows: DataFrame, many: bool) -> DataFrame:
+    """Each row as often as ``times`` says, without it; the copies of one row are made by as many tasks as they need."""
+    names = [c for c in rows.columns if c != "times"]
+    if not many:
+        return rows.select(*names)
+    dealt = rows.filter("times > 1").withColumn("_share", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / COPIES))))
+    copies = F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("times") - F.col("_share") * COPIES))
+    return rows.filter("times = 1").select(*names).unionAll(dealt.repartition("doc_id", "_share").withColumn("_copy", F.explode(copies)).select(*names))
+
+
+def deal(docs: DataFrame, text: str = "text", *more: str) -> tuple[DataFrame, Layout]:
+    """(unit, doc_id, text, *more) and the layout; their numbers follow the bytes of text."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     dealt = shuffle_partitions(docs.sparkSession)
     layout = Layout(max(2 * dealt, -(-total // UNIT_BYTES)), max(4, int(max(dealt // 2, total // PART_BYTES) - 1).bit_length()), secrets.randbits(63))
     unit = F.pmod(F.xxhash64("doc_id", text), F.lit(layout.units)).cast("int").alias("unit")
-    return docs.select(unit, "doc_id", F.col(text).alias("text")), layout
+    return docs.select(unit, "doc_id", F.col(text).alias("text"), *more), layout
 
 
 def squeeze(*planes: np.ndarray) -> bytes:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import attach, cut
 from barloom.llm.components import components, few, meetings
-from barloom.llm.exchange import MANY, SENT, UNIT_BYTES, Layout, answered, answers, deal, distinct, pack
+from barloom.llm.exchange import MANY, SENT, UNIT_BYTES, Layout, answered, answers, deal, distinct, gathered, pack, repeated
 from barloom.llm.words import Words, shingle_sets, slices, split_words, utf8
 
 #: Sets in a block of a family, and set bytes that a task joins.
@@ -299,16 +299,17 @@ def _sets(table: pa.Table, k: int, key: int) -> tuple[Words, np.ndarray, np.ndar
     return (words, *shingle_sets(words, k))
 
 
-PROFILE = "doc_id long, n_shingles long, mark binary, rare array<long>, shingles binary"
+PROFILE = "doc_id long, n_shingles long, mark binary, rare array<long>, shingles binary, times long"
 
 
-def profile(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """(doc_id, n_shingles, mark, rare, shingles); the last three only where a partner is possible.
+def profile(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, bool]:
+    """(doc_id, n_shingles, mark, rare, shingles, times), and whether any row stands for several; mark, rare and shingles only where a partner is possible.
 
-    mark: 128 bits of the whole set; rare: the shingles by which partners are found. Rows without a doc_id
+    mark: 128 bits of the whole set; rare: the shingles by which partners are found; times: how many equal rows this is. Rows without a doc_id
     link with nothing and are not dealt, so any number of them, equal or not, make no task large.
     """
-    dealt, layout = deal(docs.filter("doc_id is not null"))
+    rows, many = gathered(docs.filter("doc_id is not null"))
+    dealt, layout = deal(rows, "text", "times")
     num, den = t.numerator, t.denominator
 
     def send(table: pa.Table) -> pa.Table:
@@ -317,7 +318,7 @@ def profile(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _profiles([], [], [], [], [])
+            return _profiles([], [], [], [], [], [])
         _, sets, ends = _sets(left, k, layout.key)
         keys, _ = distinct(sets, layout)
         df = answered(right, 0, len(keys))
@@ -334,23 +335,24 @@ def profile(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
             marks.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             rare.append(own[order].view(np.int64))
             packed.append(own.tobytes())
-        return _profiles(left.column("doc_id"), n, marks, rare, packed)
+        return _profiles(left.column("doc_id"), n, marks, rare, packed, left.column("times"))
 
     def alone(batches):
         for batch in batches:
             for part in slices(batch, "text", UNIT_BYTES):
                 n, none = np.diff(_sets(pa.Table.from_batches([part]), k, layout.key)[2]), [None] * part.num_rows
-                yield from _profiles(none, n, none, none, none).to_batches()
+                yield from _profiles(none, n, none, none, none, [1] * part.num_rows).to_batches()
 
     unknown = docs.filter("doc_id is null").select(F.col("text").cast("string").alias("text")).mapInArrow(alone, PROFILE)
     sent = dealt.groupBy("unit").applyInArrow(send, SENT)
     count = lambda values, starts: np.minimum(np.add.reduceat(values, starts), MANY)
     back = answers(0, sent, count)
-    return dealt.groupBy("unit").cogroup(back.groupBy("unit")).applyInArrow(judge, PROFILE).unionAll(unknown)
+    return dealt.groupBy("unit").cogroup(back.groupBy("unit")).applyInArrow(judge, PROFILE).unionAll(unknown), many
 
 
-def _profiles(ids, n, marks, rare, packed) -> pa.Table:
-    return pa.table({"doc_id": ids if isinstance(ids, pa.ChunkedArray) else pa.array(ids, pa.int64()), "n_shingles": pa.array(n, pa.int64()), "mark": pa.array(marks, pa.binary()), "rare": pa.array(rare, pa.list_(pa.int64())), "shingles": pa.array(packed, pa.binary())})
+def _profiles(ids, n, marks, rare, packed, times) -> pa.Table:
+    ids, times = (x if isinstance(x, pa.ChunkedArray) else pa.array(x, pa.int64()) for x in (ids, times))
+    return pa.table({"doc_id": ids, "n_shingles": pa.array(n, pa.int64()), "mark": pa.array(marks, pa.binary()), "rare": pa.array(rare, pa.list_(pa.int64())), "shingles": pa.array(packed, pa.binary()), "times": times})
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5), links: bool = False) -> DataFrame:
@@ -367,7 +369,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     doc_id is null.
     """
     t = Fraction(threshold)
-    every = cut(profile(docs, k, t))
+    every, many = profile(docs, k, t)
+    every = cut(every)
     known = "mark is not null and doc_id is not null"
     alive = every.filter(known).select("doc_id", "mark", "rare", "shingles")
     total = every.count()
@@ -401,14 +404,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(
     if links:
         classes = classes.join(linked, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
     new = ["component_id", *(["n_links"] if links else [])]
-    rest = every.filter(f"NOT ({known})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.lit(0).cast("long")).alias("n_links"))
-    rows = attach(every.filter(known).select("doc_id", "n_shingles", "mark"), classes.select("mark", "n", *new), ["mark"], "n", total)
+    rest = every.filter(f"NOT ({known})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.lit(0).cast("long")).alias("n_links"), "times")
+    rows = attach(every.filter(known).select("doc_id", "n_shingles", "mark", "times"), classes.select("mark", "n", *new), ["mark"], "n", total)
     if versions:  # rows without partners follow the rows that share their doc_id
         own = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("reached"))
         same = rest.filter("doc_id is not null").join(own, F.col("doc_id") == F.col("_id"), "left")
-        same = same.select("doc_id", "n_shingles", F.coalesce("reached", "component_id").alias("component_id"), "n_links")
+        same = same.select("doc_id", "n_shingles", F.coalesce("reached", "component_id").alias("component_id"), "n_links", "times")
         rest = rest.filter("doc_id is null").unionAll(same)
-    return rows.select("doc_id", "n_shingles", *new).unionAll(rest.select("doc_id", "n_shingles", *new))
+    names = ["doc_id", "n_shingles", *new, "times"]
+    return repeated(rows.select(*names).unionAll(rest.select(*names)), many)
 
 
 def _labels(placed: DataFrame, t: Fraction, total: int) -> DataFrame:

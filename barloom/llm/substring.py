@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barloom.llm.exchange import ANSWER, SENT, UNIT_BYTES, Layout, answered, answers, by_part, deal, distinct, pack, squeeze, swell
+from barloom.llm.exchange import ANSWER, SENT, UNIT_BYTES, Layout, answered, answers, by_part, deal, distinct, gathered, pack, repeated, squeeze, swell
 from barloom.llm.words import Words, inside, join_words, slices, split_words, utf8, windows, word_hashes
 
 FIRST = "part int, unit int, n int, hashes binary, rest binary"
@@ -169,7 +169,8 @@ def remove_repeats(docs: DataFrame, span: int = 20) -> DataFrame:
     """
     if span < 2:
         raise ValueError("span must be at least 2")
-    dealt, layout = deal(docs.filter("doc_id is not null"))
+    rows, many = gathered(docs.filter("doc_id is not null"))
+    dealt, layout = deal(rows, "text", "times")
 
     def alone(batches):  # rows that lose nothing and count for nothing; any number of them make no unit large
         for batch in batches:
@@ -189,9 +190,10 @@ def remove_repeats(docs: DataFrame, span: int = 20) -> DataFrame:
         return _send_firsts(Unit(left, span, layout), left.column("unit")[0].as_py(), right)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _cut(Unit(left, span, layout), right, left.column("doc_id"))
+        return _cut(Unit(left, span, layout), right, left.column("doc_id")).append_column("times", left.column("times"))
 
     hits = answers(0, dealt.groupBy("unit").applyInArrow(probe, SENT), found_twice)
     sent = dealt.groupBy("unit").cogroup(hits.groupBy("unit")).applyInArrow(send, FIRST)
     first = sent.groupBy("part").applyInArrow(_earliest, ANSWER)
-    return dealt.groupBy("unit").cogroup(hits.unionAll(first).groupBy("unit")).applyInArrow(cut, RESULT).unionAll(unknown)
+    found = dealt.groupBy("unit").cogroup(hits.unionAll(first).groupBy("unit")).applyInArrow(cut, f"{RESULT}, times long")
+    return repeated(found, many).unionAll(unknown)

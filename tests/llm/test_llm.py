@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import byte_bpe, chat, jaccard, pii, quality, topk, toxicity, words
+from barloom.llm import byte_bpe, chat, exchange, jaccard, pii, quality, topk, toxicity, words
 from barloom.llm import queries as q
 from barloom.llm.components import components
 from barloom.llm.decontaminate import find_contamination
@@ -268,6 +268,31 @@ def test_a_hot_doc_id_is_dealt_to_many_units(spark):
     assert len(share) == layout.units > 4 and max(share) < 150
 
 
+@pytest.mark.parametrize("links", [False, True])
+def test_equal_rows_are_one_until_the_end(spark, links, monkeypatch):
+    """A third of all rows is one row; its copies come back, and the largest unit does not grow with them."""
+    monkeypatch.setattr(exchange, "COPIES", 60)
+    base = [f"v{i}" for i in range(90)]
+    rows = [(3, " ".join(base))] * 210 + [(3, "short text")] * 120 + [(5, None)] * 130
+    rows += [(i, " ".join([*base[: 80 + i % 10], f"t{i}"])) for i in range(10, 200)]
+    single = [x for x in dict.fromkeys(rows) if x != (3, "short text")]
+    near, gone = near_brute(single), repeats_brute(single)
+    for extra in ([], [(None, " ".join(base))] * 4):
+        df = frame(spark, rows + extra)
+        one, many = exchange.gathered(df)
+        dealt, layout = deal(one, "text", "times")
+        sizes = dealt.groupBy("unit").agg(F.count("*").alias("n"), F.sum("times").alias("all")).collect()
+        assert many and max(r.n for r in sizes) < 60 and sum(r["all"] for r in sizes) == len(rows + extra)
+        got = near_duplicates(df, links=links).collect()
+        assert Counter((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == Counter((i, near[i][1]) for i, _ in rows)
+        if links:
+            brute = {(i, n): k for i, n, k in links_brute(rows)}
+            assert all(r.n_links == brute[r.doc_id, r.n_shingles] for r in got if r.doc_id is not None)
+        kept = remove_repeats(df).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in kept if r.doc_id is not None) == Counter((i, *((2, 0, t) if t == "short text" else gone[i])) for i, t in rows)
+        assert len(got) == len(kept) == len(rows + extra)
+
+
 def test_substring_removal_from_versions_of_a_document(spark):
     """Equal words at equal positions of one doc_id are no repeat, wherever its rows are dealt to."""
     rng = random.Random(4)
