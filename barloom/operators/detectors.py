@@ -150,6 +150,8 @@ class Detector:
     min_i: int
     kind: str
     mirrored: bool = False
+    #: How many bars back the rule looks: ``min_i``, or more where it also fires with fewer.
+    reach: int = 0
 
     def column(self, frame: DataFrame) -> Column:
         bars = Bars(frame, self.mirrored)
@@ -162,12 +164,15 @@ DETECTORS: dict[str, Detector] = {}
 KINDS = ("lag", "minmax", "avg_std", "exists", "count", "argmin", "array")
 
 
-def detector(kind: str, min_i: int, *names: str):
-    """Registers a function under one name, or under a bullish and its mirrored bearish name."""
+def detector(kind: str, min_i: int, *names: str, reach: int | None = None):
+    """Registers a function under one name, or under a bullish and its mirrored bearish name.
+
+    ``reach`` is how many bars back it looks if that is more than ``min_i``.
+    """
 
     def register(rule: Rule) -> Rule:
         for name, mirrored in zip(names, (False, True), strict=False):
-            DETECTORS[name] = Detector(rule, min_i, kind, mirrored)
+            DETECTORS[name] = Detector(rule, min_i, kind, mirrored, max(min_i, reach or 0))
         return rule
 
     return register
@@ -225,7 +230,7 @@ def pair(name: str) -> tuple[str, str]:
 
 def reach_of(names: list[str]) -> int:
     """How many bars back these detectors look at most; one of them is asked of the bar before too."""
-    return max((DETECTORS[n].min_i for n in names), default=0) + 1
+    return max((DETECTORS[n].reach for n in names), default=0) + 1
 
 
 def with_first_bars(bars: DataFrame) -> DataFrame:
@@ -260,6 +265,35 @@ def with_detectors(bars: DataFrame, names: list[str], batch: int = 40, piece: in
     return (at_home(rows, piece) if whole else rows).select(*kept)
 
 
+#: Detectors that ask for a bar's place in its series or for the first bars of that, so they differ between windows of one series.
+PLACED = (*pair("quarterly_shift"), *pair("macro_cycle"), *pair("defining_range"))
+#: Bits of a word of ``_fired`` that are used.
+WORD = 60
+
+
+def steady(names: list[str]) -> list[str]:
+    """Those of the detectors that depend only on a bar and the ``min_i`` bars before it, whatever window of the series holds them."""
+    return [n for n in names if n not in PLACED and DETECTORS[n].kind != ARRAYS and DETECTORS[n].reach == DETECTORS[n].min_i]
+
+
+def with_fired(bars: DataFrame, names: list[str], piece: int | None = None) -> DataFrame:
+    """Adds ``_fired``, which of the steady detectors ``names`` hold at a bar, a bit each in an array of words.
+
+    Worked out once on a series, it holds in every window of it: ``fired_in`` leaves out the bars that have
+    too few before them there.
+    """
+    rows = with_detectors(bars, names, piece=piece)
+    bits = [F.shiftleft(F.col(f"detect_{n}").cast("long"), k % WORD) for k, n in enumerate(names)]
+    words = [reduce(lambda a, b: a.bitwiseOR(b), bits[at : at + WORD]) for at in range(0, len(bits), WORD)]
+    return rows.withColumn("_fired", F.array(*words)).drop(*(f"detect_{n}" for n in names))
+
+
+def fired_in(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``detect_<name>`` columns of a window's bars from their ``_fired``, which ``with_fired`` made of the same names, and ``bar_idx``."""
+    bit = lambda k: F.get("_fired", F.lit(k // WORD)).bitwiseAND(F.lit(1 << k % WORD)) != 0
+    return rows.withColumns({f"detect_{n}": bit(k) & (F.col("bar_idx") >= DETECTORS[n].min_i) for k, n in enumerate(names)})
+
+
 # --- Earlier bars at fixed distances -------------------------------------------------------------
 
 
@@ -315,7 +349,7 @@ def _balanced_range(b):
     return b.back(b.up, 2) & b.back(b.down, 1) & (top > bottom) & b.c.between(bottom, top)
 
 
-@detector("lag", 2, "silver_bullet_bullish")
+@detector("lag", 2, "silver_bullet_bullish", reach=3)
 def _silver_bullet_up(b):
     low, high = F.coalesce(b.back(b.h, 3), F.lit(0.0)), b.back(b.l, 1)
     return (high > low) & (b.l <= high) & (b.c >= low)
@@ -850,7 +884,7 @@ def _span(array: Column, start: Column, stop: Column) -> Column:
     return F.filter(array, lambda x: (x["i"] >= start) & (x["i"] < stop))
 
 
-@detector("array", 20, *pair("dragon_pattern"))
+@detector("array", 20, *pair("dragon_pattern"), reach=29)
 def _dragon(b):
     bars = b.window(29, l=b.l, neg=-b.c)
 
@@ -865,7 +899,7 @@ def _dragon(b):
     )
 
 
-@detector("array", 25, *pair("quasimodo_pattern"))
+@detector("array", 25, *pair("quasimodo_pattern"), reach=37)
 def _quasimodo(b):
     # Whether a low is a strict local one shows a bar later, so each bar carries its predecessors along.
     flagged = F.struct(b.i.alias("i"), b.l.alias("l"), b.h.alias("h"), b.low_before.alias("before"))

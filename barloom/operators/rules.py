@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import at_home, in_pieces
-from barloom.operators.detectors import DETECTORS, Bars, in_kill_zone, reach_of, with_detectors, with_first_bars
+from barloom.operators.detectors import DETECTORS, Bars, fired_in, in_kill_zone, reach_of, with_detectors, with_first_bars
 
 # Fixed values of the validator: what makes a rule algorithmic, and terms that no rule may hold.
 KEYWORDS = (
@@ -190,16 +190,19 @@ def detectors_of(rules: list[str]) -> list[str]:
     return [n for n in dict.fromkeys(names) if n in DETECTORS]
 
 
-def rule_hits(bars: DataFrame, rules: list[str], emas: list[tuple[int, int]], zone: str = "Asia/Kolkata", compat: bool = False, piece: int | None = None) -> DataFrame:
+def rule_hits(bars: DataFrame, rules: list[str], emas: list[tuple[int, int]], zone: str = "Asia/Kolkata", compat: bool = False, piece: int | None = None, fired: list[str] | None = None) -> DataFrame:
     """Bars with ``hits``: for each (fast, slow) pair the names of the rules that hold, as ``map<string,array<string>>``.
 
     Rules are turned into columns once for the whole set of strategies, not once for each strategy. Rules
     that nothing can evaluate hold nowhere, so they stop the strategies that have them and no others.
+    ``fired`` names the detectors that ``bars`` has in ``_fired``, so that only the others need windows here.
     """
     rules = [r for r in rules if compat or known_rule(r)]
-    names = detectors_of(rules)
+    fired = [] if fired is None or compat else fired
+    names = [n for n in detectors_of(rules) if n not in fired]
     rows = bars if "_first_high" in bars.columns or not any(n.startswith("defining_range") for n in names) else with_first_bars(bars)
     rows = with_detectors(in_pieces(rows, max(TOKEN_REACH, reach_of(names)), size=piece), names)
+    rows = fired_in(rows, fired) if fired else rows
     own = {}
     for fast, slow in emas:
         held = F.array_compact(F.array(*(F.when(rule_column(r, rows, f"ema_{fast}", f"ema_{slow}", zone, compat), F.lit(r)) for r in rules))) if rules else F.array().cast("array<string>")
@@ -207,15 +210,15 @@ def rule_hits(bars: DataFrame, rules: list[str], emas: list[tuple[int, int]], zo
     return at_home(rows.withColumn("hits", F.create_map(*(x for k, v in own.items() for x in (F.lit(k), v)))), piece)
 
 
-def entries(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: list[tuple[int, int]], zone: str = "Asia/Kolkata", compat: bool = False) -> DataFrame:
+def entries(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: list[tuple[int, int]], zone: str = "Asia/Kolkata", compat: bool = False, fired: list[str] | None = None) -> DataFrame:
     """(strategy_id, series keys, bar_idx, ts, close, atr_14, direction) where all entry rules of a strategy hold.
 
     direction is LONG where the fast average is above the slow one, SHORT where below; else no entry.
     ``strategies`` are matched to bars by (market, timeframe), a strategy with market '*' to all markets.
     A bar meets only the strategies whose least frequent rule (by the number of strategies that ask for
-    it) holds there; their other rules are tested then.
+    it) holds there; their other rules are tested then. ``fired``: see ``rule_hits``.
     """
-    hit = rule_hits(bars, rules, emas, zone, compat)
+    hit = rule_hits(bars, rules, emas, zone, compat, fired=fired)
     trend = F.create_map(*(x for f, s in emas for x in (F.lit(f"{f}/{s}"), F.when(F.col(f"ema_{f}") > F.col(f"ema_{s}"), F.lit("LONG")).when(F.col(f"ema_{f}") < F.col(f"ema_{s}"), F.lit("SHORT")))))
     keys = [k for k in ("market", "timeframe", "period_days") if k in bars.columns]
     hit = hit.select(*keys, "bar_idx", "ts", "high", "low", "close", "atr_14", F.explode("hits").alias("pair", "met"), trend.alias("trend"))

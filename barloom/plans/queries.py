@@ -13,8 +13,8 @@ from barloom.operators import grid as g
 from barloom.operators import indicators as ind
 from barloom.operators import learning, metrics, profile
 from barloom.operators import screen as sc
-from barloom.operators.detectors import DETECTORS, array_detector, with_detectors
-from barloom.operators.rules import describe, entries, rule_hits, validate
+from barloom.operators.detectors import DETECTORS, array_detector, steady, with_detectors
+from barloom.operators.rules import describe, detectors_of, entries, rule_hits, validate
 from barloom.operators.trades import scan_trades, with_levels
 from barloom.plans import detector_sql as ds
 from barloom.plans import twins
@@ -29,6 +29,8 @@ EMAS = ((9, 21), (13, 34))
 PAYLOAD_IDS = 1_000
 #: Rules of the strategies that the backtest queries run.
 RULES = ("ema_fast_above_slow", "ema_fast_below_slow", "price_above_both_emas", "price_below_both_emas", "price_above_vwap", "price_below_vwap", "rsi_above_30", "rsi_below_70", "breakout_above_20bar_high", "detect_liquidity_sweep_low", "detect_bullish_engulfing", "detect_bearish_engulfing", "detect_inside_bar", "detect_discount_zone")
+#: Those that are worked out once for all look-back windows.
+FIRED = steady(detectors_of(list(RULES)))
 # Strategies as (id, entry rules, stop, risk-reward, fast, slow); all on 1-hour bars of every market.
 STRATEGIES = (
     ("s01", ("ema_fast_above_slow", "price_above_both_emas"), "1.5x_atr_from_entry", 2.0, 9, 21),
@@ -252,7 +254,7 @@ def _customer_strategies(customer: DataFrame) -> DataFrame:
 
 
 def _series(spark, sf_dir):
-    return numbered(hourly(spark, sf_dir), PERIODS)
+    return numbered(hourly(spark, sf_dir), PERIODS, fired=FIRED)
 
 
 def _ready(spark, sf_dir):
@@ -260,7 +262,7 @@ def _ready(spark, sf_dir):
 
 
 def _signals(spark, sf_dir, ready):
-    return with_levels(entries(ready, strategies(spark), list(RULES), list(EMAS), "UTC"))
+    return with_levels(entries(ready, strategies(spark), list(RULES), list(EMAS), "UTC", fired=FIRED))
 
 
 def rule_entries(spark, sf_dir):
@@ -297,7 +299,7 @@ def trades_with_exits(spark, sf_dir):
     ready = _ready(spark, sf_dir)
     leave = F.create_map(*(x for k, v in EXITS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     asked = strategies(spark).withColumn("exit_rules", F.coalesce(F.element_at(leave, F.col("strategy_id")), F.array().cast("array<string>")))
-    signals = with_levels(entries(ready, asked, list(RULES), list(EMAS), "UTC"))
+    signals = with_levels(entries(ready, asked, list(RULES), list(EMAS), "UTC", fired=FIRED))
     return shown(scan_with_exits(ready, signals, list(EMAS), "UTC").drop("timeframe", "entry_time", "exit_time"))
 
 

@@ -9,18 +9,27 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import with_bar_idx
 from barloom.functions.lineage import cut
+from barloom.operators.detectors import steady, with_fired
 from barloom.operators.indicators import with_indicators
 from barloom.operators.metrics import period_metrics
-from barloom.operators.rules import entries, validate, with_signal_exits, with_unknown
+from barloom.operators.rules import detectors_of, entries, validate, with_signal_exits, with_unknown
 from barloom.operators.screen import Limits, screen
 from barloom.operators.trades import scan_trades, with_levels
-from barloom.sources.bars import PERIODS, end_of, with_periods
+from barloom.sources.bars import PERIODS, end_of, lookback, with_periods
 
 
-def numbered(bars: DataFrame, periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None) -> DataFrame:
-    """Bars of every look-back window with their position. The bars are written down first, as several passes read them."""
+def numbered(bars: DataFrame, periods: tuple[int, ...] = PERIODS, as_of: datetime | None = None, fired: list[str] | None = None) -> DataFrame:
+    """Bars of every look-back window with their position. The bars are written down first, as several passes read them.
+
+    ``fired`` names steady detectors, which are worked out on the bars of the widest window, each bar once, before it is
+    copied to the windows that it lies in; see ``with_fired``.
+    """
     bars = cut(bars)
     as_of = as_of or end_of(bars)
+    if fired and as_of:
+        bars = with_fired(with_bar_idx(lookback(bars, as_of, max(periods))), fired)
+    elif fired:
+        bars = bars.limit(0).withColumn("_fired", F.array().cast("array<bigint>"))
     windows = with_periods(bars, as_of, periods) if as_of else bars.selectExpr("*", "30 AS period_days").limit(0)
     return with_bar_idx(windows)
 
@@ -36,9 +45,10 @@ def backtest(bars: DataFrame, strategies: DataFrame, rules: list[str], emas: lis
     ``exits`` lets positions leave by the signal exits of their exit rules too. A strategy with a rule that
     is not in ``rules`` or unknown has no trades and stops no other.
     """
-    series = numbered(bars, periods, as_of)
+    fired = [] if compat else steady(detectors_of(rules))
+    series = numbered(bars, periods, as_of, fired)
     ready = with_indicators(series, tuple(sorted({p for pair in emas for p in pair})))
-    signals = with_levels(entries(ready, strategies, rules, emas, zone, compat))
+    signals = with_levels(entries(ready, strategies, rules, emas, zone, compat, fired))
     if not exits:  # the scan itself needs no indicators
         return scan_trades(series, signals)
     return scan_with_exits(ready, signals, emas, zone)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_bars import START, series
 
 from barloom.functions.columns import with_bar_idx
-from barloom.operators.detectors import DETECTORS, array_detector, with_detectors
+from barloom.operators.detectors import DETECTORS, PLACED, array_detector, fired_in, steady, with_detectors, with_fired
 from barloom.operators.indicators import with_indicators
 from barloom.operators.rules import entries
 
@@ -50,6 +50,30 @@ def test_no_look_ahead(kind, spark):
     assert whole == cut
 
 
+@pytest.mark.parametrize("kind", ["lag", "minmax", "avg_std", "exists", "count", "argmin", "array"])
+def test_fired_once_holds_in_every_window(kind, spark):
+    """Windows that begin at any bar of a series show the same by ``_fired`` as by detectors of their own."""
+    every = [n for n, d in DETECTORS.items() if d.kind == kind]
+    names = steady(every)
+    assert {n for n in every if DETECTORS[n].reach == DETECTORS[n].min_i} - set(names) == {*every} & {*PLACED}
+    bars = with_fired(noisy(spark), names)
+    for start in (0, 1, 37, 120):
+        window = with_bar_idx(bars.filter(F.col("bar_idx") >= start))
+        both = fired_in(window, names).alias("f").join(with_detectors(window.drop("_fired"), names).alias("d"), "ts")
+        wrong = both.agg(F.count("*").alias("_n"), *(F.count_if(F.col(f"f.detect_{n}") != F.col(f"d.detect_{n}")).alias(n) for n in names)).first().asDict()
+        assert wrong.pop("_n") == 260 - start
+        assert {n: k for n, k in wrong.items() if k} == {}
+
+
+@pytest.mark.parametrize("stem", ["dragon_pattern", "quasimodo_pattern"])
+def test_pieces_hold_all_bars_that_a_pattern_looks_at(stem, spark):
+    """These fire before as many bars are there as they look back to, so pieces need more bars than that."""
+    names = [f"{stem}_bullish", f"{stem}_bearish"]
+    bars = noisy(spark, 1200).withColumns({c: F.round(c, 1) for c in ("open", "high", "low", "close")})
+    whole, pieces = (fired(with_detectors(bars, names, piece=size), names) for size in (None, 11))
+    assert whole == pieces and any(whole.values())
+
+
 def test_sweep_fires_once(spark):
     n = 90
     lows = [9.0] * n
