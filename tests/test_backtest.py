@@ -323,3 +323,24 @@ def test_memory_and_store_round_trips(spark, tmp_path):
     assert sorted(r.hash for r in repo.read(spark, copy).collect()) == ["h1", "h2"]
     repo.clear(spark, store)
     assert repo.read(spark, store).count() == 0 and repo.read(spark, copy).count() == 2
+
+
+def test_a_grid_of_one_type_is_the_work_of_many_tasks(spark):
+    """A bias, as a window over a type, left all strategies of the type to one task."""
+    table = spark.range(400).selectExpr("cast(id as int) template", "'vwap' type", "'LONG' direction", "array(concat('r', id)) rules", "1.0D share").coalesce(1)
+    rows = g.grid(spark, g.biased(table, "BULLISH"), (2.0,), timeframes=("5m",), small=True)
+    by_task = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by_task) == 400 * 24 and max(by_task) <= sum(by_task) / 2
+
+
+def test_bias_keeps_types_without_the_direction_and_null_types(spark):
+    rows = [("a", "LONG", 1.0), ("a", "SHORT", 2.0), ("a", None, 4.0), ("b", "SHORT", 3.0), (None, "LONG", 1.0), (None, "SHORT", 5.0)]
+    table = spark.createDataFrame(rows, "type string, direction string, share double")
+    assert {tuple(r) for r in g.biased(table, "BULLISH").collect()} == {("a", "LONG", 7.0), ("b", "SHORT", 3.0), (None, "LONG", 6.0)}
+
+
+def test_least_ids_are_found_without_sorting(spark, sf_dir):
+    ids = ["0000000000000000", "00000000000000ff", "7fffffffffffffff", "8000000000000000", "8000000000000001", "ffffffffffffffff"]
+    rows = spark.createDataFrame([(x,) for x in ids], "strategy_id string").select("strategy_id", g.id_number().alias("n")).withColumn("back", g.id_of(F.col("n"))).orderBy("n").collect()
+    assert [r.strategy_id for r in rows] == [r.back for r in rows] == ids
+    assert "SortAggregate" not in q.strategy_grid(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
