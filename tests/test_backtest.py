@@ -344,3 +344,17 @@ def test_least_ids_are_found_without_sorting(spark, sf_dir):
     rows = spark.createDataFrame([(x,) for x in ids], "strategy_id string").select("strategy_id", g.id_number().alias("n")).withColumn("back", g.id_of(F.col("n"))).orderBy("n").collect()
     assert [r.strategy_id for r in rows] == [r.back for r in rows] == ids
     assert "SortAggregate" not in q.strategy_grid(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_draw_is_worked_out_once(spark):
+    """A drawn number was worked out anew for each bound of a weight, and by the test of its range twice more."""
+    space, n = g.Space.of(), 20_000
+    plan = space.drawn(spark.range(n), "id", seed=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 3 + 1 and "Filter" not in plan
+    assert space.drawn(spark.range(50), "id", seed=5).collect() == space.at_number(space.draw(spark.range(50), "id", seed=5)).collect()
+
+
+def test_binary_search_counts_the_bounds_reached(spark):
+    for bounds in ([5], [0, 0, 7], [1, 2, 3, 4], [2, 4, 4, 4, 9, 2**32 - 1, 2**32], list(range(3, 300, 7))):
+        rows = spark.createDataFrame([(u,) for u in (0, 1, 2, 3, 4, 5, 8, 9, 150, 300, 2**32 - 2, 2**32 - 1)], "u long").select("u", g._passed(bounds, F.col("u")).alias("n")).collect()
+        assert [r.n for r in rows] == [sum(b <= r.u for b in bounds) for r in rows]
