@@ -22,6 +22,8 @@ FIT_ROWS = 1_500
 FIT_BYTES = 50_000
 ROWS_BITS, WIDTH = 17, 8
 EPOCHS, STEPS, BATCH, RATE = 6, 1_200, 16, 60.0
+#: Different shares of one text that two bytes tell apart.
+PLACES = 2**16
 GRAMS = (3, 4)
 #: Bytes of text that are scored at a time; a longer text is scored alone.
 CHUNK = 500_000
@@ -105,29 +107,62 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -50, 50)))
 
 
+class Bags:
+    """The hashed rows of each text with their shares of it, in four bytes for a row, as all texts are held while fitting.
+
+    A bag's rows are sorted, so it keeps their lower 16 bits and how many are below 2**16, and for each share its place
+    among the bag's different shares; a bag with too many of them keeps its shares as they are. All bags are in three
+    buffers, which leave no gaps when they grow.
+    """
+
+    def __init__(self, texts: list[str]):
+        rows, places, shares = bytearray(), bytearray(), bytearray()
+        self.ends, self.known, self.low, self.plain = [0], [0], [], {}
+        for text in texts:
+            data = np.frombuffer(text.encode(), np.uint8)
+            parts = groups(data, np.array([0, len(data)]))
+            own, where = np.unique(np.concatenate([r for r, _, _ in parts]), return_inverse=True)
+            share = np.concatenate([np.full(len(r), 1 / max(len(r), 1) / len(parts)) for r, _, _ in parts])
+            share = np.bincount(where, share, len(own)).astype(np.float32)
+            different, place = np.unique(share, return_inverse=True)
+            if len(different) > PLACES:
+                self.plain[len(self.low)], different, place = share, different[:0], np.zeros(len(own), np.int64)
+            rows += (own & 0xFFFF).astype(np.uint16).tobytes()
+            places += place.astype(np.uint16).tobytes()
+            shares += different.tobytes()
+            self.ends.append(self.ends[-1] + len(own))
+            self.known.append(self.known[-1] + len(different))
+            self.low.append(int(np.searchsorted(own, 2**16)))
+        self.rows, self.places, self.shares = np.frombuffer(rows, np.uint16), np.frombuffer(places, np.uint16), np.frombuffer(shares, np.float32)
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def get(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, shares) of text i."""
+        own = self.rows[self.ends[i] : self.ends[i + 1]].astype(np.int64)
+        own[self.low[i] :] += 2**16
+        if i in self.plain:
+            return own, self.plain[i]
+        return own, self.shares[self.known[i] : self.known[i + 1]][self.places[self.ends[i] : self.ends[i + 1]]]
+
+
 def fit(rows: list[tuple[str, int]], sizes: dict[int, int], seed: int = 7) -> Model:
     """Trains on (text, label) rows; ``sizes`` of the classes set the prior of the scores."""
     present = {y for _, y in rows}
     if len(present) < 2:  # nothing to tell apart
         return Model(np.zeros(2**ROWS_BITS), 4.0 if present == {1} else -4.0 if present == {0} else 0.0)
+    bags, labels = Bags([text for text, _ in rows]), [y for _, y in rows]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (2**ROWS_BITS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((WIDTH, 2), np.float32), np.zeros(2, np.float32)
-    bags = []
-    for text, y in rows:
-        data = np.frombuffer(text.encode(), np.uint8)
-        parts = groups(data, np.array([0, len(data)]))
-        rows_of = np.concatenate([r for r, _, _ in parts])
-        share = np.concatenate([np.full(len(r), 1 / max(len(r), 1) / len(parts)) for r, _, _ in parts])
-        own, where = np.unique(rows_of, return_inverse=True)
-        bags.append((own, np.bincount(where, share, len(own)).astype(np.float32), y))
-    part = {y: sum(b[2] == y for b in bags) for y in (0, 1)}
+    part = {y: labels.count(y) for y in (0, 1)}
     epochs = max(EPOCHS, -(-STEPS * BATCH // len(bags)))
     steps, step = epochs * -(-len(bags) // BATCH), 0
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
-            batch = [bags[i] for i in order[at : at + BATCH]]
+            batch = [(*bags.get(i), labels[i]) for i in order[at : at + BATCH]]
             rate, step = RATE * (1 - step / steps), step + 1
             hidden = np.stack([w @ vectors[f] for f, w, _ in batch])
             logits = hidden @ layer + bias
